@@ -1,9 +1,13 @@
 """Exact medians of groups of any size.
 
-Spark's `median` keeps every distinct value of a group in one task. Here three passes narrow the
-two middle ranks down: counts per coarse bucket, then per fine bucket inside the coarse ones that
-hold a middle rank, then per distinct value inside the fine ones that do. Every pass shuffles counts
-instead of rows, and no task holds more than the buckets of one group.
+Spark's `median` keeps every distinct value of a group in one task's memory. Two exact ways avoid
+that, both shuffling counts instead of rows:
+
+* few distinct values per group (a sensor with a fixed resolution): count each value, and find the
+  middle ranks in the counts;
+* many: three passes narrow the two middle ranks down, with counts per coarse bucket, then per fine
+  bucket inside the coarse ones that hold a middle rank, then per distinct value inside the fine
+  ones that do. No task holds more than the buckets of one group.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .lookup import lookup
 
+FEW_VALUES = 100_000
 COARSE_PER_UNIT = 1024
 FINE = 65_536
 
@@ -43,37 +48,52 @@ def _holding_middle(counts: DataFrame, within: list[str], order: str) -> DataFra
     )
 
 
-def group_medians(values: DataFrame) -> DataFrame:
+def _with_ranks(counts: DataFrame) -> DataFrame:
+    total = F.sum("n").over(Window.partitionBy(*_GROUP))
+    return (
+        counts.withColumn("total", total)
+        .withColumn("first_middle", F.expr("(total - 1) DIV 2"))
+        .withColumn("second_middle", F.expr("total DIV 2"))
+        .withColumn("before", F.lit(0).cast("bigint"))
+        .drop("total")
+    )
+
+
+def value_counts(values: DataFrame) -> DataFrame:
+    return values.where(F.col("value").isNotNull()).groupBy(*_GROUP, "value").agg(F.sum("n").alias("n"))
+
+
+def group_medians(values: DataFrame, few: bool) -> DataFrame:
     """(series, member, value, n) -> (series, member, median); n is how often the row counts.
 
-    Scans `values` three times, so it should be a cheap scan (a written table), and runs two of the
-    passes at once. NULL values do not count; a group without values has no row.
+    `few` says that no group has more than about FEW_VALUES distinct values. Otherwise `values` is
+    scanned three times, so it should be a cheap scan (a written table), twice of that at once.
+    NULL values do not count; a group without values has no row.
     """
+    middle = _middle_of_counts(values) if few else _middle_by_narrowing(values)
+    median = (F.min("value") + F.max("value")) / 2
+    return middle.groupBy(*_GROUP).agg(median.alias("median"))
+
+
+def _middle_of_counts(values: DataFrame) -> DataFrame:
+    return _holding_middle(_with_ranks(value_counts(values)), _GROUP, "value")
+
+
+def _middle_by_narrowing(values: DataFrame) -> DataFrame:
     values = values.where(F.col("value").isNotNull()).withColumn("coarse", _coarse())
 
     coarse = values.groupBy(*_GROUP, "coarse").agg(
         F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    total = F.sum("n").over(Window.partitionBy(*_GROUP))
-    coarse = (
-        coarse.withColumn("total", total)
-        .withColumn("first_middle", F.expr("(total - 1) DIV 2"))
-        .withColumn("second_middle", F.expr("total DIV 2"))
-        .withColumn("before", F.lit(0).cast("bigint"))
-        .drop("total")
-    )
-    middle = _holding_middle(coarse, _GROUP, "coarse")
+    middle = _holding_middle(_with_ranks(coarse), _GROUP, "coarse")
     near = lookup(values, middle, [*_GROUP, "coarse"], spread="value").withColumn("fine", _fine())
 
     path = [*_GROUP, "coarse", "fine"]
-    ranks = [F.first(name).alias(name) for name in ("before", "first_middle", "second_middle")]
-    fine = near.groupBy(*path).agg(F.sum("n").alias("n"), *ranks)
+    ranks = ["before", "first_middle", "second_middle"]
+    carried = [F.first(name).alias(name) for name in ranks]
+    fine = near.groupBy(*path).agg(F.sum("n").alias("n"), *carried)
     middle = _holding_middle(fine, path[:3], "fine")
-    near = lookup(
-        near.drop("before", "first_middle", "second_middle"), middle, path, spread="value"
-    )
+    near = lookup(near.drop(*ranks), middle, path, spread="value")
 
-    distinct = near.groupBy(*path, "value").agg(F.sum("n").alias("n"), *ranks)
-    middle = _holding_middle(distinct, path, "value")
-    median = (F.min("value") + F.max("value")) / 2
-    return middle.groupBy(*_GROUP).agg(median.alias("median"))
+    distinct = near.groupBy(*path, "value").agg(F.sum("n").alias("n"), *carried)
+    return _holding_middle(distinct, path, "value")

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip
 from ..operators.dedup import first_per_key
 from ..operators.lookup import join_written
-from ..operators.medians import group_medians
+from ..operators.medians import FEW_VALUES, group_medians, value_counts
 from ..operators.shared_table import write_shared
 from ..schema import (
-    FAILED_WORDS, FILL_BY_COLUMN, FILL_BY_TYPE, FILL_WORD, MIN_FAILURE_DOWNTIME, NO_FAILURE,
+    FAILED_WORDS, FILL_BY_COLUMN, FILL_BY_TYPE, FILL_WORD, FILL_ZERO, MIN_FAILURE_DOWNTIME, NO_FAILURE,
     RISK_WORDS, VALID_RANGE,
 )
 
@@ -46,17 +46,20 @@ def stage(raw: DataFrame, first_by: list[str] | None = None) -> DataFrame:
     rows = drop_repeated_ids(raw, first_by)
     kinds = dict(rows.dtypes)
     parsed_date = F.col("date").try_cast("timestamp_ntz")
+    # Parse, then bound, in two steps: each cell is parsed once.
     rows = rows.withColumns(
         {
             "timestamp": F.coalesce(F.col("timestamp").try_cast("timestamp_ntz"), parsed_date),
             "date": parsed_date.cast("date"),
             "failure_flag": _flag(kinds["failure_flag"]),
-            **{name: _number(name, kinds[name]) for name in VALID_RANGE},
+            **{name: _number(F.col(name), kinds[name]) for name in VALID_RANGE},
         }
     )
-    rows = rows.withColumns(_time_parts()).fillna(FILL_WORD).fillna(
-        0.0, ["operating_hours", "downtime_minutes"]
+    rows = rows.withColumns(
+        {**_time_parts(), **{name: _bounded(F.col(name), *VALID_RANGE[name]) for name in VALID_RANGE}}
     )
+    rows = rows.withColumns({name: F.coalesce(name, F.lit(word)) for name, word in FILL_WORD.items()})
+    rows = rows.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in FILL_ZERO})
     failed = F.col("failure_flag") == 1
     known_type = F.coalesce("failure_type", F.lit(NO_FAILURE))
     return rows.withColumns(
@@ -70,19 +73,20 @@ def stage(raw: DataFrame, first_by: list[str] | None = None) -> DataFrame:
     )
 
 
-def _number(name: str, kind: str) -> Column:
-    """Parse and bound a measurement; what is no number becomes NULL.
+def _number(cell: Column, kind: str) -> Column:
+    """Parse a measurement; what is no number becomes NULL.
 
-    Java also reads '1d', '1f' and hexadecimal as numbers; those cells are text here. An infinite
-    value is bounded like any other, and is missing where there is no bound.
+    Java also reads '1d', '1f' and hexadecimal as numbers; those cells are text here.
     """
-    cell = F.col(name)
-    value = cell.try_cast("double")
-    if kind == "string":
-        value = F.when(~cell.rlike(r"^\s*[+-]?0[xX]|[0-9.][dDfF]\s*$"), value)
-    lower, upper = VALID_RANGE[name]
-    bounded = clip(F.when(~F.isnan(value), value), lower, upper)
-    return bounded if upper is not None else F.when(bounded < float("inf"), bounded)
+    value = F.nanvl(cell.try_cast("double"), F.lit(None))
+    if kind != "string":
+        return value
+    return F.when(~cell.rlike(r"[xX]|[0-9.][dDfF]\s*$"), value)
+
+
+def _bounded(value: Column, lower: float, upper: float | None) -> Column:
+    """Bound a measurement; infinity is missing where there is no bound."""
+    return clip(value if upper is not None else F.nullif(value, F.lit(float("inf"))), lower, upper)
 
 
 def _flag(kind: str) -> Column:
@@ -126,9 +130,12 @@ def gap_values(staged: DataFrame) -> DataFrame:
     A type without a single value of a sensor takes the median of the whole column, taken after the
     other types' gaps are filled.
     """
-    gaps = [F.count_if(F.col(name).isNull()).alias(f"gaps_{name}") for name in FILL_BY_TYPE]
-    types = write_shared(staged.groupBy("equipment_type").agg(*gaps))
-    medians = write_shared(group_medians(_measurements(staged)))
+    types = write_shared(_profile(staged))
+    measured = _measurements(staged)
+    few = _few_values(types)
+    if few:
+        measured = write_shared(value_counts(measured))
+    medians = write_shared(group_medians(measured, few))
 
     of_type = (
         medians.where(F.col("member") != EVERYTHING)
@@ -136,12 +143,12 @@ def gap_values(staged: DataFrame) -> DataFrame:
         .agg(*[_median_of(name) for name in FILL_BY_TYPE])
     )
     fills = write_shared(types.join(of_type, "equipment_type", "left"))
-    of_column = medians
+    of_column = medians.where(F.col("member") == EVERYTHING)
     unknown = reduce(or_, [F.col(f"fill_{name}").isNull() for name in FILL_BY_TYPE])
     if not fills.where(unknown).isEmpty():
-        of_column = of_column.unionByName(write_shared(_medians_after_fill(staged, fills)))
+        filled_up = _with_gaps_filled(measured, fills)
+        of_column = of_column.unionByName(write_shared(group_medians(filled_up, few)))
 
-    of_column = of_column.where(F.col("member") == EVERYTHING)
     constants = of_column.agg(
         F.struct(*[_median_of(name) for name in FILL_BY_TYPE + FILL_BY_COLUMN])
     ).scalar()
@@ -152,6 +159,22 @@ def gap_values(staged: DataFrame) -> DataFrame:
     )
 
 
+def _profile(staged: DataFrame) -> DataFrame:
+    """Per equipment type: gaps of each sensor, and about how many distinct values there are."""
+    gaps = [F.count_if(F.col(name).isNull()).alias(f"gaps_{name}") for name in FILL_BY_TYPE]
+    distinct = [
+        F.approx_count_distinct(name).alias(f"distinct_{name}")
+        for name in FILL_BY_TYPE + FILL_BY_COLUMN
+    ]
+    return staged.groupBy("equipment_type").agg(*gaps, *distinct)
+
+
+def _few_values(types: DataFrame) -> bool:
+    """Whether no group to take a median of has many distinct values; picks a way, not a result."""
+    most = F.greatest(*[F.sum(f"distinct_{name}") for name in FILL_BY_TYPE + FILL_BY_COLUMN])
+    return (types.agg(most).first()[0] or 0) <= FEW_VALUES
+
+
 def _median_of(name: str) -> Column:
     return F.max(F.when(F.col("series") == name, F.col("median"))).alias(f"fill_{name}")
 
@@ -174,12 +197,12 @@ def _measurements(staged: DataFrame) -> DataFrame:
     return _cells(staged, of_type + of_all)
 
 
-def _medians_after_fill(staged: DataFrame, fills: DataFrame) -> DataFrame:
-    """Column medians of the sensors with every gap of a type counted as that type's median."""
-    everything, one = F.lit(EVERYTHING), F.lit(1).cast("bigint")
-    measured = _cells(staged, [(name, everything, F.col(name), one) for name in FILL_BY_TYPE])
+def _with_gaps_filled(measured: DataFrame, fills: DataFrame) -> DataFrame:
+    """Sensors over everything, every gap of a type counting as that type's median."""
+    everything = F.lit(EVERYTHING)
+    of_sensors = measured.where(F.col("series").isin(FILL_BY_TYPE)).withColumn("member", everything)
     filled = _cells(
         fills,
         [(name, everything, F.col(f"fill_{name}"), F.col(f"gaps_{name}")) for name in FILL_BY_TYPE],
     )
-    return group_medians(measured.unionByName(filled.where("n > 0")))
+    return of_sensors.unionByName(filled.where("n > 0"))

@@ -61,6 +61,9 @@ FILL_BY_COLUMN = [
     "load_percent", "efficiency_percent", "energy_consumption_kwh", "days_since_last_maintenance",
 ]
 
+# Missing values: filled by 0.
+FILL_ZERO = ["operating_hours", "downtime_minutes"]
+
 # Missing values: filled by a word.
 FILL_WORD = {
     "shift": "Unknown",
