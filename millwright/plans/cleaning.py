@@ -163,7 +163,7 @@ def _profile(staged: DataFrame) -> DataFrame:
     """Per equipment type: gaps of each sensor, and about how many distinct values there are."""
     gaps = [F.count_if(F.col(name).isNull()).alias(f"gaps_{name}") for name in FILL_BY_TYPE]
     distinct = [
-        F.approx_count_distinct(name).alias(f"distinct_{name}")
+        F.approx_count_distinct(name, 0.3).alias(f"distinct_{name}")
         for name in FILL_BY_TYPE + FILL_BY_COLUMN
     ]
     return staged.groupBy("equipment_type").agg(*gaps, *distinct)

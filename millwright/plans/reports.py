@@ -136,7 +136,7 @@ def downtime_per_equipment(featured: DataFrame) -> DataFrame:
         )
         .withColumn("availability_pct", availability)
         .withColumn("avg_downtime_per_failure", per_failure)
-        .orderBy(F.desc("total_downtime_hours"), "equipment_id", "equipment_type")
+        .orderBy(F.desc("total_downtime_minutes"), "equipment_id", "equipment_type")
     )
 
 
@@ -163,7 +163,7 @@ def equipment_health(featured: DataFrame) -> DataFrame:
         machines, "avg_health_index", 0, 100, into="maintenance_priority", spread="equipment_id"
     )
     return ranked.withColumn("health_status", band(F.col("avg_health_index"), CONDITION_BANDS)).orderBy(
-        F.col("avg_health_index").asc_nulls_last(), *MACHINE
+        F.col("maintenance_priority").asc_nulls_last(), *MACHINE
     )
 
 

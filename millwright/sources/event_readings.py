@@ -98,7 +98,6 @@ def readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_raw(readings: DataFrame) -> DataFrame:
     """The same readings as dirty text, as a CSV file would deliver them."""
-    typed = readings_from_events(spark, sf_dir)
-    return typed.select([F.expr(text).alias(name) for name, text in RAW.items()])
+    return readings.select([F.expr(text).alias(name) for name, text in RAW.items()])

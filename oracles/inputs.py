@@ -21,8 +21,3 @@ RAW_READINGS = f"""{READINGS}, raw_readings AS (
 def on_readings(sql: str) -> str:
     return f"WITH {READINGS}\n{sql.strip()}"
 
-
-def rounded(columns: str) -> str:
-    """`name = expression` lines to a select list that rounds each expression to 6 places."""
-    pairs = (line.split("=", 1) for line in columns.strip().splitlines())
-    return ", ".join(f"round({expr.strip()}, 6) AS {name.strip()}" for name, expr in pairs)

@@ -22,8 +22,13 @@ def dec(value: str) -> str:
     return f"CAST({value} AS DECIMAL(18,2))"
 
 
+def rounded(value: str) -> str:
+    """6 places; the nudge makes a tie go up however its sum was ordered."""
+    return f"round({value} + 1e-9, 6)"
+
+
 def r(value: str, name: str) -> str:
-    return f"round({value}, 6) AS {name}"
+    return f"{rounded(value)} AS {name}"
 
 
 FAILURE_RATE = (
@@ -81,15 +86,15 @@ QUALITY = {
       FROM readings
       WHERE CASE failure_flag WHEN 1 THEN failure_type IS NULL OR downtime_minutes IS NULL
                               WHEN 0 THEN downtime_minutes > 0 END""",
-    "dq_temp_outliers": """
-      SELECT record_id, equipment_id, temperature_c, round(mean, 6) AS mean_temp,
-        round(abs(temperature_c - mean) / std, 6) AS z_score
+    "dq_temp_outliers": f"""
+      SELECT record_id, equipment_id, temperature_c, {r("mean", "mean_temp")},
+        {r("abs(temperature_c - mean) / std", "z_score")}
       FROM (SELECT *, avg(temperature_c) OVER () AS mean, stddev_samp(temperature_c) OVER () AS std
             FROM readings)
       WHERE abs(temperature_c - mean) > 3 * std""",
-    "dq_vibration_outliers": """
-      SELECT record_id, equipment_id, equipment_type, vibration_mm_s, round(mean, 6) AS mean_vib,
-        round(abs(vibration_mm_s - mean) / std, 6) AS z_score
+    "dq_vibration_outliers": f"""
+      SELECT record_id, equipment_id, equipment_type, vibration_mm_s, {r("mean", "mean_vib")},
+        {r("abs(vibration_mm_s - mean) / std", "z_score")}
       FROM (SELECT *, avg(vibration_mm_s) OVER kind AS mean, stddev_samp(vibration_mm_s) OVER kind AS std
             FROM readings WINDOW kind AS (PARTITION BY equipment_type))
       WHERE abs(vibration_mm_s - mean) > 3 * std""",
@@ -398,7 +403,14 @@ MAINTENANCE = {
       FROM ages""",
 }
 
+SOURCES = {
+    "source_table": "SELECT shift, count(*) AS reading_count FROM readings GROUP BY ALL",
+    "sink_parquet": "SELECT * FROM readings",
+    "preview_rows": "SELECT * FROM readings ORDER BY record_id NULLS LAST LIMIT 5",
+    "preview_shape": "SELECT count(*) AS row_count, 22 AS column_count FROM readings",
+}
+
 ON_READINGS = {
     **QUALITY, **RELIABILITY, **REPAIR, **HIGH_RISK, **SENSORS, **HEALTH, **PROBABILITY, **RISK,
-    **DOWNTIME, **DASHBOARD, **MAINTENANCE,
+    **DOWNTIME, **DASHBOARD, **MAINTENANCE, **SOURCES,
 }
