@@ -27,12 +27,16 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent as DECIMAL(5,2); only for shares that cannot pass 100."""
-    return ratio(part * 100.0, whole).cast("decimal(5,2)")
+    return two_decimals(ratio(part * 100.0, whole), digits=5)
 
 
-def two_decimals(value: Column) -> Column:
-    """DECIMAL(18,2): wide enough for sums and unbounded ratios."""
-    return value.cast("decimal(18,2)")
+def two_decimals(value: Column, digits: int = 18) -> Column:
+    """DECIMAL(digits,2); 18 digits are wide enough for sums and unbounded ratios.
+
+    The last bits of a mean depend on the order its values were added in. Rounding them away first
+    makes a half go up in every run.
+    """
+    return F.round(value, 9).cast(f"decimal({digits},2)")
 
 
 def failure_rate() -> Column:

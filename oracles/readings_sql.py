@@ -15,11 +15,12 @@ SHAKING = "(SELECT * FROM readings WHERE vibration_mm_s IS NOT NULL)"
 
 
 def pct(part: str, whole: str) -> str:
-    return f"CAST(({part}) * 100e0 / nullif({whole}, 0) AS DECIMAL(5,2))"
+    return dec(f"({part}) * 100e0 / nullif({whole}, 0)", digits=5)
 
 
-def dec(value: str) -> str:
-    return f"CAST({value} AS DECIMAL(18,2))"
+def dec(value: str, digits: int = 18) -> str:
+    """2 places; the nudge makes a half go away from 0 however its sum was ordered."""
+    return f"CAST(round(({value}) + sign({value}) * 1e-9, 2) AS DECIMAL({digits},2))"
 
 
 def rounded(value: str) -> str:
@@ -210,7 +211,7 @@ HEALTH = {
     "health_index_by_equipment": f"""
       SELECT equipment_id, equipment_type, {r("t", "avg_temp_score")}, {r("v", "avg_vib_score")},
         {r("e", "avg_eff_score")}, {r("k", "avg_risk_score")},
-        CAST(100 - (t + v + e + k) / 4 AS DECIMAL(5,2)) AS health_index,
+        {dec("100 - (t + v + e + k) / 4", digits=5)} AS health_index,
         CASE WHEN t + v + e + k <= 80 THEN 'Excellent' WHEN t + v + e + k <= 160 THEN 'Good'
              WHEN t + v + e + k <= 240 THEN 'Fair' WHEN t + v + e + k <= 320 THEN 'Poor'
              ELSE 'Critical' END AS health_status,
