@@ -73,5 +73,13 @@ def severity_order() -> Column:
     return order_of(F.col("failure_risk_level"), ["High", "Medium", "Low"])
 
 
+def first_by(measure: Column, keys: list[str]) -> list[Column]:
+    """Sort by a measure, ties by the keys.
+
+    Without the keys, a value that many rows share (a rate of 0) would send them all to one task.
+    """
+    return [measure, *[F.col(key) for key in keys]]
+
+
 def hours_between(earlier: Column, later: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", earlier, later) / F.lit(3.6e9)

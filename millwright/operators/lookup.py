@@ -19,26 +19,26 @@ def fits_broadcast(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
 
 
 def join_written(
-    facts: DataFrame, table: DataFrame, on: list[str], spread: str, how: str = "inner",
+    facts: DataFrame, table: DataFrame, on: list[str], spread: list[str], how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Join `facts` with a written `table` that has one row per key.
 
     A table of checked size is broadcast, so `facts` is not shuffled. A larger one is joined by
-    shuffle: each key is split into SALTS parts by a hash of `spread`, a column that varies within
-    a key, so that a key holding a third of all rows still spreads over many tasks.
+    shuffle: each key is split into SALTS parts by a hash of `spread`, columns that vary within a
+    key, so that a key holding a third of all rows still spreads over many tasks.
     """
     if fits_broadcast(table, max_rows):
         return facts.join(F.broadcast(table), on, how)
-    part = F.pmod(F.xxhash64(spread), F.lit(SALTS))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint")
+    part = F.pmod(F.xxhash64(*spread), F.lit(SALTS))
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     salted = facts.withColumn("_salt", part)
     copied = table.withColumn("_salt", copies)
     return salted.join(copied.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
 def lookup(
-    facts: DataFrame, summary: DataFrame, on: list[str], spread: str, how: str = "inner",
+    facts: DataFrame, summary: DataFrame, on: list[str], spread: list[str], how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Write `summary` once, measure it, and join it to `facts`."""

@@ -66,9 +66,10 @@ def value_counts(values: DataFrame) -> DataFrame:
 def group_medians(values: DataFrame, few: bool) -> DataFrame:
     """(series, member, value, n) -> (series, member, median); n is how often the row counts.
 
-    `few` says that no group has more than about FEW_VALUES distinct values. Otherwise `values` is
-    scanned three times, so it should be a cheap scan (a written table), twice of that at once.
-    NULL values do not count; a group without values has no row.
+    `few` says that no group has more than about FEW_VALUES distinct values. Otherwise `values` also
+    has an `id` that varies among equal values, and is scanned three times, twice of that at once:
+    it should be a cheap scan (a written table). NULL values do not count; a group without values
+    has no row.
     """
     middle = _middle_of_counts(values) if few else _middle_by_narrowing(values)
     median = (F.min("value") + F.max("value")) / 2
@@ -86,14 +87,14 @@ def _middle_by_narrowing(values: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
     middle = _holding_middle(_with_ranks(coarse), _GROUP, "coarse")
-    near = lookup(values, middle, [*_GROUP, "coarse"], spread="value").withColumn("fine", _fine())
+    near = lookup(values, middle, [*_GROUP, "coarse"], spread=["id"]).withColumn("fine", _fine())
 
     path = [*_GROUP, "coarse", "fine"]
     ranks = ["before", "first_middle", "second_middle"]
     carried = [F.first(name).alias(name) for name in ranks]
     fine = near.groupBy(*path).agg(F.sum("n").alias("n"), *carried)
     middle = _holding_middle(fine, path[:3], "fine")
-    near = lookup(near.drop(*ranks), middle, path, spread="value")
+    near = lookup(near.drop(*ranks), middle, path, spread=["id"])
 
     distinct = near.groupBy(*path, "value").agg(F.sum("n").alias("n"), *carried)
     return _holding_middle(distinct, path, "value")

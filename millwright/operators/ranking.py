@@ -10,7 +10,7 @@ DECIMALS = 9
 
 
 def average_rank(
-    df: DataFrame, value: str, lower: float, upper: float, into: str, spread: str
+    df: DataFrame, value: str, lower: float, upper: float, into: str, spread: list[str]
 ) -> DataFrame:
     """Add the ascending rank of `value`, equal values sharing the mean of their ranks.
 

@@ -119,7 +119,7 @@ def _risk_level() -> Column:
 def fill_gaps(staged: DataFrame) -> DataFrame:
     """Fill missing measurements with medians, joined by equipment type."""
     fills = write_shared(gap_values(staged))
-    joined = join_written(staged, fills, ["equipment_type"], spread="record_id")
+    joined = join_written(staged, fills, ["equipment_type"], spread=["record_id"])
     filled = {name: F.coalesce(name, f"fill_{name}") for name in FILL_BY_TYPE + FILL_BY_COLUMN}
     return joined.withColumns(filled).select(*staged.columns)
 
@@ -135,19 +135,20 @@ def gap_values(staged: DataFrame) -> DataFrame:
     few = _few_values(types)
     if few:
         measured = write_shared(value_counts(measured))
-    medians = write_shared(group_medians(measured, few))
+    # Counts are small, so steps on them stay one plan; steps on all readings are written one by one.
+    kept = (lambda df: df) if few else write_shared
 
+    medians = kept(group_medians(measured, few))
     of_type = (
         medians.where(F.col("member") != EVERYTHING)
         .groupBy(F.col("member").alias("equipment_type"))
         .agg(*[_median_of(name) for name in FILL_BY_TYPE])
     )
-    fills = write_shared(types.join(of_type, "equipment_type", "left"))
+    fills = kept(types.join(of_type, "equipment_type", "left"))
     of_column = medians.where(F.col("member") == EVERYTHING)
     unknown = reduce(or_, [F.col(f"fill_{name}").isNull() for name in FILL_BY_TYPE])
-    if not fills.where(unknown).isEmpty():
-        filled_up = _with_gaps_filled(measured, fills)
-        of_column = of_column.unionByName(write_shared(group_medians(filled_up, few)))
+    if few or not fills.where(unknown).isEmpty():
+        of_column = of_column.unionByName(kept(group_medians(_with_gaps_filled(measured, fills), few)))
 
     constants = of_column.agg(
         F.struct(*[_median_of(name) for name in FILL_BY_TYPE + FILL_BY_COLUMN])
@@ -179,14 +180,14 @@ def _median_of(name: str) -> Column:
     return F.max(F.when(F.col("series") == name, F.col("median"))).alias(f"fill_{name}")
 
 
-def _cells(df: DataFrame, cells: list[tuple[str, Column, Column, Column]]) -> DataFrame:
-    """(series, member, value, n) rows, one per cell and row of `df`."""
+def _cells(df: DataFrame, id_column: str, cells: list[tuple[str, Column, Column, Column]]) -> DataFrame:
+    """(id, series, member, value, n) rows, one per cell and row of `df`."""
     names = ["series", "member", "value", "n"]
     rows = [
         F.struct(*[part.alias(name) for name, part in zip(names, (F.lit(series), *parts))])
         for series, *parts in cells
     ]
-    return df.select(F.inline(F.array(*rows)))
+    return df.select(F.col(id_column).cast("string").alias("id"), F.inline(F.array(*rows)))
 
 
 def _measurements(staged: DataFrame) -> DataFrame:
@@ -194,7 +195,7 @@ def _measurements(staged: DataFrame) -> DataFrame:
     one = F.lit(1).cast("bigint")
     of_type = [(name, F.col("equipment_type"), F.col(name), one) for name in FILL_BY_TYPE]
     of_all = [(name, F.lit(EVERYTHING), F.col(name), one) for name in FILL_BY_COLUMN]
-    return _cells(staged, of_type + of_all)
+    return _cells(staged, "record_id", of_type + of_all)
 
 
 def _with_gaps_filled(measured: DataFrame, fills: DataFrame) -> DataFrame:
@@ -203,6 +204,7 @@ def _with_gaps_filled(measured: DataFrame, fills: DataFrame) -> DataFrame:
     of_sensors = measured.where(F.col("series").isin(FILL_BY_TYPE)).withColumn("member", everything)
     filled = _cells(
         fills,
+        "equipment_type",
         [(name, everything, F.col(f"fill_{name}"), F.col(f"gaps_{name}")) for name in FILL_BY_TYPE],
     )
-    return of_sensors.unionByName(filled.where("n > 0"))
+    return of_sensors.unionByName(filled.where("n > 0"), allowMissingColumns=True)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_month, failed, percent, ratio, two_decimals
+from ..functions.columns import by_month, failed, first_by, percent, ratio, two_decimals
 from ..operators.lookup import join_written
 from ..operators.shared_table import write_shared
 
@@ -66,16 +66,17 @@ def mttr_by_type(readings: DataFrame) -> DataFrame:
 
 
 def mttr_by_equipment(readings: DataFrame) -> DataFrame:
+    keys = ["equipment_id", "equipment_type", "manufacturer"]
     return (
         _repairs(readings)
-        .groupBy("equipment_id", "equipment_type", "manufacturer")
+        .groupBy(*keys)
         .agg(
             _events().alias("failure_count"),
             _mean().alias("mttr_minutes"),
             _total().alias("total_downtime_minutes"),
             _mean_hours().alias("mttr_hours"),
         )
-        .orderBy(F.desc("mttr_minutes"))
+        .orderBy(first_by(F.desc("mttr_minutes"), keys))
     )
 
 
@@ -126,7 +127,8 @@ def _most_downtime_first(repairs: DataFrame, keys: list[str], *measures: Column)
         _total().alias("total_downtime_minutes"),
         _total_hours().alias("total_downtime_hours"),
     ]
-    return repairs.groupBy(*keys).agg(*totals, *measures).orderBy(F.desc("total_downtime_minutes"))
+    rows = repairs.groupBy(*keys).agg(*totals, *measures)
+    return rows.orderBy(first_by(F.desc("total_downtime_minutes"), keys))
 
 
 def downtime_by_type(readings: DataFrame) -> DataFrame:
@@ -195,7 +197,7 @@ def downtime_top10(readings: DataFrame) -> DataFrame:
         _events().alias("failure_count"),
         _mean().alias("avg_downtime_per_failure"),
     )
-    return totals.orderBy(F.desc("total_downtime_minutes"), *MACHINE).limit(TOP_MACHINES)
+    return totals.limit(TOP_MACHINES)
 
 
 def downtime_worst_average(readings: DataFrame) -> DataFrame:
@@ -210,7 +212,7 @@ def downtime_worst_average(readings: DataFrame) -> DataFrame:
             _mean_hours().alias("avg_downtime_hours"),
         )
         .where(F.col("failure_count") >= MIN_FAILURES_FOR_AVERAGE)
-        .orderBy(F.desc("avg_downtime_per_failure"))
+        .orderBy(first_by(F.desc("avg_downtime_per_failure"), MACHINE))
     )
 
 
@@ -236,7 +238,7 @@ def downtime_vs_benchmark(readings: DataFrame) -> DataFrame:
     )
     variance = two_decimals(ratio((total - benchmark) * 100.0, benchmark))
     return (
-        join_written(machines, types, ["equipment_type"], spread="equipment_id")
+        join_written(machines, types, ["equipment_type"], spread=["equipment_id"])
         .select(
             "equipment_id",
             "equipment_type",
@@ -247,5 +249,5 @@ def downtime_vs_benchmark(readings: DataFrame) -> DataFrame:
             variance.alias("variance_from_benchmark_pct"),
             category.alias("performance_category"),
         )
-        .orderBy(F.desc("variance_from_benchmark_pct"))
+        .orderBy(first_by(F.desc("variance_from_benchmark_pct"), ["equipment_id", "equipment_type"]))
     )

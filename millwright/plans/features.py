@@ -34,7 +34,7 @@ def add_features(clean: DataFrame) -> DataFrame:
     sort all readings into a handful of tasks.
     """
     stats = write_shared(_statistics(clean))
-    rows = join_written(clean, stats, ["equipment_type"], spread="record_id")
+    rows = join_written(clean, stats, ["equipment_type"], spread=["record_id"])
     for label, sensor in _SENSORS.items():
         rows = rows.withColumn(f"{label}_zscore", _zscore(label, sensor))
     rows = rows.withColumns(

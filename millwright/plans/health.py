@@ -6,7 +6,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import failure_rate, two_decimals
+from ..functions.columns import failure_rate, first_by, two_decimals
 
 # ---------------------------------------------------------------------------
 # Wear scores run from 0 (good) to 100 (bad).
@@ -68,7 +68,7 @@ def health_index_by_equipment(readings: DataFrame) -> DataFrame:
             _status(F.col("index")).alias("health_status"),
             "failure_count",
         )
-        .orderBy(F.desc("health_index"))
+        .orderBy(first_by(F.desc("health_index"), ["equipment_id", "equipment_type"]))
     )
 
 

@@ -21,7 +21,7 @@ def report(featured: DataFrame) -> dict[str, DataFrame]:
 def write_report(featured: DataFrame, folder: str) -> None:
     """Write the features, then take every table of the report from what was written."""
     path = f"{folder.rstrip('/')}/features"
-    write_table(featured, path, partition_by=["year", "month"])
+    write_table(featured, path)
     stored = featured.sparkSession.read.schema(featured.schema).parquet(path)
     for name, table in report(stored).items():
         write_table(table, f"{folder.rstrip('/')}/{name}")

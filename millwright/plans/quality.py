@@ -118,7 +118,7 @@ def vibration_outliers(readings: DataFrame) -> DataFrame:
     stats = measured.groupBy("equipment_type").agg(
         F.avg("vibration_mm_s").alias("mean_vib"), F.stddev_samp("vibration_mm_s").alias("std_vib")
     )
-    joined = lookup(measured, stats, ["equipment_type"], spread="record_id")
+    joined = lookup(measured, stats, ["equipment_type"], spread=["record_id", "timestamp"])
     z_score = _deviations("vibration_mm_s", F.col("mean_vib"), F.col("std_vib"))
     return joined.select(
         "record_id", "equipment_id", "equipment_type", "vibration_mm_s", "mean_vib",

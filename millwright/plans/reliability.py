@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_month, failed, failure_count, failure_rate, ratio, two_decimals
+from ..functions.columns import by_month, failed, failure_count, failure_rate, first_by, ratio, two_decimals
 from ..operators.intervals import previous_pairs
 
 def _failure_rate(readings: DataFrame, keys: list, total: str = "failures") -> DataFrame:
@@ -24,7 +24,7 @@ def failure_rate_by_type(readings: DataFrame) -> DataFrame:
 
 def failure_rate_by_equipment(readings: DataFrame) -> DataFrame:
     keys = ["equipment_id", "equipment_type", "plant_area"]
-    return _failure_rate(readings, keys).orderBy(F.desc("failure_rate_pct"))
+    return _failure_rate(readings, keys).orderBy(first_by(F.desc("failure_rate_pct"), keys))
 
 
 def failure_rate_monthly(readings: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def mtbf_by_equipment(readings: DataFrame) -> DataFrame:
             F.max("hours").alias("max_time_between_failures"),
             F.stddev_samp("hours").alias("std_dev_hours"),
         )
-        .orderBy("mtbf_hours")
+        .orderBy(first_by(F.asc("mtbf_hours"), ["equipment_id", "equipment_type"]))
     )
 
 

@@ -160,7 +160,7 @@ def equipment_health(featured: DataFrame) -> DataFrame:
         )
     )
     ranked = average_rank(
-        machines, "avg_health_index", 0, 100, into="maintenance_priority", spread="equipment_id"
+        machines, "avg_health_index", 0, 100, into="maintenance_priority", spread=["equipment_id"]
     )
     return ranked.withColumn("health_status", band(F.col("avg_health_index"), CONDITION_BANDS)).orderBy(
         F.col("maintenance_priority").asc_nulls_last(), *MACHINE

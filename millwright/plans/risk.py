@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
-    by_month, failure_count, failure_rate, high_risk, percent, severity_order,
+    by_month, failure_count, failure_rate, first_by, high_risk, percent, severity_order,
 )
 from ..operators.lookup import lookup
 
@@ -37,16 +37,17 @@ def high_risk_by_type_area(readings: DataFrame) -> DataFrame:
 
 
 def high_risk_equipment_detail(readings: DataFrame) -> DataFrame:
+    keys = ["equipment_id", "equipment_type", "plant_area", "manufacturer"]
     return (
         readings.where(high_risk())
-        .groupBy("equipment_id", "equipment_type", "plant_area", "manufacturer")
+        .groupBy(*keys)
         .agg(
             _records("high_risk_occurrences"),
             F.avg("temperature_c").alias("avg_temp"),
             F.avg("vibration_mm_s").alias("avg_vibration"),
             F.max("timestamp").alias("last_high_risk_timestamp"),
         )
-        .orderBy(F.desc("high_risk_occurrences"))
+        .orderBy(first_by(F.desc("high_risk_occurrences"), keys))
     )
 
 
@@ -85,7 +86,7 @@ def failure_probability_historical(readings: DataFrame) -> DataFrame:
         "avg_vib",
         "avg_efficiency",
         category.alias("predicted_risk_category"),
-    ).orderBy(F.desc("historical_failure_probability_pct"))
+    ).orderBy(first_by(F.desc("historical_failure_probability_pct"), ["equipment_id"]))
 
 
 def failure_probability_by_condition(readings: DataFrame) -> DataFrame:
@@ -134,7 +135,7 @@ def failure_probability_current(readings: DataFrame) -> DataFrame:
     )
     adjusted = (F.col("baseline_failure_rate") * factor).cast("decimal(10,3)")
     return (
-        lookup(latest, baseline, ["equipment_type"], spread="equipment_id")
+        lookup(latest, baseline, ["equipment_type"], spread=["equipment_id"])
         .select(
             "equipment_id",
             "equipment_type",
@@ -145,7 +146,7 @@ def failure_probability_current(readings: DataFrame) -> DataFrame:
             "baseline_failure_rate",
             adjusted.alias("adjusted_failure_probability_pct"),
         )
-        .orderBy(F.desc("adjusted_failure_probability_pct"))
+        .orderBy(first_by(F.desc("adjusted_failure_probability_pct"), ["equipment_id"]))
     )
 
 

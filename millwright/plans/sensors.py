@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import failed, ratio, two_decimals
+from ..functions.columns import failed, first_by, ratio, two_decimals
 from ..operators.lookup import lookup
 
 # Fixed value: an alert lies this many deviations above the mean of its type.
@@ -51,15 +51,16 @@ def temp_by_type(readings: DataFrame) -> DataFrame:
 
 
 def temp_by_equipment(readings: DataFrame) -> DataFrame:
+    keys = ["equipment_id", "equipment_type", "plant_area"]
     return (
         _measured(readings, "temperature_c")
-        .groupBy("equipment_id", "equipment_type", "plant_area")
+        .groupBy(*keys)
         .agg(
             F.avg("temperature_c").alias("avg_temperature"),
             F.max("temperature_c").alias("max_temperature"),
             _mean_when(failed(), "temperature_c").alias("avg_temp_at_failure"),
         )
-        .orderBy(F.desc("avg_temperature"))
+        .orderBy(first_by(F.desc("avg_temperature"), keys))
     )
 
 
@@ -108,15 +109,16 @@ def vib_by_type(readings: DataFrame) -> DataFrame:
 
 
 def vib_by_equipment(readings: DataFrame) -> DataFrame:
+    keys = ["equipment_id", "equipment_type", "plant_area", "manufacturer"]
     return (
         _measured(readings, "vibration_mm_s")
-        .groupBy("equipment_id", "equipment_type", "plant_area", "manufacturer")
+        .groupBy(*keys)
         .agg(
             F.avg("vibration_mm_s").alias("avg_vibration"),
             F.max("vibration_mm_s").alias("max_vibration"),
             _mean_when(failed(), "vibration_mm_s").alias("avg_vib_at_failure"),
         )
-        .orderBy(F.desc("avg_vibration"))
+        .orderBy(first_by(F.desc("avg_vibration"), keys))
     )
 
 
@@ -140,11 +142,11 @@ def vib_alerts(readings: DataFrame) -> DataFrame:
     limit = F.avg("vibration_mm_s") + ALERT_DEVIATIONS * F.stddev_samp("vibration_mm_s")
     limits = measured.groupBy("equipment_type").agg(limit.alias("upper_threshold"))
     return (
-        lookup(measured, limits, ["equipment_type"], spread="record_id")
+        lookup(measured, limits, ["equipment_type"], spread=["record_id", "timestamp"])
         .where(F.col("vibration_mm_s") > F.col("upper_threshold"))
         .select(
             "equipment_id", "equipment_type", "timestamp", "vibration_mm_s", "upper_threshold",
             "failure_flag",
         )
-        .orderBy(F.desc("vibration_mm_s"))
+        .orderBy(first_by(F.desc("vibration_mm_s"), ["equipment_id", "timestamp"]))
     )
