@@ -27,7 +27,7 @@ _SENSORS = {"temp": "temperature_c", "vibration": "vibration_mm_s"}
 
 
 def add_features(clean: DataFrame) -> DataFrame:
-    """Add the derived columns.
+    """Add the derived columns. Write the result before filtering on them (see `job.prepare`).
 
     Means and deviations per equipment type, and minima and maxima over all readings, come from one
     grouped pass; that small table is joined back. A window over equipment_type would shuffle and
@@ -48,7 +48,9 @@ def add_features(clean: DataFrame) -> DataFrame:
         }
     )
     wear = sum((F.col(name) * share for name, share in WEAR_SHARES.items()), F.lit(0.0))
-    rows = rows.withColumn("health_index", clip(100 - 100 * wear, 0, 100))
+    # Compute, then bound, in two steps: the sum is computed once.
+    rows = rows.withColumn("health_index", 100 - 100 * wear)
+    rows = rows.withColumn("health_index", clip(F.col("health_index"), 0, 100))
 
     wait = F.try_divide("days_since_last_maintenance", F.col("whole.max_days"))
     chance = (
@@ -56,7 +58,8 @@ def add_features(clean: DataFrame) -> DataFrame:
         + F.col("risk_numeric") * RISK_SHARE
         + wait * MAINTENANCE_SHARE
     )
-    rows = rows.withColumn("failure_probability", clip(100 * chance, 0, 100))
+    rows = rows.withColumn("failure_probability", 100 * chance)
+    rows = rows.withColumn("failure_probability", clip(F.col("failure_probability"), 0, 100))
     risky = (
         F.col("failure_risk_level").isin(HIGH_RISK_LEVELS)
         | F.coalesce(F.col("failure_probability") > HIGH_PROBABILITY, F.lit(False))

@@ -2,15 +2,24 @@
 
 from pyspark.sql import DataFrame
 
+from ..operators.shared_table import write_shared
 from ..sources.readings import write_table
 from .cleaning import clean_readings
 from .features import add_features
 from .reports import REPORT
 
 
-def prepare(raw: DataFrame, first_by: list[str] | None = None) -> DataFrame:
-    """Clean raw readings and add the features. `first_by` orders the rows of a repeated id."""
-    return add_features(clean_readings(raw, first_by))
+def prepare(raw: DataFrame, path: str | None = None, first_by: list[str] | None = None) -> DataFrame:
+    """Clean raw readings, add the features, and store the result at `path` or in the shared folder.
+
+    Every report reads a few columns of it, and filters on features reach the scan. `first_by`
+    orders the rows of a repeated id.
+    """
+    featured = add_features(clean_readings(raw, first_by))
+    if path is None:
+        return write_shared(featured)
+    write_table(featured, path)
+    return featured.sparkSession.read.schema(featured.schema).parquet(path)
 
 
 def report(featured: DataFrame) -> dict[str, DataFrame]:
@@ -19,9 +28,6 @@ def report(featured: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_report(featured: DataFrame, folder: str) -> None:
-    """Write the features, then take every table of the report from what was written."""
-    path = f"{folder.rstrip('/')}/features"
-    write_table(featured, path)
-    stored = featured.sparkSession.read.schema(featured.schema).parquet(path)
-    for name, table in report(stored).items():
+    """Write every table of the report."""
+    for name, table in report(featured).items():
         write_table(table, f"{folder.rstrip('/')}/{name}")

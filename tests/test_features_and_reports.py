@@ -176,6 +176,6 @@ def test_job_writes_the_report(spark, folder):
         {"equipment_id": f"E{i % 3}", "temperature_c": str(40 + i), "vibration_mm_s": str(i), "failure_flag": str(i % 2)}
         for i in range(9)
     ]
-    write_report(prepare(raw(spark, rows)), folder)
+    write_report(prepare(raw(spark, rows), f"{folder}/features"), folder)
     for name in ["features", *reports.REPORT]:
         assert spark.read.parquet(f"{folder}/{name}").count() > 0, name
