@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import failed, hours_between
@@ -114,7 +114,12 @@ def filtered_view(
         if value is not None:
             rows = rows.where(F.col(name) == value)
     if start is not None:
-        rows = rows.where(F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+        rows = rows.where(F.col("timestamp") >= _time(start))
     if end is not None:
-        rows = rows.where(F.col("timestamp") < F.lit(end).cast("timestamp_ntz"))
+        rows = rows.where(F.col("timestamp") < _time(end))
     return rows
+
+
+def _time(moment: datetime) -> Column:
+    """The moment as written, whatever the time zone of the session."""
+    return F.lit(str(moment)).cast("timestamp_ntz")

@@ -17,7 +17,7 @@ from millwright.operators.dedup import first_per_key
 from millwright.operators.intervals import previous_pairs
 from millwright.operators.ranking import average_rank
 from millwright.operators.shared_table import shared_folder, write_shared
-from millwright.plans import quality, sensors
+from millwright.plans import maintenance, quality, sensors
 
 START = datetime(2024, 1, 1)
 
@@ -195,6 +195,17 @@ def test_filters_and_columns_reach_the_scan(readings):
     assert "ReadSchema: struct<equipment_type:string,failure_flag:int,downtime_minutes:double>" in text
 
 
+def test_dashboard_filters_reach_the_stored_features(spark, sf_dir):
+    view = maintenance.filtered_view(
+        entry.prepare_features(spark, sf_dir), "EQ-00001", START, START + timedelta(days=90), "Preventive", "Fair"
+    )
+    text = spark._jvm.PythonSQLUtils.explainString(view.select("health_index")._jdf.queryExecution(), "formatted")
+    for column in ("equipment_id", "maintenance_type", "operating_condition"):
+        assert f"EqualTo({column}," in text
+    assert "GreaterThanOrEqual(timestamp,2024-01-01T00:00)" in text
+    assert "LessThan(timestamp,2024-03-31T00:00)" in text
+
+
 @pytest.mark.parametrize("name", ["dashboard_executive", "dashboard_by_type"])
 def test_counting_machines_does_not_expand_rows(name, readings):
     assert "Expand" not in plan(catalog.ON_READINGS[name](readings))
