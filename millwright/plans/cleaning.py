@@ -20,7 +20,8 @@ from ..schema import (
     RISK_WORDS, VALID_RANGE,
 )
 
-EVERYTHING = "*"
+# Whose median it is: of one equipment type (prefix and name), or of all readings.
+OF_TYPE, EVERYTHING = "type ", "everything"
 
 
 def clean_readings(raw: DataFrame, first_by: list[str] | None = None) -> DataFrame:
@@ -135,20 +136,18 @@ def gap_values(staged: DataFrame) -> DataFrame:
     few = _few_values(types)
     if few:
         measured = write_shared(value_counts(measured))
-    # Counts are small, so steps on them stay one plan; steps on all readings are written one by one.
-    kept = (lambda df: df) if few else write_shared
-
-    medians = kept(group_medians(measured, few))
+    medians = write_shared(group_medians(measured, few))
     of_type = (
         medians.where(F.col("member") != EVERYTHING)
-        .groupBy(F.col("member").alias("equipment_type"))
+        .groupBy(F.expr(f"substring(member, {len(OF_TYPE) + 1})").alias("equipment_type"))
         .agg(*[_median_of(name) for name in FILL_BY_TYPE])
     )
-    fills = kept(types.join(of_type, "equipment_type", "left"))
+    fills = write_shared(types.join(of_type, "equipment_type", "left"))
     of_column = medians.where(F.col("member") == EVERYTHING)
     unknown = reduce(or_, [F.col(f"fill_{name}").isNull() for name in FILL_BY_TYPE])
-    if few or not fills.where(unknown).isEmpty():
-        of_column = of_column.unionByName(kept(group_medians(_with_gaps_filled(measured, fills), few)))
+    if not fills.where(unknown).isEmpty():
+        filled_up = _with_gaps_filled(measured, fills)
+        of_column = of_column.unionByName(write_shared(group_medians(filled_up, few)))
 
     constants = of_column.agg(
         F.struct(*[_median_of(name) for name in FILL_BY_TYPE + FILL_BY_COLUMN])
@@ -193,7 +192,8 @@ def _cells(df: DataFrame, id_column: str, cells: list[tuple[str, Column, Column,
 def _measurements(staged: DataFrame) -> DataFrame:
     """All measurements to take a median of: by type, or over everything."""
     one = F.lit(1).cast("bigint")
-    of_type = [(name, F.col("equipment_type"), F.col(name), one) for name in FILL_BY_TYPE]
+    member = F.concat(F.lit(OF_TYPE), "equipment_type")
+    of_type = [(name, member, F.col(name), one) for name in FILL_BY_TYPE]
     of_all = [(name, F.lit(EVERYTHING), F.col(name), one) for name in FILL_BY_COLUMN]
     return _cells(staged, "record_id", of_type + of_all)
 
