@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_month, failed, first_by, percent, ratio, two_decimals
+from ..functions.columns import by_month, failed, first_by, ratio, two_decimals
 from ..operators.lookup import join_written
 from ..operators.shared_table import write_shared
 
@@ -174,7 +174,7 @@ def downtime_by_failure_type(readings: DataFrame) -> DataFrame:
         _events().alias("occurrence_count"),
         _mean().alias("avg_downtime_per_occurrence"),
     )
-    share = percent(F.col("total_downtime_minutes"), all_failures)
+    share = two_decimals(ratio(F.col("total_downtime_minutes") * 100.0, all_failures))
     return totals.withColumn("percentage_of_total_downtime", share)
 
 

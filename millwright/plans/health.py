@@ -64,7 +64,7 @@ def health_index_by_equipment(readings: DataFrame) -> DataFrame:
             "equipment_id",
             "equipment_type",
             *scores,
-            two_decimals(F.col("index"), digits=5).alias("health_index"),
+            two_decimals(F.col("index")).alias("health_index"),
             _status(F.col("index")).alias("health_status"),
             "failure_count",
         )

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import failed, first_by, ratio, two_decimals
 from ..operators.lookup import lookup
+from ..operators.shared_table import write_shared
 
 # Fixed value: an alert lies this many deviations above the mean of its type.
 ALERT_DEVIATIONS = 2
@@ -137,16 +138,22 @@ def vib_normal_vs_failure(readings: DataFrame) -> DataFrame:
 
 
 def vib_alerts(readings: DataFrame) -> DataFrame:
-    """Readings above mean + 2 deviations of their equipment type."""
+    """Readings above mean + 2 deviations of their equipment type.
+
+    The alerts are written before they are sorted: a sort runs its input twice, and this one is a
+    scan of all readings.
+    """
     measured = _measured(readings, "vibration_mm_s")
     limit = F.avg("vibration_mm_s") + ALERT_DEVIATIONS * F.stddev_samp("vibration_mm_s")
     limits = measured.groupBy("equipment_type").agg(limit.alias("upper_threshold"))
-    return (
+    alerts = (
         lookup(measured, limits, ["equipment_type"], spread=["record_id", "timestamp"])
         .where(F.col("vibration_mm_s") > F.col("upper_threshold"))
         .select(
             "equipment_id", "equipment_type", "timestamp", "vibration_mm_s", "upper_threshold",
             "failure_flag",
         )
-        .orderBy(first_by(F.desc("vibration_mm_s"), ["equipment_id", "timestamp"]))
+    )
+    return write_shared(alerts).orderBy(
+        first_by(F.desc("vibration_mm_s"), ["equipment_id", "timestamp"])
     )

@@ -211,7 +211,7 @@ HEALTH = {
     "health_index_by_equipment": f"""
       SELECT equipment_id, equipment_type, {r("t", "avg_temp_score")}, {r("v", "avg_vib_score")},
         {r("e", "avg_eff_score")}, {r("k", "avg_risk_score")},
-        {dec("100 - (t + v + e + k) / 4", digits=5)} AS health_index,
+        {dec("100 - (t + v + e + k) / 4")} AS health_index,
         CASE WHEN t + v + e + k <= 80 THEN 'Excellent' WHEN t + v + e + k <= 160 THEN 'Good'
              WHEN t + v + e + k <= 240 THEN 'Fair' WHEN t + v + e + k <= 320 THEN 'Poor'
              ELSE 'Critical' END AS health_status,
@@ -314,7 +314,7 @@ DOWNTIME = {
     "downtime_by_failure_type": f"""
       SELECT failure_type, {MINUTES}, {HOURS}, count(*) AS occurrence_count,
         {r(MEAN, "avg_downtime_per_occurrence")},
-        {pct("sum(downtime_minutes)", "(SELECT sum(downtime_minutes) FROM readings WHERE failure_flag = 1)")}
+        {dec("sum(downtime_minutes) * 100 / (SELECT sum(downtime_minutes) FROM readings WHERE failure_flag = 1)")}
           AS percentage_of_total_downtime
       FROM {REPAIRS} GROUP BY ALL HAVING failure_type IS NOT NULL""",
     "downtime_by_equipment": f"""

@@ -171,6 +171,20 @@ def test_filtered_view(spark):
     assert column(period, "record_id") == [2, 3]
 
 
+def test_report_from_a_csv_file(spark, sf_dir, folder, capsys):
+    import __spark_entry__ as entry
+    import run_report
+    from millwright.sources.event_readings import as_raw
+
+    raw_rows = as_raw(entry.prepare_readings(spark, sf_dir))
+    raw_rows.write.option("header", True).csv(f"{folder}/input.csv")
+    run_report.main(f"{folder}/input.csv", f"{folder}/out")
+    assert "equipment_type_kpis" in capsys.readouterr().out
+    written = spark.read.parquet(f"{folder}/out/overall_kpis").first()
+    known = reports.overall_kpis(entry.prepare_features(spark, sf_dir)).first()
+    assert written == pytest.approx(known)
+
+
 def test_job_writes_the_report(spark, folder):
     rows = [
         {"equipment_id": f"E{i % 3}", "temperature_c": str(40 + i), "vibration_mm_s": str(i), "failure_flag": str(i % 2)}

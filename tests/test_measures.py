@@ -153,6 +153,13 @@ def test_health_scores_and_status(spark):
     assert (rows[1]["avg_eff_score"], rows[1]["avg_risk_score"]) == (20.0, 25.0)
 
 
+def test_wild_raw_values_do_not_overflow(spark):
+    df = typed(spark, [{"efficiency_percent": -1e7, "failure_flag": 1, "downtime_minutes": 1e9, "failure_type": "X"},
+                       {"efficiency_percent": 1e7, "failure_flag": 1, "downtime_minutes": 1.0 - 1e9}])
+    for measure in catalog.ON_READINGS.values():
+        measure(df).collect()
+
+
 def test_latest_reading_and_scaled_rate(spark):
     df = typed(
         spark,
