@@ -16,7 +16,7 @@ from ..operators.lookup import join_written
 from ..operators.medians import FEW_VALUES, group_medians, value_counts
 from ..operators.shared_table import write_shared
 from ..schema import (
-    FAILED_WORDS, FILL_BY_COLUMN, FILL_BY_TYPE, FILL_WORD, FILL_ZERO, MIN_FAILURE_DOWNTIME, NO_FAILURE,
+    FAILED_WORDS, FILE_ORDER, FILL_BY_COLUMN, FILL_BY_TYPE, FILL_WORD, FILL_ZERO, MIN_FAILURE_DOWNTIME, NO_FAILURE,
     RISK_WORDS, VALID_RANGE,
 )
 
@@ -33,13 +33,15 @@ def clean_readings(raw: DataFrame, first_by: list[str] | None = None) -> DataFra
 
 
 def drop_repeated_ids(raw: DataFrame, first_by: list[str] | None = None) -> DataFrame:
-    """Keep the first row of each record id.
+    """Keep the first row of each record id: by `first_by`, or by place in the files if it is known.
 
-    Files read in parallel have no first row, so without `first_by` the order is by time, then by
-    all other columns: the same row is kept however the input is split.
+    A table has no first row, so otherwise the order is by time, then by all other columns: the same
+    row is kept however the input is split.
     """
+    if first_by is None and FILE_ORDER in raw.columns:
+        first_by = [FILE_ORDER]
     others = [name for name in raw.columns if name not in ("record_id", "timestamp")]
-    return first_per_key(raw, "record_id", first_by or ["timestamp", *others])
+    return first_per_key(raw, "record_id", first_by or ["timestamp", *others]).drop(FILE_ORDER)
 
 
 def stage(raw: DataFrame, first_by: list[str] | None = None) -> DataFrame:

@@ -35,6 +35,9 @@ READINGS_SCHEMA = T.StructType(
     ]
 )
 
+# Place of a row in its files, if the reader was asked to keep it.
+FILE_ORDER = "file_order"
+
 # Text that a CSV cell may hold instead of a value (pandas' documented default list).
 NA_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",

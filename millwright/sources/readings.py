@@ -1,22 +1,32 @@
 """Reading, registering, previewing and writing the readings table."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import NA_TOKENS, READINGS_SCHEMA, TABLE_NAME
+from ..schema import FILE_ORDER, NA_TOKENS, READINGS_SCHEMA, TABLE_NAME
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
     """Raw readings from CSV with a header row: every cell as text, missing-value words as NULL.
 
     Cells stay text because a bad cell must become NULL by itself (see the cleaning plan), and
-    because inferring types would cost one more pass over the files.
+    because inferring types would cost one more pass over the files. `keep_order` adds each row's
+    place (file, start of its split, row in the split), so that cleaning keeps the first row of a
+    repeated id as the files list them, however they are split over tasks.
     """
     cells = spark.read.option("header", True).option("escape", '"').csv(path)
-    return cells.select([blank_to_null(name).alias(name) for name in cells.columns])
-
-
-def blank_to_null(name: str):
+    columns = [blank_to_null(name).alias(name) for name in cells.columns]
+    if keep_order:
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        columns.append(place.alias(FILE_ORDER))
+    return cells.select(columns)
+
+
+def blank_to_null(name: str) -> Column:
     cell = F.col(name)
     return F.when(~cell.isin(NA_TOKENS), cell)
 

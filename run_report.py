@@ -13,7 +13,7 @@ from millwright.sources import readings
 
 def main(source: str, folder: str) -> None:
     spark = SparkSession.builder.appName("equipment report").getOrCreate()
-    featured = job.prepare(readings.read_csv(spark, source), f"{folder}/features")
+    featured = job.prepare(readings.read_csv(spark, source, keep_order=True), f"{folder}/features")
     job.write_report(featured, folder)
     for name in job.REPORT:
         print(name)

@@ -1,7 +1,9 @@
+import random
 from datetime import datetime
 
 import pytest
 
+from millwright.plans.cleaning import stage
 from millwright.schema import READINGS_SCHEMA, TABLE_NAME
 from millwright.sources import readings
 
@@ -24,6 +26,28 @@ def test_csv_cells_are_text_and_missing_words_are_null(spark, folder):
     ]
 
 
+def test_first_row_in_the_files_is_kept_however_they_are_split(spark, folder):
+    rng, lines = random.Random(11), 400
+    names = list(DEFAULT)
+    first = {}
+    for part in ("a", "b"):
+        with open(f"{folder}/{part}.csv", "w") as file:
+            file.write(",".join(names) + "\n")
+            for line in range(lines):
+                row = DEFAULT | {"record_id": rng.randrange(150), "shift": f"{part}{line}"}
+                first.setdefault(str(row["record_id"]), row["shift"])
+                file.write(",".join("" if row[name] is None else str(row[name]) for name in names) + "\n")
+    for split in ("128m", "7k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        raw = readings.read_csv(spark, folder, keep_order=True)
+        kept = stage(raw)
+        assert "file_order" not in kept.columns
+        assert dict(kept.select("record_id", "shift").collect()) == first
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_existing_sql_runs_on_the_registered_table(spark):
     readings.register(typed(spark, [{}, {"failure_flag": 1}]))
     row = spark.sql(f"SELECT count(*) n, sum(failure_flag) f FROM {TABLE_NAME}").first()
