@@ -15,10 +15,12 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    assert set(SQL) <= set(QUERIES)
+    without = set(QUERIES) - set(SQL)
+    assert all(name == "pipeline" or name.startswith("op") for name in without)  # tested in tests/llm
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_query(name, spark, sf_dir, con):
     types, rows = compare.actual(QUERIES[name](spark, sf_dir))
     expected_types, expected_rows = compare.expected(con, SQL[name])
