@@ -119,28 +119,28 @@ WITH lines AS (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
     FROM documents
 ), sets AS (
-    SELECT doc_id, line::INT AS line, row_number() OVER (ORDER BY doc_id, line) AS at,
+    SELECT doc_id, line::INT AS line, row_number() OVER (ORDER BY doc_id, line) AS spot,
            list_sort(list_filter(list_distinct(regexp_split_to_array(lower(text), '\s+')), w -> w <> '')) AS words
     FROM lines
 ), worded AS (
-    SELECT *, len(words) AS n, min(at) OVER (PARTITION BY words) AS first FROM sets WHERE len(words) > 0
+    SELECT *, len(words) AS n, min(spot) OVER (PARTITION BY words) AS first FROM sets WHERE len(words) > 0
 ), firsts AS (
-    SELECT at, n, words FROM worded WHERE at = first
+    SELECT spot, n, words FROM worded WHERE spot = first
 ), tokens AS (
-    SELECT at, n, unnest(words) AS word FROM firsts
+    SELECT spot, n, unnest(words) AS word FROM firsts
 ), ranked AS (
-    SELECT at, n, word, row_number() OVER (PARTITION BY at ORDER BY count(*) OVER (PARTITION BY word), word) AS place
+    SELECT spot, n, word, row_number() OVER (PARTITION BY spot ORDER BY count(*) OVER (PARTITION BY word), word) AS place
     FROM tokens
 ), prefix AS (
     SELECT * FROM ranked WHERE place <= n - ceil(0.8 * n) + 1
 ), pairs AS (
-    SELECT DISTINCT x.at AS later, y.at AS earlier
-    FROM prefix x JOIN prefix y ON x.word = y.word AND y.at < x.at AND y.n >= 0.8 * x.n AND x.n >= 0.8 * y.n
+    SELECT DISTINCT x.spot AS later, y.spot AS earlier
+    FROM prefix x JOIN prefix y ON x.word = y.word AND y.spot < x.spot AND y.n >= 0.8 * x.n AND x.n >= 0.8 * y.n
 ), gone AS (
-    SELECT DISTINCT later FROM pairs JOIN firsts x ON later = x.at JOIN firsts y ON earlier = y.at
+    SELECT DISTINCT later FROM pairs JOIN firsts x ON later = x.spot JOIN firsts y ON earlier = y.spot
     WHERE 9 * len(list_intersect(x.words, y.words)) >= 4 * (x.n + y.n)
 )
-SELECT doc_id, line FROM worded WHERE at <> first OR first IN (SELECT later FROM gone)
+SELECT doc_id, line FROM worded WHERE spot <> first OR first IN (SELECT later FROM gone)
 """
 
 
