@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_GROUPS = 1000
-PLAIN_ROWS = 10_000
+PLAIN_ROWS = 1000
 
 
 def with_group(rows: DataFrame, keys: list[str], total: int, *aggregates: Column, names: str | None = None) -> DataFrame:
@@ -17,8 +17,10 @@ def with_group(rows: DataFrame, keys: list[str], total: int, *aggregates: Column
     `names` adds a column with one integer for each distinct key: cold keys are sorted within their
     partition and numbered from 1, hot ones are numbered downwards from -1.
 
-    Keys must not be NULL. `rows` is read three times, so it should be a stored table or a projection of one.
+    Rows with a NULL key are left out. `rows` is read three times, so it should be a stored table or a projection of one.
     """
+    for key in keys:  # said here once, it is the same plan, and so one exchange, for all uses below
+        rows = rows.where(F.col(key).isNotNull())
     most = max(PLAIN_ROWS, total // HOT_GROUPS)
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *aggregates)
 

@@ -120,7 +120,7 @@ WITH lines AS (
     FROM documents
 ), sets AS (
     SELECT doc_id, line::INT AS line, row_number() OVER (ORDER BY doc_id, line) AS spot,
-           list_sort(list_filter(list_distinct(regexp_split_to_array(lower(text), '\s+')), w -> w <> '')) AS words
+           list_sort(list_filter(list_distinct(regexp_split_to_array(lower(text), '\s+')), lambda w: w <> '')) AS words
     FROM lines
 ), worded AS (
     SELECT *, len(words) AS n, min(spot) OVER (PARTITION BY words) AS first FROM sets WHERE len(words) > 0
@@ -128,9 +128,10 @@ WITH lines AS (
     SELECT spot, n, words FROM worded WHERE spot = first
 ), tokens AS (
     SELECT spot, n, unnest(words) AS word FROM firsts
+), counted AS (
+    SELECT *, count(*) OVER (PARTITION BY word) AS lines FROM tokens
 ), ranked AS (
-    SELECT spot, n, word, row_number() OVER (PARTITION BY spot ORDER BY count(*) OVER (PARTITION BY word), word) AS place
-    FROM tokens
+    SELECT spot, n, word, row_number() OVER (PARTITION BY spot ORDER BY lines, word) AS place FROM counted
 ), prefix AS (
     SELECT * FROM ranked WHERE place <= n - ceil(0.8 * n) + 1
 ), pairs AS (
