@@ -13,17 +13,28 @@ from millwright.operators.shared_table import write_shared
 
 from .bit_filter import maybe_in
 
-TALLIES = 1 << 20
+TALLIES = 1 << 18
 NO_ID = 9223372036854775807
 NEVER = 2147483647
 
 
-def _lines(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc, line, words): every line that has words; a NULL id comes after all others."""
+def _texts(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc, line, text): every line; a NULL id comes after all others."""
     doc = F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID))
-    lines = documents.select(doc.alias("doc"), F.posexplode(F.split(F.col(text_column), "\n")).alias("line", "text"))
-    words = F.array_remove(F.array_distinct(F.split(F.lower("text"), r"\s+")), "")
-    return lines.select("doc", "line", words.alias("words")).where(F.size("words") > 0)
+    return documents.select(doc.alias("doc"), F.posexplode(F.split(F.col(text_column), "\n")).alias("line", "text"))
+
+
+def _words() -> Column:
+    """The different words of `text` in lower case, cut at ASCII white space."""
+    return F.array_remove(F.array_distinct(F.split(F.translate(F.lower("text"), "\t\x0b\f\r", "    "), " ")), "")
+
+
+def _same() -> Column:
+    return F.md5(F.col("text").cast("binary"))
+
+
+def _with_words(texts: DataFrame) -> DataFrame:
+    return texts.withColumn("words", _words()).where(F.size("words") > 0)
 
 
 def _tally(word: Column) -> Column:
@@ -31,26 +42,31 @@ def _tally(word: Column) -> Column:
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """An array of TALLIES counts of lines, by hash of the word: one value of fixed size, for any corpus."""
+    """One byte for each of TALLIES classes of words, by hash: how many lines have them, in quarters of a power of two.
+
+    Words in one line only mostly have 1. The table has a fixed size for any corpus, so it may pass the
+    driver and go to all tasks. It only sets an order of words; a coarse one costs time, never results.
+    """
     counts = lines.select(F.explode("words").alias("word")).groupBy(_tally(F.col("word")).alias("at")).count()
-    counts = counts.sparkSession.range(TALLIES).select(F.col("id").cast("int").alias("at")).join(counts, "at", "left")
-    # eighths of a power of two; a word alone has 1
-    grade = F.least(F.floor(F.log2(F.coalesce("count", F.lit(1)) + 0.0) * 4) + 1, F.lit(126)).cast("int")
-    return counts.agg(F.sort_array(F.collect_list(F.struct("at", grade.alias("grade")))).alias("all")).select("all.grade").scalar()
+    grade = F.least(F.floor(F.log2(F.col("count") + 0.0) * 4) + 1, F.lit(126)).cast("int")
+    found = counts.select("at", grade.alias("grade")).toPandas()
+    table = bytearray(b"\1" * TALLIES)
+    for at, value in zip(found["at"].tolist(), found["grade"].tolist()):
+        table[at] = value
+    return F.lit(bytes(table))
 
 
-def _sets(lines: DataFrame) -> DataFrame:
-    """One stored row for each different set of words: same, doc, line (its first place), n, prefix, parity."""
-    lines = lines.withColumn("grades", _rarity(lines))
+def _sets(texts: DataFrame) -> DataFrame:
+    """One stored row for each different line: same, doc, line (its first place), n, prefix, parity."""
+    lines = _with_words(texts)
+    grades = _rarity(lines)
 
     def code(word: Column) -> Column:  # sorts by rarity, then by hash
-        return F.shiftleft(F.get("grades", _tally(word)).cast("bigint"), 56).bitwiseOR(
-            F.xxhash64(word).bitwiseAND(F.lit((1 << 56) - 1))
-        )
+        grade = F.ascii(F.substring(grades, _tally(word) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(grade.cast("bigint"), 56).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 56) - 1)))
 
-    n = F.size("words")
     coded = lines.select(
-        F.unhex(F.md5(F.concat_ws(" ", F.sort_array("words")).cast("binary"))).alias("same"), "doc", "line", n.alias("n"),
+        F.unhex(_same()).alias("same"), "doc", "line", F.size("words").alias("n"),
         F.sort_array(F.transform("words", code)).alias("codes"),
     )
     bit = lambda total, value: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), value.bitwiseAND(F.lit(63)).cast("int")))
@@ -77,36 +93,40 @@ def _near_bits(one: Column, other: Column, most: Column) -> Column:
     return F.bit_count(one.bitwiseXOR(other)) <= most
 
 
-def _similar_pairs(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (doc, line, to_doc, to_line) that hold on the words themselves; fetches only lines that occur in them."""
     pairs = write_shared(pairs.distinct())
     place = F.struct("doc", "line")
     ends = pairs.select(place.alias("place")).union(pairs.select(F.struct(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))).distinct()
-    texts = lines.where(maybe_in(ends.select("place"), place)).select("doc", "line", "words")
+    texts = _with_words(texts.where(maybe_in(ends.select("place"), place))).select("doc", "line", "words")
     texts = texts.join(ends.select("place.doc", "place.line"), ["doc", "line"], "left_semi")
-    texts = write_shared(texts)
+    texts = write_shared(texts.dropDuplicates(["doc", "line"]))
     to = texts.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words"))
     common = F.size(F.array_intersect("words", "to_words"))
     near = common * 9 >= (F.size("words") + F.size("to_words")) * 4
     return pairs.join(texts, ["doc", "line"]).join(to, ["to_doc", "to_line"]).where(near)
 
 
-def repeated_sets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All sets, and the first places (doc, line) of those that have a similar earlier set.
 
     First every set is compared with the one before it among sets that share its smallest prefix codes
     under three hashes. That settles most of a large group of near copies, each by one partner. Sets
     still unsettled are then joined with all sets on the codes of the prefix.
     """
-    sets = _sets(lines)
-    keys = F.array(*[F.array_min(F.transform("prefix", lambda value, s=seed: F.xxhash64(value, F.lit(s)))) for seed in range(3)])
+    sets = _sets(texts)
+
+    def smallest(seed: int) -> Column:
+        return F.array_min(F.transform("prefix", lambda value: F.xxhash64(value, F.lit(seed))))
+
+    keys = F.array(*[smallest(seed) for seed in range(3)])
     narrow = sets.select("doc", "line", "n", "parity", F.explode(keys).alias("key"))
     order = Window.partitionBy("key").orderBy("doc", "line")
     before = F.lag(F.struct("doc", "line", "n", "parity")).over(order)
     tried = narrow.withColumn("to", before).where("to is not null")
     tried = tried.where(_near_bits(F.col("parity"), F.col("to.parity"), _differ_at_most(F.col("n"), F.col("to.n"))))
     tried = tried.select("doc", "line", F.col("to.doc").alias("to_doc"), F.col("to.line").alias("to_line"))
-    settled = write_shared(_similar_pairs(tried, lines).select("doc", "line").distinct())
+    settled = write_shared(_similar_pairs(tried, texts).select("doc", "line").distinct())
 
     marked = sets.drop("same").join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
     least = _least_common(F.col("n"), F.col("n"), 4, 5)
@@ -127,7 +147,7 @@ def repeated_sets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         & (reach >= _least_common(n, m)) & _near_bits(F.col("x.parity"), F.col("y.parity"), _differ_at_most(n, m)),
     )
     found = found.select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line"))
-    more = _similar_pairs(found, lines).select("doc", "line").distinct()
+    more = _similar_pairs(found, texts).select("doc", "line").distinct()
     return sets, write_shared(settled.union(more))
 
 
@@ -138,13 +158,12 @@ def repeated_lines(documents: DataFrame, id_column: str = "doc_id", text_column:
     Lines without words never go, nor do NULL and empty texts have any. Rows that repeat an id share its
     line numbers, and equal lines of one number don't count as earlier. Other columns are not read; an empty table gives no rows.
     """
-    lines = _lines(documents, id_column, text_column)
-    sets, gone = repeated_sets(lines)
+    texts = _texts(documents, id_column, text_column)
+    sets, gone = repeated_sets(texts)
     firsts = sets.select("same", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
     gone = gone.select(F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.lit(True).alias("gone"))
     firsts = write_shared(firsts.join(gone, ["first_doc", "first_line"], "left"))
-    same = F.unhex(F.md5(F.concat_ws(" ", F.sort_array("words")).cast("binary"))).alias("same")
-    again = lines.select("doc", "line", same).join(firsts, "same")
+    again = texts.select("doc", "line", F.unhex(_same()).alias("same")).join(firsts, "same")
     again = again.where("gone or doc <> first_doc or line <> first_line")
     return again.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "line").distinct()
 
