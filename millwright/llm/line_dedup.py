@@ -26,7 +26,14 @@ def _texts(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def _words() -> Column:
     """The different words of `text` in lower case, cut at ASCII white space."""
-    return F.array_remove(F.array_distinct(F.split(F.translate(F.lower("text"), "\t\x0b\f\r", "    "), " ")), "")
+    return F.array_remove(F.array_distinct(_cut()), "")
+
+
+def _cut() -> Column:
+    """The words of `text` with repeats; runs of white space leave empty ones."""
+    small = F.lower("text")
+    other = F.contains("text", F.lit("\t")) | F.contains("text", F.lit("\r")) | F.contains("text", F.lit("\f")) | F.contains("text", F.lit("\x0b"))
+    return F.split(F.when(other, F.translate(small, "\t\x0b\f\r", "    ")).otherwise(small), " ")
 
 
 def _same() -> Column:
@@ -41,13 +48,13 @@ def _tally(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(TALLIES)).cast("int")
 
 
-def _rarity(lines: DataFrame) -> Column:
-    """One byte for each of TALLIES classes of words, by hash: how many lines have them, in quarters of a power of two.
+def _rarity(texts: DataFrame) -> Column:
+    """One byte for each of TALLIES classes of words, by hash: how often they occur, in quarters of a power of two.
 
-    Words in one line only mostly have 1. The table has a fixed size for any corpus, so it may pass the
+    Words that occur once mostly have 1. The table has a fixed size for any corpus, so it may pass the
     driver and go to all tasks. It only sets an order of words; a coarse one costs time, never results.
     """
-    counts = lines.select(F.explode("words").alias("word")).groupBy(_tally(F.col("word")).alias("at")).count()
+    counts = texts.select(F.explode(_cut()).alias("word")).where("word <> ''").groupBy(_tally(F.col("word")).alias("at")).count()
     grade = F.least(F.floor(F.log2(F.col("count") + 0.0) * 4) + 1, F.lit(126)).cast("int")
     found = counts.select("at", grade.alias("grade")).toPandas()
     table = bytearray(b"\1" * TALLIES)
@@ -59,7 +66,7 @@ def _rarity(lines: DataFrame) -> Column:
 def _sets(texts: DataFrame) -> DataFrame:
     """One stored row for each different line: same, doc, line (its first place), n, prefix, parity."""
     lines = _with_words(texts)
-    grades = _rarity(lines)
+    grades = _rarity(texts)
 
     def code(word: Column) -> Column:  # sorts by rarity, then by hash
         grade = F.ascii(F.substring(grades, _tally(word) + 1, F.lit(1)).cast("string"))
