@@ -110,6 +110,44 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(other, "b").where(near).select("a", "b")
 
 
+def _with_pivot(met: DataFrame) -> DataFrame:
+    """Pairs of the most central node of each bucket with the other nodes."""
+    order = F.struct("central", (-F.col("node")).alias("last"))
+    pivots = met.groupBy("band", "key").agg(F.max_by("node", order).alias("pivot"))
+    pairs = met.join(pivots, ["band", "key"]).where("node <> pivot")
+    return pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+
+
+def _apart(met: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes in buckets that hold several components."""
+    placed = met.select("band", "key", "node").join(components(links), "node", "left")
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
+    buckets = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    buckets = buckets.where("least < most").select("band", "key")
+    return write_shared(placed.join(buckets, ["band", "key"], "left_semi").select("node", "component").distinct())
+
+
+def _rare_shingle_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that may be similar enough; no similar pair is missing.
+
+    Similar sets of n shingles share one of the n - ceil(0.8 n) + 1 rarest of each. Shingles that one node
+    has alone fill these places first and join nothing, so many unlike variants of one text make few pairs.
+    """
+    every = sets.join(nodes, "node").select("node", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    count = every.groupBy("s").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
+    shared = every.join(count, "s").groupBy("node", "component", "n").agg(F.sort_array(F.collect_list(F.struct("count", "s"))).alias("shared"))
+    alone = F.col("n") - F.size("shared")
+    places = F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY) - 1e-9).cast("int") + 1 - alone
+    prefix = shared.where(places > 0).select("node", "component", "n", alone.alias("alone"), F.posexplode(F.slice("shared", F.lit(1), places)).alias("at", "rare"))
+    prefix = prefix.select("node", "component", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("rare.s").alias("s"))
+    prefix = write_shared(prefix)
+    a, b = prefix.alias("a"), prefix.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    common = F.least("a.left", "b.left") * (1 + SIMILARITY) >= (n + m) * SIMILARITY - 1e-6
+    pairs = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & common)
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def repeated_paragraphs(
     documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS
 ) -> DataFrame:
@@ -121,9 +159,8 @@ def repeated_paragraphs(
     component (by id, then line; NULL ids last) is kept.
 
     Equal paragraphs count as one node with members, so copies never meet in pairs. In a bucket, every
-    node is first compared with the smallest one. Then nodes of a bucket which are still in different
-    components are compared with each other, so no link that a band shows is lost, and
-    nodes of one component never meet again. NULL and empty texts have no paragraph; repeated rows repeat
+    node is compared with the most central one. Nodes of buckets that still hold several components are
+    joined exactly, by their rarest shingles, so no link that a band shows is lost. NULL and empty texts have no paragraph; repeated rows repeat
     their paragraphs. Other columns are not read. An empty table gives no rows.
     """
     docs = documents.select(_doc_key(id_column).alias("doc"), F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
@@ -136,8 +173,11 @@ def repeated_paragraphs(
     )
     nodes = write_shared(nodes.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = write_shared(keyed.join(shared, ["band", "key"]))
+    # the text that others were copied from shares its keys with most of them
+    central = met.groupBy("node").agg(F.sum("n").alias("central"))
+    met = write_shared(met.drop("n").join(central, "node"))
 
     wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("doc", "same", "node")
     wanted = write_shared(wanted.groupBy("doc").agg(F.collect_list("same").alias("same"), F.collect_list("node").alias("nodes")))
@@ -145,17 +185,8 @@ def repeated_paragraphs(
     sets = likely.join(wanted, "doc").mapInPandas(_needed_shingles(least_words), "node bigint, shingles array<bigint>")
     sets = write_shared(sets.dropDuplicates(["node"]))
 
-    star = met.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = write_shared(_verified(star, sets))
-    reached = components(links)
-    placed = met.join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    placed = placed.join(apart.where("least < most").select("band", "key"), ["band", "key"], "left_semi")
-    placed = write_shared(placed.select("band", "key", "node", "component", "head"))
-    left = placed.where("node > head").select("band", "key", F.col("node").alias("b"), F.col("component").alias("to"))
-    right = placed.where("node > head").select("band", "key", F.col("node").alias("a"), F.col("component").alias("from"))
-    cross = left.join(right, ["band", "key"]).where("a < b and from <> to").select("a", "b").distinct()
-    links = links.union(_verified(cross, sets))
+    links = write_shared(_verified(_with_pivot(met), sets))
+    links = links.union(_verified(_rare_shingle_pairs(_apart(met, links), sets), sets))
 
     member = components(links).withColumnRenamed("node", "n").withColumnRenamed("component", "c")
     classed = nodes.join(member, F.col("node") == F.col("n"), "left").select("same", "members", "first", F.coalesce("c", "node").alias("component"))
