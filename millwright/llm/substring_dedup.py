@@ -167,7 +167,7 @@ def repeated_paragraphs(
     schema = "doc string, paragraph int, begin long, end long, n_words int, same binary, bands array<bigint>"
     found = docs.select("doc", "text").mapInPandas(_paragraph_rows(least_words), schema)
     found = write_shared(found)
-    place = F.struct(F.col("doc").cast("bigint").isNull().alias("none"), F.col("doc").cast("bigint").alias("doc_id"), "paragraph")
+    place = F.struct(F.col("doc").try_cast("bigint").isNull().alias("none"), F.col("doc").try_cast("bigint").alias("doc_id"), "paragraph")
     nodes = found.groupBy("same").agg(
         F.count(F.lit(1)).alias("members"), F.min(place).alias("first"), F.min("doc").alias("doc"), F.first("bands").alias("bands")
     )
@@ -194,7 +194,7 @@ def repeated_paragraphs(
     sizes = classed.groupBy("component").agg(F.sum("members").alias("component_size"), F.min("first").alias("first"))
     classed = write_shared(classed.select("same", "component").join(sizes.where("component_size > 1"), "component"))
     rows = found.drop("bands").join(classed, "same")
-    doc_id, here = F.col("doc").cast("bigint"), F.col("paragraph")
+    doc_id, here = F.col("doc").try_cast("bigint"), F.col("paragraph")
     return rows.select(
         doc_id.alias("doc_id"), "paragraph", "begin", "end", "n_words", "component_size",
         F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"),
