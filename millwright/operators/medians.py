@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from .lookup import lookup
 
-FEW_VALUES = 100_000
 COARSE_PER_UNIT = 1024
 FINE = 65_536
 
@@ -66,7 +65,7 @@ def value_counts(values: DataFrame) -> DataFrame:
 def group_medians(values: DataFrame, few: bool) -> DataFrame:
     """(series, member, value, n) -> (series, member, median); n is how often the row counts.
 
-    `few` says that no group has more than about FEW_VALUES distinct values. Otherwise `values` also
+    `few` says that the caller knows of no group with many distinct values. Otherwise `values` also
     has an `id` that varies among equal values, and is scanned three times, twice of that at once:
     it should be a cheap scan (a written table). NULL values do not count; a group without values
     has no row.

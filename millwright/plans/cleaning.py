@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import clip
 from ..operators.dedup import first_per_key
 from ..operators.lookup import join_written
-from ..operators.medians import FEW_VALUES, group_medians, value_counts
+from ..operators.medians import group_medians, value_counts
 from ..operators.shared_table import write_shared
 from ..schema import (
     FAILED_WORDS, FILE_ORDER, FILL_BY_COLUMN, FILL_BY_TYPE, FILL_WORD, FILL_ZERO, MIN_FAILURE_DOWNTIME, NO_FAILURE,
@@ -127,18 +127,21 @@ def fill_gaps(staged: DataFrame) -> DataFrame:
     return joined.withColumns(filled).select(*staged.columns)
 
 
-def gap_values(staged: DataFrame) -> DataFrame:
+def gap_values(staged: DataFrame, few_values: bool = False) -> DataFrame:
     """One row per equipment type with the value that fills a gap in each measurement.
 
+    Medians are found by narrowing down, which holds for any values. `few_values` is for a caller who
+    knows that the measurements are coarse: then distinct values are counted in one pass instead.
+    No data decides between the two, and both give the same values.
+
     A type without a single value of a sensor takes the median of the whole column, taken after the
     other types' gaps are filled.
     """
     types = write_shared(_profile(staged))
     measured = _measurements(staged)
-    few = _few_values(types)
-    if few:
+    if few_values:
         measured = write_shared(value_counts(measured))
-    medians = write_shared(group_medians(measured, few))
+    medians = write_shared(group_medians(measured, few_values))
     of_type = (
         medians.where(F.col("member") != EVERYTHING)
         .groupBy(F.expr(f"substring(member, {len(OF_TYPE) + 1})").alias("equipment_type"))
@@ -149,7 +152,7 @@ def gap_values(staged: DataFrame) -> DataFrame:
     unknown = reduce(or_, [F.col(f"fill_{name}").isNull() for name in FILL_BY_TYPE])
     if not fills.where(unknown).isEmpty():
         filled_up = _with_gaps_filled(measured, fills)
-        of_column = of_column.unionByName(write_shared(group_medians(filled_up, few)))
+        of_column = of_column.unionByName(write_shared(group_medians(filled_up, few_values)))
 
     constants = of_column.agg(
         F.struct(*[_median_of(name) for name in FILL_BY_TYPE + FILL_BY_COLUMN])
@@ -162,19 +165,9 @@ def gap_values(staged: DataFrame) -> DataFrame:
 
 
 def _profile(staged: DataFrame) -> DataFrame:
-    """Per equipment type: gaps of each sensor, and about how many distinct values there are."""
+    """Per equipment type: gaps of each sensor."""
     gaps = [F.count_if(F.col(name).isNull()).alias(f"gaps_{name}") for name in FILL_BY_TYPE]
-    distinct = [
-        F.approx_count_distinct(name, 0.3).alias(f"distinct_{name}")
-        for name in FILL_BY_TYPE + FILL_BY_COLUMN
-    ]
-    return staged.groupBy("equipment_type").agg(*gaps, *distinct)
-
-
-def _few_values(types: DataFrame) -> bool:
-    """Whether no group to take a median of has many distinct values; picks a way, not a result."""
-    most = F.greatest(*[F.sum(f"distinct_{name}") for name in FILL_BY_TYPE + FILL_BY_COLUMN])
-    return (types.agg(most).first()[0] or 0) <= FEW_VALUES
+    return staged.groupBy("equipment_type").agg(*gaps)
 
 
 def _median_of(name: str) -> Column:

@@ -5,7 +5,7 @@ last failure time minus its first, so each machine gives one sum and one count.
 to one row each first; counting machines then needs no DISTINCT.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import band, clip, failed, hours_between, order_of
@@ -94,7 +94,7 @@ def overall_kpis(featured: DataFrame) -> DataFrame:
 
 def risk_distribution_features(featured: DataFrame) -> DataFrame:
     """Records, machines, failures and scores per risk level, lowest risk first."""
-    everything = featured.agg(F.count(F.when(F.col("failure_risk_level").isNotNull(), F.col("record_id"))))
+    known = F.sum(F.when(F.col("risk_level").isNotNull(), F.col("record_count")))
     return (
         featured.groupBy(F.col("failure_risk_level").alias("risk_level"))
         .agg(
@@ -105,7 +105,7 @@ def risk_distribution_features(featured: DataFrame) -> DataFrame:
             F.avg("failure_probability").alias("avg_failure_probability"),
             F.avg("health_index").alias("avg_health_index"),
         )
-        .withColumn("percentage", F.try_divide(F.col("record_count") * 100.0, everything.scalar()))
+        .withColumn("percentage", F.try_divide(F.col("record_count") * 100.0, known.over(Window.partitionBy())))
         .orderBy(order_of(F.col("risk_level"), RISK_LEVELS))
     )
 
@@ -186,7 +186,7 @@ def failure_analysis(featured: DataFrame) -> DataFrame:
         .withColumn(
             "percentage",
             F.try_divide(
-                F.col("occurrence_count") * 100.0, failures.agg(F.count("record_id")).scalar()
+                F.col("occurrence_count") * 100.0, F.sum("occurrence_count").over(Window.partitionBy())
             ),
         )
         .orderBy(F.desc("occurrence_count"), "failure_type")
@@ -275,7 +275,7 @@ def predictive_alerts(featured: DataFrame) -> DataFrame:
 
 
 def _most_frequent_level() -> Column:
-    """Most frequent of the four risk levels, ties to the first in the alphabet.
+    """Most frequent of the four risk levels, ties to the first in the alphabet; NULL without a known level.
 
     Four counters stay in the hash aggregation; `mode` would switch to an object aggregation.
     """
@@ -287,7 +287,8 @@ def _most_frequent_level() -> Column:
         )
         for position, level in enumerate(sorted(RISK_LEVELS))
     ]
-    return F.greatest(*counts)["level"]
+    most = F.greatest(*counts)
+    return F.when(most["n"] > 0, most["level"])
 
 
 # --- the printed report ---------------------------------------------------------------------

@@ -162,7 +162,7 @@ def _levels(readings: DataFrame, keys: list) -> DataFrame:
 
 
 def risk_distribution(readings: DataFrame) -> DataFrame:
-    everything = readings.agg(F.count("failure_risk_level")).scalar()
+    everything = F.sum("record_count").over(Window.partitionBy())  # over one row for each level
     return (
         _levels(readings, [])
         .withColumn("percentage", percent(F.col("record_count"), everything))

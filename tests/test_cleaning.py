@@ -1,6 +1,6 @@
 from datetime import date, datetime
+from statistics import median
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,14 +131,18 @@ def test_first_of_repeated_ids(spark):
     assert dedup_report(rows).first() == (4, 2)
 
 
-def _pandas_fill(frame: pd.DataFrame, column: str) -> pd.Series:
-    by_type = frame.groupby("equipment_type")[column].transform(lambda x: x.fillna(x.median()))
-    return by_type.fillna(by_type.median())
+def _filled(values: list, types: list) -> list:
+    """Every gap gets the median of its type, or that of all values then known."""
+    known = {kind: [v for v, k in zip(values, types) if k == kind and v is not None] for kind in types}
+    step = [v if v is not None or not known[k] else median(known[k]) for v, k in zip(values, types)]
+    rest = median(v for v in step if v is not None)
+    return [rest if v is None else v for v in step]
 
 
 @pytest.mark.parametrize("few", [True, False], ids=["counts", "narrowing"])
-def test_gaps_equal_pandas(spark, monkeypatch, few):
-    monkeypatch.setattr(cleaning, "FEW_VALUES", 100_000 if few else -1)
+def test_gaps_get_medians(spark, monkeypatch, few):
+    either = cleaning.gap_values
+    monkeypatch.setattr(cleaning, "gap_values", lambda staged: either(staged, few))
     temperatures = [10.5, None, 30.25, 11.0, None, 12.0, None, None, 99.0, 98.0, 12.0, None]
     types = ["everything"] * 3 + ["M", "M", "M", "T", "T", "*", "*", "M", "*"]
     loads = [1.0, 2.0, None, 4.0, 5.0, 6.0, None, 8.0, 9.0, 10.0, 11.0, 12.5]
@@ -150,10 +154,8 @@ def test_gaps_equal_pandas(spark, monkeypatch, few):
         ],
     )
     clean = clean_readings(rows)
-    frame = pd.DataFrame({"temperature_c": temperatures, "equipment_type": types, "load_percent": loads})
-    frame = frame.astype({"temperature_c": float, "load_percent": float})
-    assert column(clean, "temperature_c") == _pandas_fill(frame, "temperature_c").tolist()
-    assert column(clean, "load_percent") == frame["load_percent"].fillna(frame["load_percent"].median()).tolist()
+    assert column(clean, "temperature_c") == _filled(temperatures, types)
+    assert column(clean, "load_percent") == _filled(loads, [None] * len(loads))
     assert column(clean, "rpm") == [None] * len(types)
 
 
