@@ -3,7 +3,8 @@
 A line is the set of its words in lower case. It goes if an earlier line has a Jaccard similarity of
 0.8 or more with it. Words are ordered by rarity; two similar sets share a word among the first
 n - ceil(0.8 n) + 1 of each (prefix filter). Length, place of the shared word and a parity bitmap of the
-words bound the overlap, and what is left is verified on the words themselves.
+words bound the overlap, and what is left is verified on the words themselves. The filters know words by
+their hash of 64 bits; a shared word is found by 32 of these, so that different words may cost a candidate.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,6 @@ from .bit_filter import maybe_in
 
 TALLIES = 1 << 18
 NO_ID = 9223372036854775807
-NEVER = 2147483647
 
 
 def _texts(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -41,11 +41,22 @@ def _same() -> Column:
 
 
 def _with_words(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("words", _words()).where(F.size("words") > 0)
+    return texts.where(_has_words()).withColumn("words", _words())
 
 
-def _tally(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(TALLIES)).cast("int")
+def _has_words() -> Column:
+    """Said without the words, since a filter below them would cut every text twice."""
+    return F.btrim("text", F.lit(" \t\x0b\f\r")) != ""
+
+
+def _hashes() -> Column:
+    """The different words of `text`, hashed."""
+    every = F.array_distinct(F.transform(_cut(), lambda word: F.xxhash64(word)))
+    return F.array_remove(every, F.xxhash64(F.lit("")))
+
+
+def _tally(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(TALLIES - 1)).cast("int")
 
 
 def _rarity(texts: DataFrame) -> Column:
@@ -54,7 +65,8 @@ def _rarity(texts: DataFrame) -> Column:
     Words that occur once mostly have 1. The table has a fixed size for any corpus, so it may pass the
     driver and go to all tasks. It only sets an order of words; a coarse one costs time, never results.
     """
-    counts = texts.select(F.explode(_cut()).alias("word")).where("word <> ''").groupBy(_tally(F.col("word")).alias("at")).count()
+    words = texts.select(F.explode(_cut()).alias("word"))
+    counts = words.groupBy(_tally(F.xxhash64("word")).alias("at")).count()
     grade = F.least(F.floor(F.log2(F.col("count") + 0.0) * 4) + 1, F.lit(126)).cast("int")
     found = counts.select("at", grade.alias("grade")).toPandas()
     table = bytearray(b"\1" * TALLIES)
@@ -65,21 +77,19 @@ def _rarity(texts: DataFrame) -> Column:
 
 def _sets(texts: DataFrame) -> DataFrame:
     """One stored row for each different line: same, doc, line (its first place), n, prefix, parity."""
-    lines = _with_words(texts)
     grades = _rarity(texts)
+    lines = texts.where(_has_words()).select(F.unhex(_same()).alias("same"), "doc", "line", _hashes().alias("hashes"))
+    lines = lines.withColumn("n", F.size("hashes"))
 
-    def code(word: Column) -> Column:  # sorts by rarity, then by hash
-        grade = F.ascii(F.substring(grades, _tally(word) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(grade.cast("bigint"), 56).bitwiseOR(F.xxhash64(word).bitwiseAND(F.lit((1 << 56) - 1)))
+    def ranked(hashed: Column) -> Column:  # sorts by rarity, then by the upper bits of the hash
+        grade = F.ascii(F.substring(grades, _tally(hashed) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(grade.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
 
-    coded = lines.select(
-        F.unhex(_same()).alias("same"), "doc", "line", F.size("words").alias("n"),
-        F.sort_array(F.transform("words", code)).alias("codes"),
-    )
+    rarest = F.slice(F.sort_array(F.transform("hashes", ranked)), F.lit(1), F.col("n") - _least_common(F.col("n"), F.col("n"), 4, 5) + 1)
+    prefix = F.transform(rarest, lambda code: (code.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
     bit = lambda total, value: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), value.bitwiseAND(F.lit(63)).cast("int")))
-    parity = F.aggregate("codes", F.lit(0).cast("bigint"), bit)
-    prefix = F.slice("codes", F.lit(1), F.col("n") - _least_common(F.col("n"), F.col("n"), 4, 5) + 1)
-    coded = coded.select("same", "doc", "line", "n", prefix.alias("prefix"), parity.alias("parity"))
+    parity = F.aggregate("hashes", F.lit(0).cast("bigint"), bit)
+    coded = lines.select("same", "doc", "line", "n", prefix.alias("prefix"), parity.alias("parity"))
     first = F.min(F.struct("doc", "line")).alias("first")
     sets = coded.groupBy("same").agg(first, *[F.first(name).alias(name) for name in ("n", "prefix", "parity")])
     return write_shared(sets.select("same", "first.doc", "first.line", "n", "prefix", "parity"))
@@ -95,6 +105,19 @@ def _differ_at_most(n: Column, m: Column) -> Column:
     return n + m - 2 * _least_common(n, m)
 
 
+def _pair(first: Column, second: Column) -> Column:
+    """Two integers, none negative, in one."""
+    return F.coalesce(F.shiftleft(first.cast("bigint"), 32).bitwiseOR(second.cast("bigint")), F.lit(0).cast("bigint"))
+
+
+def _first(name: str) -> Column:
+    return F.shiftright(name, 32).cast("int")
+
+
+def _second(name: str) -> Column:
+    return F.col(name).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
 def _near_bits(one: Column, other: Column, most: Column) -> Column:
     """A word in one set only flips one bit of the parity, so the bits differ in no more places than the sets."""
     return F.bit_count(one.bitwiseXOR(other)) <= most
@@ -136,24 +159,28 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     settled = write_shared(_similar_pairs(tried, texts).select("doc", "line").distinct())
 
     marked = sets.drop("same").join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
-    least = _least_common(F.col("n"), F.col("n"), 4, 5)
-    # the fewest words of a partner; a settled set seeks none. No column is nullable, so that both sides are one exchange.
+    # A settled set seeks no partner. Two numbers of 32 bits share a column, which halves what is shuffled, and
+    # no column is nullable, so that both sides are one exchange.
     rows = marked.select(
-        *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in ("doc", "line", "n", "parity")],
-        F.when(F.col("settled"), F.lit(NEVER)).otherwise(F.coalesce(least, F.lit(0))).alias("least"),
+        F.coalesce("doc", F.lit(0)).alias("doc"), _pair(F.col("line"), F.col("n")).alias("line_n"),
+        F.coalesce("parity", F.lit(0)).alias("parity"), F.coalesce("settled", F.lit(False)).alias("settled"),
         F.posexplode("prefix").alias("at", "code"),
     )
-    rows = rows.where(F.shiftright("code", 56) > 1).withColumn("code", F.coalesce("code", F.lit(0).cast("bigint")))
+    rows = rows.select(
+        "doc", "line_n", "parity", _pair(F.col("at"), F.col("settled").cast("int")).alias("at_settled"),
+        F.coalesce("code", F.lit(0)).alias("code"),
+    )
     x, y = rows.alias("x"), rows.alias("y")
-    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (F.col("y.line") < F.col("x.line")))
-    n, m = F.col("x.n"), F.col("y.n")
-    reach = F.least(n - F.col("x.at"), m - F.col("y.at"))  # common words from this one on
+    line, n, at, is_settled = _first("x.line_n"), _second("x.line_n"), _first("x.at_settled"), _second("x.at_settled")
+    to_line, m, to_at = _first("y.line_n"), _second("y.line_n"), _first("y.at_settled")
+    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (to_line < line))
+    reach = F.least(n - at, m - to_at)  # common words from this one on
     found = x.join(
         y.hint("merge"),
-        (F.col("x.code") == F.col("y.code")) & earlier & (m >= F.col("x.least")) & (n >= m * 0.8)
+        (F.col("x.code") == F.col("y.code")) & earlier & (is_settled == 0) & (n >= m * 0.8) & (m >= n * 0.8)
         & (reach >= _least_common(n, m)) & _near_bits(F.col("x.parity"), F.col("y.parity"), _differ_at_most(n, m)),
     )
-    found = found.select("x.doc", "x.line", F.col("y.doc").alias("to_doc"), F.col("y.line").alias("to_line"))
+    found = found.select("x.doc", line.alias("line"), F.col("y.doc").alias("to_doc"), to_line.alias("to_line"))
     more = _similar_pairs(found, texts).select("doc", "line").distinct()
     return sets, write_shared(settled.union(more))
 
