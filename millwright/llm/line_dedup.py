@@ -16,6 +16,7 @@ from .bit_filter import maybe_in
 
 TALLIES = 1 << 18
 NO_ID = 9223372036854775807
+BACK = 4  # how many sets before it a set may find its partner among in the first pass; the second pass has no limit
 
 
 def _texts(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -50,9 +51,9 @@ def _has_words() -> Column:
 
 
 def _hashes() -> Column:
-    """The different words of `text`, hashed."""
+    """The different words of `text`, hashed, in order of their hashes."""
     every = F.array_distinct(F.transform(_cut(), lambda word: F.xxhash64(word)))
-    return F.array_remove(every, F.xxhash64(F.lit("")))
+    return F.sort_array(F.array_remove(every, F.xxhash64(F.lit(""))))
 
 
 def _tally(hashed: Column) -> Column:
@@ -76,7 +77,10 @@ def _rarity(texts: DataFrame) -> Column:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """One stored row for each different line: same, doc, line (its first place), n, prefix, parity."""
+    """One stored row for each different line: same, doc, line (its first place), n, prefix, parity, ends.
+
+    ends: hashes of the two words with the smallest hashes, and of the two with the largest.
+    """
     grades = _rarity(texts)
     lines = texts.where(_has_words()).select(F.unhex(_same()).alias("same"), "doc", "line", _hashes().alias("hashes"))
     lines = lines.withColumn("n", F.size("hashes"))
@@ -89,10 +93,11 @@ def _sets(texts: DataFrame) -> DataFrame:
     prefix = F.transform(rarest, lambda code: (code.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
     bit = lambda total, value: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), value.bitwiseAND(F.lit(63)).cast("int")))
     parity = F.aggregate("hashes", F.lit(0).cast("bigint"), bit)
-    coded = lines.select("same", "doc", "line", "n", prefix.alias("prefix"), parity.alias("parity"))
+    ends = [F.hash(*[F.get("hashes", at) for at in pair]) for pair in ((F.lit(0), F.lit(1)), (F.col("n") - 1, F.col("n") - 2))]
+    coded = lines.select("same", "doc", "line", "n", prefix.alias("prefix"), parity.alias("parity"), F.array(*ends).alias("ends"))
     first = F.min(F.struct("doc", "line")).alias("first")
-    sets = coded.groupBy("same").agg(first, *[F.first(name).alias(name) for name in ("n", "prefix", "parity")])
-    return write_shared(sets.select("same", "first.doc", "first.line", "n", "prefix", "parity"))
+    sets = coded.groupBy("same").agg(first, *[F.first(name).alias(name) for name in ("n", "prefix", "parity", "ends")])
+    return write_shared(sets.select("same", "first.doc", "first.line", "n", "prefix", "parity", "ends"))
 
 
 def _least_common(n: Column, m: Column, of: int = 4, among: int = 9) -> Column:
@@ -140,25 +145,33 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All sets, and the first places (doc, line) of those that have a similar earlier set.
 
-    First every set is compared with the one before it among sets that share its smallest prefix codes
-    under three hashes. That settles most of a large group of near copies, each by one partner. Sets
-    still unsettled are then joined with all sets on the codes of the prefix.
+    First every set is compared with one other among sets that share a key: its smallest prefix codes under
+    three hashes, and the words at either end of the order of hashes, which rare words seldom move. The
+    other is the nearest of the BACK sets before it, or else the first of all, whose parity allows it.
+    That settles most of a large group of near copies, each by one partner. Sets still unsettled
+    are then joined with all sets on the codes of the prefix.
     """
     sets = _sets(texts)
 
     def smallest(seed: int) -> Column:
         return F.array_min(F.transform("prefix", lambda value: F.xxhash64(value, F.lit(seed))))
 
-    keys = F.array(*[smallest(seed) for seed in range(3)])
+    keys = F.array(*[smallest(seed) for seed in range(3)], *[F.xxhash64(F.lit(at), F.get("ends", F.lit(at))) for at in range(2)])
     narrow = sets.select("doc", "line", "n", "parity", F.explode(keys).alias("key"))
     order = Window.partitionBy("key").orderBy("doc", "line")
-    before = F.lag(F.struct("doc", "line", "n", "parity")).over(order)
-    tried = narrow.withColumn("to", before).where("to is not null")
-    tried = tried.where(_near_bits(F.col("parity"), F.col("to.parity"), _differ_at_most(F.col("n"), F.col("to.n"))))
+    this = F.struct("doc", "line", "n", "parity")
+    others = {f"other{back}": F.lag(this, back).over(order) for back in range(1, BACK + 1)}
+    others["other0"] = F.when(F.row_number().over(order) > 1, F.first(this).over(order))
+
+    def may_be(other: str) -> Column:
+        most = _differ_at_most(F.col("n"), F.col(f"{other}.n"))
+        return F.when(_near_bits(F.col("parity"), F.col(f"{other}.parity"), most), F.col(other))
+
+    tried = narrow.withColumns(others).withColumn("to", F.coalesce(*[may_be(other) for other in others])).where("to is not null")
     tried = tried.select("doc", "line", F.col("to.doc").alias("to_doc"), F.col("to.line").alias("to_line"))
     settled = write_shared(_similar_pairs(tried, texts).select("doc", "line").distinct())
 
-    marked = sets.drop("same").join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
+    marked = sets.drop("same", "ends").join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
     # A settled set seeks no partner. Two numbers of 32 bits share a column, which halves what is shuffled, and
     # no column is nullable, so that both sides are one exchange.
     rows = marked.select(
