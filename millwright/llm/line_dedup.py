@@ -145,8 +145,8 @@ def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All sets, and the first places (doc, line) of those that have a similar earlier set.
 
-    First every set is compared with one other among sets that share a key: its smallest prefix codes under
-    three hashes, and the words at either end of the order of hashes, which rare words seldom move. The
+    First every set is compared with one other among sets that share a key: its smallest prefix code by hash,
+    and the words at either end of the order of hashes, which rare words seldom move. The
     other is the nearest of the BACK sets before it, or else the first of all, whose parity allows it.
     That settles most of a large group of near copies, each by one partner. Sets still unsettled
     are then joined with all sets on the codes of the prefix.
@@ -156,7 +156,7 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     def smallest(seed: int) -> Column:
         return F.array_min(F.transform("prefix", lambda value: F.xxhash64(value, F.lit(seed))))
 
-    keys = F.array(*[smallest(seed) for seed in range(3)], *[F.xxhash64(F.lit(at), F.get("ends", F.lit(at))) for at in range(2)])
+    keys = F.array(*[smallest(seed) for seed in range(1)], *[F.xxhash64(F.lit(at), F.get("ends", F.lit(at))) for at in range(2)])
     narrow = sets.select("doc", "line", "n", "parity", F.explode(keys).alias("key"))
     order = Window.partitionBy("key").orderBy("doc", "line")
     this = F.struct("doc", "line", "n", "parity")
