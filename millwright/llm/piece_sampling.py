@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MOST_STATES = 500_000
+MOST_STATES = 1_200_000
 BATCH_CHARS = 1_000_000
 _CODES = 1 << 21  # characters spelled in bytes have negative codes
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -144,7 +144,7 @@ class Pieces:
         offset = int(sizes.sum())
         chosen = np.zeros(offset + 1, np.int32)
         taken = np.zeros(offset + 1, bool)
-        keys, edges = np.array(self.keys), np.array(self.edges)  # copies: a view would forbid growth
+        keys, edges = np.frombuffer(self.keys, np.int64), np.frombuffer(self.edges, np.int64)  # gone before the next word is built
         now, position = np.array(state, np.int64), np.fromiter(map(len, words), np.int64, len(words)).cumsum()
         owner = np.arange(len(texts)).repeat(number)
         with np.errstate(over="ignore"):
