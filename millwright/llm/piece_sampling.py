@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MOST_STATES = 1_200_000
+MOST_STATES = 900_000
 BATCH_CHARS = 1_000_000
 _CODES = 1 << 21  # characters spelled in bytes have negative codes
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
