@@ -23,6 +23,12 @@ from ..schema import (
 # Whose median it is: of one equipment type (prefix and name), or of all readings.
 OF_TYPE, EVERYTHING = "type ", "everything"
 
+# How files write times apart from ISO text; where day and month could be exchanged, the month is first.
+TIME_FORMATS = [
+    "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "yyyy/M/d H:mm:ss", "yyyy/M/d H:mm", "yyyy/M/d",
+    "d-MMM-yyyy H:mm:ss", "d-MMM-yyyy", "yyyyMMdd",
+]
+
 
 def clean_readings(raw: DataFrame, first_by: list[str] | None = None) -> DataFrame:
     """Raw readings to clean ones. `first_by` orders the rows of a repeated record id."""
@@ -48,11 +54,11 @@ def stage(raw: DataFrame, first_by: list[str] | None = None) -> DataFrame:
     """Every cleaning rule that needs no other row. Sensor gaps stay NULL."""
     rows = drop_repeated_ids(raw, first_by)
     kinds = dict(rows.dtypes)
-    parsed_date = F.col("date").try_cast("timestamp_ntz")
+    parsed_date = _time("date", kinds["date"])
     # Parse, then bound, in two steps: each cell is parsed once.
     rows = rows.withColumns(
         {
-            "timestamp": F.coalesce(F.col("timestamp").try_cast("timestamp_ntz"), parsed_date),
+            "timestamp": F.coalesce(_time("timestamp", kinds["timestamp"]), parsed_date),
             "date": parsed_date.cast("date"),
             "failure_flag": _flag(kinds["failure_flag"]),
             **{name: _number(F.col(name), kinds[name]) for name in VALID_RANGE},
@@ -76,6 +82,16 @@ def stage(raw: DataFrame, first_by: list[str] | None = None) -> DataFrame:
     )
 
 
+def _time(name: str, kind: str) -> Column:
+    """Parse a time: ISO text first, then TIME_FORMATS in turn; what fits none becomes NULL."""
+    cell = F.col(name)
+    iso = cell.try_cast("timestamp_ntz")
+    if kind != "string":
+        return iso
+    text = F.trim(cell)
+    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz") for form in TIME_FORMATS])
+
+
 def _number(cell: Column, kind: str) -> Column:
     """Parse a measurement; what is no number becomes NULL.
 

@@ -23,7 +23,8 @@ def prepare(raw: DataFrame, path: str | None = None, first_by: list[str] | None
 
 
 def report(featured: DataFrame) -> dict[str, DataFrame]:
-    """The report's tables by name; each runs when it is used."""
+    """The report's tables by name. Each runs when it is used; those that join a summary of the
+    readings write that summary here."""
     return {name: table(featured) for name, table in REPORT.items()}
 
 

@@ -49,6 +49,20 @@ def test_infinity_takes_the_bound_or_is_missing(spark):
     assert column(clean, "energy_consumption_kwh") == [7.0, 7.0]
 
 
+def test_times_apart_from_iso_text(spark):
+    cells = {
+        "05/06/2024 07:08": datetime(2024, 5, 6, 7, 8),
+        "5/6/2024 7:08:09": datetime(2024, 5, 6, 7, 8, 9),
+        "05/06/2024": datetime(2024, 5, 6),
+        "2024/05/06 07:08:09": datetime(2024, 5, 6, 7, 8, 9),
+        "06-May-2024": datetime(2024, 5, 6),
+        "20240506": datetime(2024, 5, 6),
+        "13/13/2024": None,
+    }
+    staged = stage(raw(spark, [{"timestamp": cell, "date": None} for cell in cells]))
+    assert column(staged, "timestamp") == list(cells.values())
+
+
 def test_times(spark):
     rows = raw(
         spark,
