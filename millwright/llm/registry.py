@@ -27,7 +27,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_paragraphs(_table(spark, sf_dir, "documents"))
+    documents = _table(spark, sf_dir, "documents")
+    return substring_dedup.repeated_paragraphs(documents).unionByName(substring_dedup.repeated_passages(documents))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Substring dedup: near-equal paragraphs by MinHash banding, exact Jaccard and components."""
+"""Substring dedup: near-equal paragraphs by MinHash banding, exact Jaccard and components; equal passages by
+windows of words at places that the words themselves choose, wherever lines begin and end."""
 
 import hashlib
 from collections.abc import Iterator
@@ -18,8 +19,14 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 LEAST_WORDS = 20
 BANDS, BAND_ROWS = 16, 4  # a pair of similarity 0.8 meets with chance 1 - (1 - 0.8 ** 4) ** 16 = 0.9998
+PASSAGE_WORDS = 26
+REACH = 25  # of so many places in a row, one at least starts a passage: any equal run of REACH + PASSAGE_WORDS - 1 = 50 words shares one
+PLACE_BYTES = 16  # what chooses a place; no more than eight words
+WORDS_AT_ONCE = 1 << 16
+_PLACE = np.uint64((1 << 17) - 1)
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACES = np.array([chr(code).isspace() for code in range(0x3002)])
 
 
 def paragraphs(text: str | None, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, list[str]]]:
@@ -200,3 +207,134 @@ def repeated_paragraphs(
         F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"),
         (doc_id.eqNullSafe(F.col("first.doc_id")) & (here == F.col("first.paragraph"))).alias("kept"),
     )
+
+
+def _places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Words that start the passages of a text: of any REACH words in a row that with the smallest hash of PLACE_BYTES bytes.
+
+    A run of words that two texts share chooses the same places in both. The first and the last passage of a
+    text are added, so that every word is in one. A text of less than PASSAGE_WORDS words is one passage.
+    data: the words, a blank after each, and PLACE_BYTES more bytes.
+    """
+    last = max(len(starts) - PASSAGE_WORDS, 0)
+    eights = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    chosen = [np.array([0, last])]
+    for at in range(0, last + 1, WORDS_AT_ONCE):
+        part = starts[at : at + WORDS_AT_ONCE + REACH]
+        if len(part) < REACH:
+            break
+        value = (eights[part] * _FACTORS[0]) ^ (eights[part + 8] * _FACTORS[1])
+        value ^= value >> np.uint64(32)
+        value *= _FACTORS[2]
+        value = (value & ~_PLACE) | np.arange(len(part), dtype=np.uint64)
+        reach = 1
+        while reach < REACH:  # the least of so many from each place on
+            step = min(reach, REACH - reach)
+            value = np.minimum(value[: len(value) - step], value[step:])
+            reach += step
+        chosen.append(at + (value[np.r_[True, value[1:] != value[:-1]]] & _PLACE).astype(np.int64))
+    places = np.unique(np.concatenate(chosen))
+    return places[places <= last]
+
+
+def passages(text: str | None, least_words: int = LEAST_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    """(first word, words, identity) of the passages of a text; of equal ones that overlap the first only."""
+    words = (text or "").lower().split()
+    if len(words) < max(least_words, 1):
+        return
+    words.append(" " * PLACE_BYTES)
+    joined = " ".join(words).encode()
+    data = np.frombuffer(joined, np.uint8)
+    blanks = np.flatnonzero(data[:-PLACE_BYTES] == 32)
+    starts = np.concatenate(([0], blanks[:-1] + 1))
+    places = _places(data, starts)
+    length = min(PASSAGE_WORDS, len(starts))
+    ends: dict[bytes, int] = {}
+    for at, a, b in zip(places.tolist(), starts[places].tolist(), blanks[places + length - 1].tolist()):
+        same = xxhash.xxh3_128_digest(joined[a:b])
+        if ends.get(same, 0) <= at:
+            ends[same] = at + length
+            yield at, length, same
+
+
+def _word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First character of every word, and the one after its last."""
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    blank = np.concatenate(([True], _SPACES[np.minimum(codes, len(_SPACES) - 1)], [True]))
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
+
+
+def _key(same: bytes) -> int:
+    return int.from_bytes(same[:8], "little", signed=True)
+
+
+def _passage_keys(least_words: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys: list[int] = []
+            for text in batch["text"]:
+                keys.extend(_key(same) for _, _, same in passages(text, least_words))
+                if len(keys) > 100_000:
+                    yield pd.DataFrame({"key": np.array(keys, np.int64)})
+                    keys = []
+            yield pd.DataFrame({"key": np.array(keys, np.int64)})
+
+    return run
+
+
+def _passage_rows(least_words: int):
+    columns = ["row", "doc_id", "paragraph", "begin", "end", "n_words", "same", "key"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row, doc, text in zip(batch["row"], batch["doc_id"].astype("Int64"), batch["text"]):
+                found = list(passages(text, least_words))
+                if not found:
+                    continue
+                begins, ends = _word_bounds(text)
+                at = np.array([first for first, _, _ in found])
+                begin, end = begins[at], ends[at + found[0][1] - 1]
+                lines = np.cumsum([text.count("\n", a, b) for a, b in zip([0, *begin.tolist()], begin.tolist())])
+                for line, a, b, (_, length, same) in zip(lines.tolist(), begin.tolist(), end.tolist(), found):
+                    rows.append((row, doc, line, a, b, length, same, _key(same)))
+                if len(rows) > 50_000:
+                    yield frame(rows)
+                    rows = []
+            yield frame(rows)
+
+    def frame(rows):
+        table = pd.DataFrame(rows, columns=columns)
+        table["doc_id"] = table["doc_id"].astype("Int64")
+        return table
+
+    return run
+
+
+def repeated_passages(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_words: int = LEAST_WORDS
+) -> DataFrame:
+    """One row for each passage of PASSAGE_WORDS words that occurs again, word for word in lower case.
+
+    The columns are those of `repeated_paragraphs`; paragraph is the line in which the passage begins. Passages
+    overlap, run over line ends, and cover every word. Any run of 50 words that occurs twice holds
+    one that is reported in both places. component_size counts the places; the first (by id, then place;
+    NULL ids last, and each row by itself) is kept. NULL texts and those of less than `least_words` words have none.
+    An empty table gives no rows.
+    """
+    texts = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
+    keys = texts.select("text").mapInPandas(_passage_keys(least_words), "key bigint")
+    again = write_shared(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    schema = "row long, doc_id long, paragraph int, begin long, end long, n_words int, same binary, key long"
+    rows = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
+    rows = rows.mapInPandas(_passage_rows(least_words), schema).where(maybe_in(again, F.col("key")))
+    rows = write_shared(rows.join(again, "key", "left_semi").drop("key"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "paragraph", "begin")
+    sizes = rows.groupBy("same").agg(F.count(F.lit(1)).alias("component_size"), F.min(place).alias("first"))
+    found = rows.join(write_shared(sizes.where("component_size > 1")), "same")
+    return found.select(
+        "doc_id", "paragraph", "begin", "end", "n_words", "component_size",
+        F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"),
+        ((F.col("row") == F.col("first.row")) & (F.col("begin") == F.col("first.begin"))).alias("kept"),
+    )

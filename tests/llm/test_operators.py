@@ -139,6 +139,42 @@ def test_substring_dedup_of_odd_rows(odd, none):
     assert substring_dedup.repeated_paragraphs(none).count() == 0
 
 
+def test_passages_of_fifty_words_are_found_wherever_lines_end(spark, none):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"v{value}" for value in rng.integers(0, 10**9, n)]
+    texts, runs = [], []
+    for at in range(40):
+        run = fresh(50)
+        before, after, other = fresh(at), fresh(60 - at), fresh(30)
+        texts.append((2 * at, " ".join([*before, *run, *after])))
+        short = "\n".join(" ".join(run[i : i + 7]) for i in range(0, 50, 7))
+        texts.append((2 * at + 1 if at % 4 else None, " ".join(other) + " \t" + short.upper() + "\n" + " ".join(other[:at % 9])))
+        runs.append((run[0], run[-1]))
+    texts.append((1000, " ".join(fresh(300))))
+    table = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(3)
+    found = substring_dedup.repeated_passages(table).collect()
+    by_id = dict(texts)
+    spans = {}
+    for r in found:
+        if r.doc_id is not None:
+            assert len(by_id[r.doc_id][r.begin : r.end].split()) == r.n_words
+            assert by_id[r.doc_id].count("\n", 0, r.begin) == r.paragraph
+        spans.setdefault(r.first_doc_id, []).append(r)
+    for at in range(40):
+        group = spans[2 * at]
+        assert {r.doc_id for r in group} == {2 * at, 2 * at + 1 if at % 4 else None}
+        assert all(r.component_size == 2 for r in group) and sum(r.kept for r in group) * 2 == len(group)
+    assert 1000 not in spans and substring_dedup.repeated_passages(none).count() == 0
+
+
+def test_passages_cover_every_word_and_the_query_has_them(spark, documents, sf_dir):
+    for text in (LONG, BASE, "short text"):
+        covered = {word for at, length, _ in substring_dedup.passages(text) for word in range(at, at + length)}
+        assert len(covered) in ((0,) if text == "short text" else (len(text.split()),))
+    named = registry.op1_substring_dedup(spark, sf_dir).count()
+    assert named == substring_dedup.repeated_paragraphs(documents).count() + substring_dedup.repeated_passages(documents).count()
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     found = {(r.doc_id, r.line) for r in line_dedup.repeated_lines(odd).collect()}
     assert found == {(2, 0), (2, 1), (3, 0), (4, 0), (9, 0), (None, 0), (12, 0)}
