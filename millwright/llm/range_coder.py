@@ -13,6 +13,7 @@ import numpy as np
 
 TABLE = 4096  # slots of a prediction table
 SURE = 15  # largest track record of a prediction
+MOST = 1 << 15  # total of the counts of high bytes; the coder needs totals below its least range, 65,536
 _ONE = 4096
 _squash = np.clip(_ONE / (1 + np.exp(-np.arange(-2047, 2048) / 256.0)), 1, _ONE - 1).astype(np.int64)
 _chances = np.clip(np.arange(_ONE), 1, _ONE - 1) / _ONE
@@ -145,7 +146,7 @@ def _code(lengths: np.ndarray, coder, ids: np.ndarray | None) -> np.ndarray:
     guess = [np.full((blocks, TABLE), -1, np.int32) for _ in range(2)]
     record = [np.zeros((blocks, TABLE), np.uint8) for _ in range(2)]
     second, first = _Chance(blocks, 2), _Chance(blocks, 2)
-    high = np.ones((blocks, 256), np.uint16)
+    high, totals = np.ones((blocks, 256), np.uint16), np.full(blocks, 256)
     low = np.ones((blocks, 256, 256), np.uint8)
     last, before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
     active = np.searchsorted(-lengths, -np.arange(longest), "left")
@@ -170,8 +171,10 @@ def _code(lengths: np.ndarray, coder, ids: np.ndarray | None) -> np.ndarray:
         if len(rest):
             upper = coder.symbol(rest, high[rest], None if now is None else now[rest] >> 8)
             high[rest, upper] += 32
-            full = rest[high[rest, upper] > 4000]
+            totals[rest] += 32
+            full = rest[totals[rest] > MOST]
             high[full] = (high[full] >> 1) | 1
+            totals[full] = high[full].sum(1)
             lower = coder.symbol(rest, low[rest, upper], None if now is None else now[rest] & 255)
             low[rest, upper, lower] += 24
             full = low[rest, upper, lower] > 220
