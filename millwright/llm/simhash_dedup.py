@@ -48,16 +48,16 @@ def fingerprint(text: str | None, words_each: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * over > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, id_column: str, text_column: str, words_each: int) -> DataFrame:
-    """(doc_id, fp) of every row; fp is the fingerprint as a signed bigint."""
+def fingerprints(documents: DataFrame, id_column: str, text_column: str, words_each: int, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) of every row, and its bigint columns `others`; fp is the fingerprint as a signed bigint."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.fromiter((fingerprint(text, words_each) for text in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": found.view(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": found.view(np.int64), **{name: batch[name] for name in others}})
 
-    rows = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInPandas(run, "doc_id bigint, fp bigint")
+    rows = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), *others)
+    return rows.mapInPandas(run, "doc_id bigint, fp bigint" + "".join(f", {name} bigint" for name in others))
 
 
 def covering_masks(radius: int, bits: list[int], base: int = 0) -> list[int]:
@@ -177,10 +177,7 @@ def near_duplicates(
     gives no rows.
     """
     docs = write_shared(fingerprints(documents, id_column, text_column, words_each))
-    fps = write_shared(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    member = components(links(fps, radius, bucket)).withColumnRenamed("node", "fp")
-    placed = fps.join(member, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    placed = write_shared(placed)
+    placed = _placed(docs, radius, bucket)
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = placed.join(least, "component").select("fp", "component_id")
     return _with_class(docs, classes).select(
@@ -188,17 +185,32 @@ def near_duplicates(
     )
 
 
+def _placed(docs: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """(fp, least, component) of the different fingerprints of the stored table `docs`; least is the smallest id."""
+    fps = write_shared(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    member = components(links(fps, radius, bucket)).withColumnRenamed("node", "fp")
+    placed = fps.join(member, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return write_shared(placed)
+
+
 def _with_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Join by fingerprint; adaptive execution splits the rows of a fingerprint many texts share."""
     return docs.join(write_shared(classes), "fp")
 
 
-def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """`documents` without the rows whose component has a smaller id.
+def one_of_each(
+    documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+    words_each: int = SHINGLE_WORDS, radius: int = RADIUS, bucket: int = BUCKET,
+) -> DataFrame:
+    """One row of `documents` for each component: that with the smallest id.
 
-    Of rows that repeat the kept id all stay; rows with a NULL id stay only if no id is in their component.
+    Rows that repeat this id are told apart by a hash of the text, and of exact repeats any one stays. A row with a
+    NULL id stays only if no row with an id is in its component.
     """
-    found = near_duplicates(documents, **options)
-    id_column = options.get("id_column", "doc_id")
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(write_shared(kept), F.col(id_column).eqNullSafe(F.col("_kept")), "left_semi")
+    rows = documents.withColumns({"_row": F.monotonically_increasing_id(), "_hash": F.xxhash64(F.col(text_column))})
+    rows = write_shared(rows)  # the numbers must be the same when they are read again
+    docs = write_shared(fingerprints(rows, id_column, text_column, words_each, ("_row", "_hash")))
+    classes = _placed(docs, radius, bucket).select("fp", "component")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row")
+    kept = _with_class(docs, classes).groupBy("component").agg(F.min(order).alias("first")).select("first._row")
+    return rows.join(write_shared(kept), "_row", "left_semi").select(*[F.col(f"`{name}`") for name in documents.columns])

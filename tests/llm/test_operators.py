@@ -114,6 +114,20 @@ def test_simhash_of_odd_rows(odd, none):
     assert simhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    text = {name: " ".join(f"{name}{i}" for i in range(50)) for name in "abcde"}
+    rows = [
+        (1, text["a"], 0), (None, text["a"], 1), (None, text["b"], 2), (None, text["c"], 3), (None, text["c"], 4),
+        (2, text["d"], 5), (2, text["d"], 6), (2, text["a"], 7), (3, text["e"], 8), (3, text["d"], 9),
+    ]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, at int").repartition(3)
+    kept = simhash_dedup.one_of_each(table)
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert kept.columns == table.columns
+    expected = [(1, text["a"]), (None, text["b"]), (None, text["c"]), (2, text["d"]), (3, text["e"])]
+    assert sorted(found, key=str) == sorted(expected, key=str)
+
+
 def test_substring_dedup_against_brute_force(documents):
     found = substring_dedup.repeated_paragraphs(documents).collect()
     nodes = {}
