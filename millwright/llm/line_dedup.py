@@ -16,13 +16,25 @@ from .bit_filter import maybe_in
 
 TALLIES = 1 << 18
 NO_ID = 9223372036854775807
+PLACE = ["doc", "key", "line"]  # of a line: document, which of the rows with that id, number
 BACK = 4  # how many sets before it a set may find its partner among in the first pass; the second pass has no limit
 
 
-def _texts(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc, line, text): every line; a NULL id comes after all others."""
-    doc = F.coalesce(F.col(id_column).cast("bigint"), F.lit(NO_ID))
-    return documents.select(doc.alias("doc"), F.posexplode(F.split(F.col(text_column), "\n")).alias("line", "text"))
+def _known(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """`documents` with _doc and _key, which tell unlike rows apart: id and hash of the whole text.
+
+    Rows with a NULL id come after all others; they are stored with a number each, so that every one is itself.
+    """
+    doc = F.col(id_column).cast("bigint")
+    named = documents.where(doc.isNotNull()).withColumns({"_doc": doc, "_key": F.xxhash64(F.col(text_column))})
+    others = documents.where(doc.isNull()).withColumns({"_doc": F.lit(NO_ID), "_key": F.monotonically_increasing_id()})
+    return named.union(write_shared(others))
+
+
+def _texts(known: DataFrame, text_column: str) -> DataFrame:
+    """(doc, key, line, text): every line."""
+    lines = F.posexplode(F.split(F.col(text_column), "\n")).alias("line", "text")
+    return known.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), lines)
 
 
 def _words() -> Column:
@@ -77,12 +89,12 @@ def _rarity(texts: DataFrame) -> Column:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """One stored row for each different line: same, doc, line (its first place), n, prefix, parity, ends.
+    """One stored row for each different line: same, doc, key, line (its first place), n, prefix, parity, ends.
 
     ends: hashes of the two words with the smallest hashes, and of the two with the largest.
     """
     grades = _rarity(texts)
-    lines = texts.where(_has_words()).select(F.unhex(_same()).alias("same"), "doc", "line", _hashes().alias("hashes"))
+    lines = texts.where(_has_words()).select(F.unhex(_same()).alias("same"), "doc", "key", "line", _hashes().alias("hashes"))
     lines = lines.withColumn("n", F.size("hashes"))
 
     def ranked(hashed: Column) -> Column:  # sorts by rarity, then by the upper bits of the hash
@@ -94,10 +106,10 @@ def _sets(texts: DataFrame) -> DataFrame:
     bit = lambda total, value: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), value.bitwiseAND(F.lit(63)).cast("int")))
     parity = F.aggregate("hashes", F.lit(0).cast("bigint"), bit)
     ends = [F.hash(*[F.get("hashes", at) for at in pair]) for pair in ((F.lit(0), F.lit(1)), (F.col("n") - 1, F.col("n") - 2))]
-    coded = lines.select("same", "doc", "line", "n", prefix.alias("prefix"), parity.alias("parity"), F.array(*ends).alias("ends"))
-    first = F.min(F.struct("doc", "line")).alias("first")
+    coded = lines.select("same", "doc", "key", "line", "n", prefix.alias("prefix"), parity.alias("parity"), F.array(*ends).alias("ends"))
+    first = F.min(F.struct("doc", "key", "line")).alias("first")
     sets = coded.groupBy("same").agg(first, *[F.first(name).alias(name) for name in ("n", "prefix", "parity", "ends")])
-    return write_shared(sets.select("same", "first.doc", "first.line", "n", "prefix", "parity", "ends"))
+    return write_shared(sets.select("same", "first.*", "n", "prefix", "parity", "ends"))
 
 
 def _least_common(n: Column, m: Column, of: int = 4, among: int = 9) -> Column:
@@ -129,21 +141,21 @@ def _near_bits(one: Column, other: Column, most: Column) -> Column:
 
 
 def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (doc, line, to_doc, to_line) that hold on the words themselves; fetches only lines that occur in them."""
+    """The pairs (doc, key, line, to_doc, to_key, to_line) that hold on the words themselves; fetches only lines that occur in them."""
     pairs = write_shared(pairs.distinct())
-    place = F.struct("doc", "line")
-    ends = pairs.select(place.alias("place")).union(pairs.select(F.struct(F.col("to_doc").alias("doc"), F.col("to_line").alias("line")))).distinct()
-    texts = _with_words(texts.where(maybe_in(ends.select("place"), place))).select("doc", "line", "words")
-    texts = texts.join(ends.select("place.doc", "place.line"), ["doc", "line"], "left_semi")
-    texts = write_shared(texts.dropDuplicates(["doc", "line"]))
-    to = texts.select(F.col("doc").alias("to_doc"), F.col("line").alias("to_line"), F.col("words").alias("to_words"))
+    place = F.struct(*PLACE)
+    ends = pairs.select(place.alias("place")).union(pairs.select(F.struct(*[F.col(f"to_{name}").alias(name) for name in PLACE]))).distinct()
+    texts = _with_words(texts.where(maybe_in(ends.select("place"), place))).select(*PLACE, "words")
+    texts = texts.join(ends.select("place.*"), PLACE, "left_semi")
+    texts = write_shared(texts.dropDuplicates(PLACE))
+    to = texts.select(*[F.col(name).alias(f"to_{name}") for name in [*PLACE, "words"]])
     common = F.size(F.array_intersect("words", "to_words"))
     near = common * 9 >= (F.size("words") + F.size("to_words")) * 4
-    return pairs.join(texts, ["doc", "line"]).join(to, ["to_doc", "to_line"]).where(near)
+    return pairs.join(texts, PLACE).join(to, [f"to_{name}" for name in PLACE]).where(near)
 
 
 def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All sets, and the first places (doc, line) of those that have a similar earlier set.
+    """All sets, and the first places (doc, key, line) of those that have a similar earlier set.
 
     First every set is compared with one other among sets that share a key: its smallest prefix code by hash,
     and the words at either end of the order of hashes, which rare words seldom move. The
@@ -157,9 +169,9 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.array_min(F.transform("prefix", lambda value: F.xxhash64(value, F.lit(seed))))
 
     keys = F.array(*[smallest(seed) for seed in range(1)], *[F.xxhash64(F.lit(at), F.get("ends", F.lit(at))) for at in range(2)])
-    narrow = sets.select("doc", "line", "n", "parity", F.explode(keys).alias("key"))
-    order = Window.partitionBy("key").orderBy("doc", "line")
-    this = F.struct("doc", "line", "n", "parity")
+    narrow = sets.select(*PLACE, "n", "parity", F.explode(keys).alias("met"))
+    order = Window.partitionBy("met").orderBy(*PLACE)
+    this = F.struct(*PLACE, "n", "parity")
     others = {f"other{back}": F.lag(this, back).over(order) for back in range(1, BACK + 1)}
     others["other0"] = F.when(F.row_number().over(order) > 1, F.first(this).over(order))
 
@@ -168,59 +180,67 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.when(_near_bits(F.col("parity"), F.col(f"{other}.parity"), most), F.col(other))
 
     tried = narrow.withColumns(others).withColumn("to", F.coalesce(*[may_be(other) for other in others])).where("to is not null")
-    tried = tried.select("doc", "line", F.col("to.doc").alias("to_doc"), F.col("to.line").alias("to_line"))
-    settled = write_shared(_similar_pairs(tried, texts).select("doc", "line").distinct())
+    tried = tried.select(*PLACE, *[F.col(f"to.{name}").alias(f"to_{name}") for name in PLACE])
+    settled = write_shared(_similar_pairs(tried, texts).select(*PLACE).distinct())
 
-    marked = sets.drop("same", "ends").join(settled.withColumn("settled", F.lit(True)), ["doc", "line"], "left")
+    marked = sets.drop("same", "ends").join(settled.withColumn("settled", F.lit(True)), PLACE, "left")
     # A settled set seeks no partner. Two numbers of 32 bits share a column, which halves what is shuffled, and
     # no column is nullable, so that both sides are one exchange.
     rows = marked.select(
-        F.coalesce("doc", F.lit(0)).alias("doc"), _pair(F.col("line"), F.col("n")).alias("line_n"),
+        F.coalesce("doc", F.lit(0)).alias("doc"), F.coalesce("key", F.lit(0)).alias("key"), _pair(F.col("line"), F.col("n")).alias("line_n"),
         F.coalesce("parity", F.lit(0)).alias("parity"), F.coalesce("settled", F.lit(False)).alias("settled"),
         F.posexplode("prefix").alias("at", "code"),
     )
     rows = rows.select(
-        "doc", "line_n", "parity", _pair(F.col("at"), F.col("settled").cast("int")).alias("at_settled"),
+        "doc", "key", "line_n", "parity", _pair(F.col("at"), F.col("settled").cast("int")).alias("at_settled"),
         F.coalesce("code", F.lit(0)).alias("code"),
     )
     x, y = rows.alias("x"), rows.alias("y")
     line, n, at, is_settled = _first("x.line_n"), _second("x.line_n"), _first("x.at_settled"), _second("x.at_settled")
     to_line, m, to_at = _first("y.line_n"), _second("y.line_n"), _first("y.at_settled")
-    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (to_line < line))
+    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (
+        (F.col("y.key") < F.col("x.key")) | ((F.col("y.key") == F.col("x.key")) & (to_line < line))
+    ))
     reach = F.least(n - at, m - to_at)  # common words from this one on
     found = x.join(
         y.hint("merge"),
         (F.col("x.code") == F.col("y.code")) & earlier & (is_settled == 0) & (n >= m * 0.8) & (m >= n * 0.8)
         & (reach >= _least_common(n, m)) & _near_bits(F.col("x.parity"), F.col("y.parity"), _differ_at_most(n, m)),
     )
-    found = found.select("x.doc", line.alias("line"), F.col("y.doc").alias("to_doc"), to_line.alias("to_line"))
-    more = _similar_pairs(found, texts).select("doc", "line").distinct()
+    found = found.select("x.doc", "x.key", line.alias("line"), F.col("y.doc").alias("to_doc"), F.col("y.key").alias("to_key"), to_line.alias("to_line"))
+    more = _similar_pairs(found, texts).select(*PLACE).distinct()
     return sets, write_shared(settled.union(more))
 
 
 def repeated_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, line): every line with a similar earlier one, `line` counting from 0.
 
-    Earlier is by id, then by line; NULL ids come last and count as one id. Any earlier line counts, whether it stays or not.
-    Lines without words never go, nor do NULL and empty texts have any. Rows that repeat an id share its
-    line numbers, and equal lines of one number don't count as earlier. Other columns are not read; an empty table gives no rows.
+    Earlier is by id, then by line; NULL ids come last, each row a document of its own. Any earlier line counts, whether it stays or not.
+    Lines without words never go, nor do NULL and empty texts have any. Rows that repeat an id
+    are ordered by a hash of their texts; equal ones are one document. Other columns are not read; an empty table gives no rows.
     """
-    texts = _texts(documents, id_column, text_column)
+    gone = _gone(_known(documents, id_column, text_column), text_column)
+    return gone.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "line").distinct()
+
+
+def _gone(known: DataFrame, text_column: str) -> DataFrame:
+    """Places (doc, key, line) of the lines that go; rows that are equal may repeat one."""
+    texts = _texts(known, text_column)
     sets, gone = repeated_sets(texts)
-    firsts = sets.select("same", F.col("doc").alias("first_doc"), F.col("line").alias("first_line"))
-    gone = gone.select(F.col("doc").alias("first_doc"), F.col("line").alias("first_line"), F.lit(True).alias("gone"))
-    firsts = write_shared(firsts.join(gone, ["first_doc", "first_line"], "left"))
-    again = texts.select("doc", "line", F.unhex(_same()).alias("same")).join(firsts, "same")
-    again = again.where("gone or doc <> first_doc or line <> first_line")
-    return again.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), "line").distinct()
+    first = [f"first_{name}" for name in PLACE]
+    firsts = sets.select("same", *[F.col(name).alias(f"first_{name}") for name in PLACE])
+    gone = gone.select(*[F.col(name).alias(f"first_{name}") for name in PLACE], F.lit(True).alias("gone"))
+    firsts = write_shared(firsts.join(gone, first, "left"))
+    again = texts.select(*PLACE, F.unhex(_same()).alias("same")).join(firsts, "same")
+    return again.where("gone or doc <> first_doc or key <> first_key or line <> first_line").select(*PLACE)
 
 
 def without_repeated_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """`documents` without those lines; a text that loses all of them is empty, and every row stays."""
-    gone = repeated_lines(documents, id_column, text_column)
-    gone = gone.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line").alias("_gone"))
+    known = _known(documents, id_column, text_column)
+    gone = _gone(known, text_column).groupBy(F.col("doc").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set("line").alias("_gone"))
     gone = write_shared(gone)
-    rows = documents.join(gone, F.col(id_column).cast("bigint").eqNullSafe(F.col("_doc")), "left")
+    rows = known.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     stay = F.filter(F.split(F.col(text_column), "\n"), lambda line, at: ~F.array_contains("_gone", at))
     text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(stay, "\n"))
     return rows.withColumn(text_column, text).select(*[F.col(f"`{name}`") for name in documents.columns])
