@@ -14,7 +14,7 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, learn_from, rows
     """At most `rows` labelled texts (text, label) on the driver, whichever way the ids hash.
 
     Only rows for which `learn_from` holds and with a label of 0 or 1 are drawn. Ids are drawn first, so
-    their texts reach the driver by a join with a list of at most `rows` ids. Of a text longer
+    their texts reach the driver by a join with a list of at most `rows` ids; of rows that repeat one, the smallest text. Of a text longer
     than `text_chars` that many characters from its start and as many from its end are taken to learn from.
     """
     ids = (
@@ -27,5 +27,5 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, learn_from, rows
     ends = F.concat(F.substring(text, 1, text_chars), F.lit("\n"), F.substring(text, -text_chars, text_chars))
     text = F.when(F.length(text) > 2 * text_chars, ends).otherwise(text)
     found = documents.select(F.col("doc_id").alias("_id"), text.alias("text")).join(F.broadcast(ids), "_id")
-    table = found.select("_id", "text", F.col("_label").alias("label")).toPandas()
+    table = found.groupBy("_id").agg(F.min("text").alias("text"), F.first("_label").alias("label")).toPandas()
     return table.sort_values(["_id", "text"], ignore_index=True)[["text", "label"]]

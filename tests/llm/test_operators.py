@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millwright.llm import (
-    components, exact_dedup, line_dedup, lz_fingerprint, mixing, piece_sampling, quality_classifier, range_coder,
+    components, exact_dedup, labelled, line_dedup, lz_fingerprint, mixing, piece_sampling, quality_classifier, range_coder,
     registry, simhash_dedup, substring_dedup, token_files, toxicity,
 )
 from millwright.operators.shared_table import shared_folder
@@ -226,6 +226,13 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([r.predicted for r in rows if r.toxic]) > 0.8
 
 
+def test_a_sample_has_one_row_of_an_id(spark):
+    table = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int")
+    found = labelled.sample(table, labels, "toxic", F.lit(True), 2, 100)
+    assert found.values.tolist() == [["text 0", 1], ["", 0]]
+
+
 def test_classifiers_on_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 14)], "doc_id bigint, quality int, toxic int")
     for module, label in ((quality_classifier, "quality"), (toxicity, "toxic")):
