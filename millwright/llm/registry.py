@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millwright.operators.shared_table import shared_folder
 
 from . import (
-    exact_dedup, line_dedup, lz_fingerprint, mixing, piece_sampling, quality_classifier, simhash_dedup,
+    byte_pairs, exact_dedup, line_dedup, lz_fingerprint, mixing, piece_sampling, quality_classifier, simhash_dedup,
     substring_dedup, token_files, toxicity,
 )
 
@@ -73,10 +73,22 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.with_edited(_table(spark, sf_dir, "documents"))
 
 
+def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_file("byte_bpe_multi_50k.tiktoken")
+    rows = byte_pairs.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    rows = byte_pairs.decode(rows.drop("text"), ranks)
+    return rows.select(
+        "doc_id", byte_pairs.count(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_substring_dedup, op2_mixing, op3_quality, op4_piece_sampling, op5_simhash_dedup, op6_token_files,
-        op7_toxicity, op8_exact_dedup, op9_line_dedup, op10_lz_fingerprint,
+        op7_toxicity, op8_exact_dedup, op9_line_dedup, op10_lz_fingerprint, op13_byte_pairs,
     )
     return {query.__name__: query for query in found}
 
