@@ -1,9 +1,8 @@
 """Difference to the previous row of the same key, without one task per key."""
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-ID_BLOCK = 1_000_000
+from . import segments
 
 
 def previous_pairs(
@@ -13,42 +12,9 @@ def previous_pairs(
 
     Returns key, `current` and `previous` (structs of payload); a key's first row has no pair.
 
-    A key's rows are cut into hours (rows without a time: into blocks of `tie`), and pairs are
-    formed inside each such slot; then one row per slot pairs the slot's first row with the last
-    row of the slot before. A task therefore holds one hour of a key, or one row per hour of a key,
-    never all rows of a hot key.
+    Rows are dealt by range of (key, time, tie) into segments of like size, so neither a hot key nor many rows
+    at one time, or without a time, load one task. Pairs are formed inside each segment; the pair of a segment's first
+    row comes from one row for each segment.
     """
-    row = F.struct(*payload)
-    slot = F.struct(
-        F.to_date(time).alias("day"),
-        F.hour(time).alias("hour"),
-        F.when(F.col(time).isNull(), F.floor(F.col(tie) / ID_BLOCK)).alias("block"),
-    )
-    rows = df.select(key, time, tie, row.alias("current"), slot.alias("slot"))
-
-    in_slot = Window.partitionBy(key, "slot").orderBy(_first(time), _first(tie))
-    so_far = in_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    paired = rows.select(
-        key,
-        "slot",
-        "current",
-        F.lag("current").over(in_slot).alias("previous"),
-        F.row_number().over(in_slot).alias("position"),
-        F.lead(F.lit(True)).over(in_slot).isNull().alias("is_last"),
-        F.first("current").over(so_far).alias("slot_first"),
-    )
-    inside = paired.where("position > 1").select(key, "current", "previous")
-
-    by_slot = Window.partitionBy(key).orderBy(_first("slot"))
-    slots = paired.where("is_last").select(
-        key,
-        F.col("slot_first").alias("current"),
-        F.lag("current").over(by_slot).alias("previous"),
-        F.row_number().over(by_slot).alias("position"),
-    )
-    between = slots.where("position > 1").select(key, "current", "previous")
-    return inside.unionByName(between)
-
-
-def _first(name: str) -> Column:
-    return F.col(name).asc_nulls_first()
+    rows = df.select(key, time, tie, *[name for name in payload if name not in (key, time, tie)])
+    return segments.previous(segments.cut(rows, [key], [time, tie]), [key], [time, tie], payload)

@@ -1,11 +1,18 @@
-"""Intermediate results as Parquet tables in the folder all executors share."""
+"""Intermediate results as Parquet tables in the folder all executors share, each removed when its scope ends."""
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: says that a `file:` folder is a mount that all executors share, on a master that is not local
+MOUNTED = "spark.millwright.sharedFolderIsMounted"
+
 
 @cache
 def _local_folder() -> str:
@@ -13,22 +20,98 @@ def _local_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's `spark.checkpoint.dir`; a temporary folder only in local mode."""
+    """The cluster's `spark.checkpoint.dir`; a temporary folder only in local mode.
+
+    On a cluster a folder of the machines' own disks would lose what other executors wrote, so `file:` is
+    refused there unless MOUNTED is true.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder()
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    local = spark.sparkContext.master.startswith("local")
+    if not folder:
+        if local:
+            return _local_folder()
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if urlparse(folder).scheme == "file" and not local and spark.conf.get(MOUNTED, "false") != "true":
+        raise ValueError(f"{folder} is on each machine's own disk; if it is a shared mount, set {MOUNTED} to true")
+    return folder
+
+
+class Scope:
+    """Folders of stored tables that are removed together."""
+
+    def __init__(self, outer: "Scope | None") -> None:
+        self.outer = outer
+        self.folders: dict[str, SparkSession] = {}
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """Hand a stored table on to the scope around this one; without one it stays until it is dropped."""
+        for folder in _folders_of(table) & self.folders.keys():
+            spark = self.folders.pop(folder)
+            if self.outer is not None:
+                self.outer.folders[folder] = spark
+        return table
+
+    def close(self) -> None:
+        while self.folders:
+            _remove(*self.folders.popitem())
+
+
+_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def stored_tables() -> Iterator[Scope]:
+    """Everything that `write_shared` stores inside is removed at the end, also after an error.
+
+    So the last reader must have run by then: collect or write results inside. A DataFrame whose stored table
+    is still needed afterwards is handed on by `Scope.keep`. Scopes may be nested; code that opens none belongs to its caller's.
+    """
+    scope = Scope(_scope.get())
+    token = _scope.set(scope)
+    try:
+        yield scope
+    finally:
+        _scope.reset(token)
+        scope.close()
 
 
 def write_shared(df: DataFrame) -> DataFrame:
     """Run `df` once and return a scan of its result.
 
     Later steps read only the columns they need, do not repeat the work, and a lost executor
-    costs a re-read instead of a re-computation.
+    costs a re-read instead of a re-computation. The table lives as long as the innermost `stored_tables`,
+    or until `drop_shared`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/millwright-{uuid.uuid4().hex}"
+    if (scope := _scope.get()) is not None:
+        scope.folders[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_shared(*tables: DataFrame) -> None:
+    """Remove stored tables now; nothing may read them afterwards. Other tables that a plan reads are left alone."""
+    for table in tables:
+        for folder in _folders_of(table):
+            scope = _scope.get()
+            while scope is not None:
+                scope.folders.pop(folder, None)
+                scope = scope.outer
+            _remove(folder, table.sparkSession)
+
+
+def _folders_of(table: DataFrame) -> set[str]:
+    """Folders that `write_shared` made and the plan of `table` scans, spelled as they were written."""
+    root = shared_folder(table.sparkSession).rstrip("/")
+    found = set()
+    for file in table.inputFiles():
+        name = next((part for part in file.split("/") if part.startswith("millwright-") and len(part) == 43), None)
+        if name:
+            found.add(f"{root}/{name}")
+    return found
+
+
+def _remove(folder: str, spark: SparkSession) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
