@@ -3,8 +3,8 @@
 A sequence of tokens is what the merges make of its bytes exactly if every two neighbours are what the merges
 make of those two (compatible). So a word is encoded from left to right: take the longest token that starts
 here and is compatible with the one before; if none is, drop the one before and try its next shorter form. A
-place from which no way leads to the end is marked, so none is tried twice. All tokens that start
-anywhere in a word come from one pass of an Aho-Corasick automaton, over its bytes read as Latin-1.
+place from which no way leads to the end is marked, so none is tried twice. The longest token at a place comes
+from a trie of pyahocorasick, whose bytes are read as Latin-1.
 """
 
 import base64
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 KNOWN_WORD_BYTES = 64 << 20  # words met before, per task
 KNOWN_PAIRS = 1 << 19  # answers of compatible() that are kept
-_END = 1 << 30
+_END = 1 << 32
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,15 +41,22 @@ class Vocabulary:
         #: the last merge of a token: its two halves; a byte is its own half
         self.halves: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self.known: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}  # answers of compatible()
         for rank in sorted(self.of):
             self._add(rank, self.of[rank])
-        self.known.clear()  # answers change while tokens are added
-        self.automaton = ahocorasick.Automaton()
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for rank in self.halves:
-            token = self.of[rank]
-            self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
-        self.automaton.make_automaton()
+            self.trie.add_word(self.of[rank].decode("latin-1"))
+        self.sizes = {rank: len(self.of[rank]) for rank in self.halves}
+        self.most = max(self.sizes.values())
+        #: the longest token that a token begins with, other than itself; a byte has none
+        self.shorter = {rank: self._longest(self.of[rank][:-1]) for rank in self.halves}
+
+    def _longest(self, start: bytes) -> int:
+        """The longest token that merges make and `start` begins with; -1 of nothing."""
+        while start and self.ranks.get(start) not in self.halves:
+            start = start[:-1]
+        return self.ranks[start] if start else -1
 
     def _add(self, rank: int, token: bytes) -> None:
         if len(token) == 1:
@@ -95,38 +102,38 @@ class Vocabulary:
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        size = len(word)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]  # tokens by start; those that end first come first
-        for last, token in self.automaton.iter(word.decode("latin-1")):
-            starts[last + 1 - token[0]].append(token)
-        known, compatible = self.known.get, self.compatible
-        ids, places, lefts = [], [], []  # tokens so far, where they start, and the tokens not tried there
+        size, most = len(word), self.most
+        text, longest_path = word.decode("latin-1"), self.trie.longest_prefix
+        known, sizes, shorter, rank_of = self.known.get, self.sizes, self.shorter, self.ranks.get
+        ids: list[int] = []
         dead = bytearray(size + 1)  # places from which the end can't be reached
-        at, before, left = 0, -1, starts[0]
-        while True:
-            while left:
-                length, rank = left.pop()
-                after = at + length
-                if dead[after]:
+        at, before = 0, -1
+        while at < size:
+            start = word[at : at + longest_path(text[at : at + most])]
+            rank = rank_of(start, -1)
+            if rank not in sizes:
+                rank = self._longest(start)
+            while True:
+                while rank >= 0:
+                    after = at + sizes[rank]
+                    if not dead[after]:
+                        if before < 0:
+                            break
+                        fits = known(before << 32 | rank)
+                        if fits or fits is None and self.compatible(before, rank):
+                            break
+                    rank = shorter[rank]
+                else:  # nothing fits here: the token before gets shorter
+                    dead[at] = 1
+                    rank = ids.pop()
+                    at -= sizes[rank]
+                    before = ids[-1] if ids else -1
+                    rank = shorter[rank]
                     continue
-                if before >= 0:
-                    fits = known(before << 32 | rank)
-                    if fits is None:
-                        fits = compatible(before, rank)
-                    if not fits:
-                        continue
-                ids.append(rank)
-                if after == size:
-                    return ids
-                places.append(at)
-                lefts.append(left)
-                at, before, left = after, rank, starts[after].copy()
                 break
-            else:
-                dead[at] = 1
-                at, left = places.pop(), lefts.pop()
-                ids.pop()
-                before = ids[-1] if ids else -1
+            ids.append(rank)
+            at, before = after, rank
+        return ids
 
 
 def plain_merges(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
@@ -216,7 +223,7 @@ def decode(rows: DataFrame, ranks: str, ids_column: str = "ids", bytes_column: s
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        token = vocabulary(ranks).of.__getitem__
+        token = {rank: token for token, rank in read_ranks(ranks).items()}.__getitem__
         for packed in batches:
             whole = [b"".join(map(token, np.frombuffer(ids or b"", "<u4").tolist())) for ids in packed]
             yield pd.Series(whole, dtype="object")

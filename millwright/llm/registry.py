@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millwright.operators.shared_table import shared_folder
 
 from . import (
-    byte_pairs, exact_dedup, line_dedup, lz_fingerprint, mixing, piece_sampling, quality_classifier, simhash_dedup,
+    byte_pairs, exact_dedup, line_dedup, lz_fingerprint, mixing, piece_sampling, prefix_trie, quality_classifier, simhash_dedup,
     substring_dedup, token_files, toxicity,
 )
 
@@ -73,6 +73,12 @@ def op10_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz_fingerprint.with_edited(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    rebuilt = prefix_trie.with_reused_beginnings(prefix_trie.turns(conversations))
+    return prefix_trie.nodes(rebuilt, conversations)
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,7 +94,7 @@ def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_substring_dedup, op2_mixing, op3_quality, op4_piece_sampling, op5_simhash_dedup, op6_token_files,
-        op7_toxicity, op8_exact_dedup, op9_line_dedup, op10_lz_fingerprint, op13_byte_pairs,
+        op7_toxicity, op8_exact_dedup, op9_line_dedup, op10_lz_fingerprint, op11_prefix_trie, op13_byte_pairs,
     )
     return {query.__name__: query for query in found}
 
@@ -157,6 +163,45 @@ WITH lines AS (
 SELECT doc_id, line FROM worded WHERE spot <> first OR first IN (SELECT later FROM gone)
 """
 
+_OP11 = """
+WITH turns AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (
+    SELECT c, list({'role': role, 'text': text} ORDER BY place) AS own FROM turns GROUP BY c
+), reused AS (
+    SELECT c, own, c - c % 5 AS base, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)),
+        lambda crc, byte: list_reduce(
+            list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+            lambda rest, bit: xor(rest >> 1, 3988292384 * (rest & 1))
+        )
+    )) % 9 AS h
+    FROM lists
+), rebuilt AS (
+    SELECT r.c, list_concat(coalesce(b.own, [])[1:h], r.own[h + 1:]) AS seq
+    FROM reused r LEFT JOIN lists b ON b.c = r.base
+), steps AS (
+    SELECT c, len(seq) AS n, d, seq[1:d] AS path FROM rebuilt, range(0, len(seq) + 1) AS r(d)
+), nodes AS (
+    SELECT d, path, min(c) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends
+    FROM steps GROUP BY d, path
+), own AS (
+    SELECT n.*, p.conv_id AS parent, coalesce((n.n_convs - 1) * strlen(n.path[-1].text), 0) AS saved
+    FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+), counted AS (
+    SELECT o.*, (SELECT count(*) FROM own k WHERE k.d = o.d + 1 AND k.path[1:o.d] = o.path) AS children FROM own o
+), under AS (
+    SELECT a.d, path[1:a.d] AS top, sum(saved) AS saved, count(*) FILTER (children = 0) AS leaves
+    FROM counted, range(0, counted.d + 1) AS a(d) GROUP BY a.d, path[1:a.d]
+)
+SELECT c.conv_id, c.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, children AS n_children,
+       leaves AS n_leaves, u.saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM counted c JOIN under u ON u.d = c.d AND u.top = c.path
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _OP2, "op8_exact_dedup": _OP8, "op9_line_dedup": _OP9}
+    return {"op2_mixing": _OP2, "op8_exact_dedup": _OP8, "op9_line_dedup": _OP9, "op11_prefix_trie": _OP11}
