@@ -10,7 +10,7 @@ from millwright.operators.shared_table import shared_folder
 
 from . import (
     byte_pairs, exact_dedup, line_dedup, lz_fingerprint, mixing, piece_sampling, prefix_trie, quality_classifier, simhash_dedup,
-    substring_dedup, token_files, toxicity,
+    source_divergence, substring_dedup, token_files, toxicity,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(rebuilt, conversations)
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -94,7 +98,8 @@ def op13_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_substring_dedup, op2_mixing, op3_quality, op4_piece_sampling, op5_simhash_dedup, op6_token_files,
-        op7_toxicity, op8_exact_dedup, op9_line_dedup, op10_lz_fingerprint, op11_prefix_trie, op13_byte_pairs,
+        op7_toxicity, op8_exact_dedup, op9_line_dedup, op10_lz_fingerprint, op11_prefix_trie, op12_source_divergence,
+        op13_byte_pairs,
     )
     return {query.__name__: query for query in found}
 
@@ -202,6 +207,46 @@ SELECT c.conv_id, c.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, child
 FROM counted c JOIN under u ON u.d = c.d AND u.top = c.path
 """
 
+_OP12 = r"""
+WITH docs AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), grp AS (
+    SELECT DISTINCT lang, source FROM docs
+), kept AS (
+    SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY lang, term HAVING count(*) >= 30
+), found AS (
+    SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM docs) JOIN kept USING (lang, term)
+    GROUP BY lang, source, term
+), every AS (
+    SELECT lang, source, term, coalesce(n, 0) AS n FROM grp JOIN kept USING (lang) LEFT JOIN found USING (lang, source, term)
+), shares AS (
+    SELECT lang, source, term, n,
+           1 + 1000000000::HUGEINT * (n + 5) // (sum(n) OVER g + 5 * count(*) OVER g) AS p,
+           sum(n) OVER (PARTITION BY lang, term) AS lang_n
+    FROM every WINDOW g AS (PARTITION BY lang, source)
+), audited AS (
+    SELECT *, 1 + 1000000000::HUGEINT * (lang_n + 5) // (sum(n) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang, source)) AS q
+    FROM shares
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), items AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM audited WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT lang, source, part, item, value::BIGINT AS value,
+           row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+    FROM items
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": _OP2, "op8_exact_dedup": _OP8, "op9_line_dedup": _OP9, "op11_prefix_trie": _OP11}
+    return {"op2_mixing": _OP2, "op8_exact_dedup": _OP8, "op9_line_dedup": _OP9, "op11_prefix_trie": _OP11, "op12_source_divergence": _OP12}
