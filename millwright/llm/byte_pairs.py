@@ -9,6 +9,7 @@ from a trie of pyahocorasick, whose bytes are read as Latin-1.
 
 import base64
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -34,8 +35,8 @@ class Vocabulary:
     """Tokens with ranks in the order of their merges; every byte is one."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        if any(bytes([byte]) not in ranks for byte in range(256)) or max(ranks.values()) >= 1 << 32:
-            raise ValueError("a vocabulary needs all 256 bytes, and ranks below 2**32")
+        if any(bytes([byte]) not in ranks for byte in range(256)) or max(ranks.values()) >= 1 << 24:
+            raise ValueError("a vocabulary needs all 256 bytes, and ranks below 2**24")
         self.ranks = ranks
         self.of = {rank: token for token, rank in ranks.items()}
         #: the last merge of a token: its two halves; a byte is its own half
@@ -47,10 +48,15 @@ class Vocabulary:
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for rank in self.halves:
             self.trie.add_word(self.of[rank].decode("latin-1"))
-        self.sizes = {rank: len(self.of[rank]) for rank in self.halves}
-        self.most = max(self.sizes.values())
+        # compact tables by rank, so that they stay in the processor's cache; size 0: merges never make this token
+        self.sizes = array("H", bytes(2 * (max(self.of) + 1)))
+        for rank in self.halves:
+            self.sizes[rank] = len(self.of[rank])
+        self.most = max(self.sizes)
         #: the longest token that a token begins with, other than itself; a byte has none
-        self.shorter = {rank: self._longest(self.of[rank][:-1]) for rank in self.halves}
+        self.shorter = array("i", [-1]) * len(self.sizes)
+        for rank in self.halves:
+            self.shorter[rank] = self._longest(self.of[rank][:-1])
 
     def _longest(self, start: bytes) -> int:
         """The longest token that merges make and `start` begins with; -1 of nothing."""
@@ -111,7 +117,7 @@ class Vocabulary:
         while at < size:
             start = word[at : at + longest_path(text[at : at + most])]
             rank = rank_of(start, -1)
-            if rank not in sizes:
+            if rank < 0 or not sizes[rank]:
                 rank = self._longest(start)
             while True:
                 while rank >= 0:

@@ -6,13 +6,19 @@ phrases, from the smallest hashes of either phrase set.
 """
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millwright.operators.shared_table import write_shared
+
+from . import whole_ids
+
 SIZE = 128  # values of a signature, one for each part of the range of hashes
 EMPTY = 0xFFFFFFFF
 _ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -100,31 +106,43 @@ def both_signatures(text: str, other_end: str) -> tuple[np.ndarray, np.ndarray]:
     return whole, parse.signature()
 
 
-def _in_order(documents: DataFrame, id_column: str, text_column: str, parts: int) -> DataFrame:
-    """Rows (part, rank, id, text, ahead): each part a run of the descending order of ids, with the row after it.
+def _in_order(documents: DataFrame, id_column: str, text_column: str, parts: int) -> tuple[DataFrame, int]:
+    """Rows (part, id, hash, text, ahead), and the number of parts: each a run of the descending order of ids and hashes, with the row after it.
 
-    Parts are ranges of ids cut at approximate quantiles, so they are of like size. The first row of a
-    part is added once more, with `ahead`, to the part before it; the first of all to the last part.
-    Rows of one id are ordered by text, NULL ids come last.
+    Parts are ranges of ids cut at approximate quantiles. Rows without an id, and those of an id that fills a part or more, are cut
+    by ranges of the hash of their text, so these are spread, too. The first row of a part is added once more, with `ahead`, to
+    the part before it; the first of all to the last part. Parts are numbered in order; each has rows.
     """
     rows = documents.select(F.col(id_column).cast("bigint").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     cuts = rows.agg(F.percentile_approx("id", [at / parts for at in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    if cuts:  # the number of cuts not below the id: the larger ids have the lower parts
-        at_least = F.size(F.filter(F.array(*[F.lit(cut) for cut in cuts]), lambda cut: cut >= F.col("id")))
-        part = F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(at_least)
-    rows = rows.withColumn("part", part.cast("int"))
-    hashed = F.sha2("text", 256)
-    before = F.struct(F.col("id").isNotNull().alias("some"), "id", F.sha2("text", 256).alias("sha"))
-    heads = rows.groupBy("part").agg(F.max(before).alias("head"))  # one row for each part
-    order = Window.orderBy("part")
-    last = F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select(F.coalesce(F.lag("part").over(order), last).alias("before"), "part", "head")
-    ahead = rows.join(F.broadcast(heads.select("before", "part", F.col("head.id").alias("head_id"), F.col("head.sha").alias("sha"))), "part")
-    ahead = ahead.where(F.col("id").eqNullSafe(F.col("head_id")) & (hashed == F.col("sha")))
-    ahead = ahead.dropDuplicates(["part", "id", "sha"]).select("id", "text", F.col("before").alias("part"), F.lit(True).alias("ahead"))
-    return rows.select("id", "text", "part", F.lit(False).alias("ahead")).unionByName(ahead)
+    hot = {cut: times for cut, times in Counter(cuts).items() if times > 1}
+    # the order of doubles is that of ids, and ids that share a double share a range
+    splits = [float("-inf"), *sorted({float(cut) for cut in cuts} or {0.0}), float("inf")]
+    ranged = Bucketizer(splits=splits, inputCol="number", outputCol="bucket", handleInvalid="keep")
+    rows = ranged.transform(rows.withColumns({"number": F.col("id").cast("double"), "hash": F.sha2("text", 256)}))
+    slices = F.when(F.col("id").isNull(), F.lit(parts))
+    for cut, times in hot.items():
+        slices = slices.when(F.col("id") == cut, F.lit(times + 1))
+    rows = rows.withColumn("slices", slices)
+    share = F.conv(F.substring("hash", 1, 8), 16, 10).cast("bigint")
+    ranks = {  # ascending; a hot id is the smallest of its range
+        "r0": F.col("id").isNull(), "r1": -F.coalesce("bucket", F.lit(0.0)), "r2": F.col("slices").isNotNull(),
+        "r3": F.when(F.col("slices").isNotNull(), -F.coalesce("id", F.lit(0).cast("bigint")).cast("decimal(20,0)")),
+        "r4": F.col("slices") - 1 - F.floor(share * F.col("slices") / (1 << 32)),
+    }
+    rows = rows.withColumns(ranks).withColumn("place", F.struct(*ranks)).select("id", "text", "hash", "place")
+    row = F.struct(F.col("id").isNotNull().alias("some"), "id", "hash")
+    heads = rows.groupBy("place").agg(F.max(row).alias("head"))  # one row for each part
+    order = Window.orderBy("place")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("place", "head", (F.row_number().over(order) - 1).alias("part"), F.count(F.lit(1)).over(every).alias("all"))
+    heads = heads.withColumn("before", F.pmod(F.col("part") - 1, F.col("all")).cast("int"))
+    heads = write_shared(heads)
+    rows = rows.join(F.broadcast(heads.select("place", "part", "before", "head")), "place")
+    first = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("hash") == F.col("head.hash"))
+    ahead = rows.where(first).dropDuplicates(["part", "id", "hash"])
+    ahead = ahead.select("id", "hash", "text", F.col("before").alias("part"), F.lit(True).alias("ahead"))
+    return rows.select("id", "hash", "text", "part", F.lit(False).alias("ahead")).unionByName(ahead), heads.count()
 
 
 def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -140,25 +158,26 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if waiting is not None:
             yield [*waiting[:-1], likeness(waiting[-1], whole)]
         waiting = [
-            held[1], len(held[2]), hashlib.sha256(changed.encode()).hexdigest(), text_of(whole), text_of(edited),
+            *held[1], len(held[2]), hashlib.sha256(changed.encode()).hexdigest(), text_of(whole), text_of(edited),
             likeness(whole, edited), whole,
         ]
 
     for batch in batches:
         out = []
-        for part, number, text, ahead in zip(batch["part"], batch["id"].astype("Int64"), batch["text"], batch["ahead"]):
+        columns = (batch[name].tolist() for name in ("part", "doc_id", whole_ids.NONE, "text", "ahead"))
+        for part, number, none, text, ahead in zip(*columns):
             if held is not None and held[0] == part:
                 out += results(part, text)
-            held = (part, number, text)
+            held = (part, (number, none), text)
             if ahead:
                 out.append([*waiting[:-1], likeness(waiting[-1], signature(text))])
                 held = waiting = None
-        yield pd.DataFrame(out, columns=NAMES).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=NAMES)
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+NAMES = ["doc_id", whole_ids.NONE, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 SCHEMA = (
-    "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string,"
+    f"doc_id bigint, {whole_ids.NONE} boolean, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string,"
     " near_edited double, near_next double"
 )
 
@@ -173,11 +192,13 @@ def with_edited(documents: DataFrame, id_column: str = "doc_id", text_column: st
     """
     spark = documents.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _in_order(documents, id_column, text_column, parts)
-    dealt = rows.repartition(parts, "part").sortWithinPartitions(
-        "part", "ahead", F.col("id").desc_nulls_last(), F.sha2("text", 256).desc()
+    rows, found = _in_order(documents, id_column, text_column, parts)
+    dealt = rows.repartitionById(max(found, 1), F.col("part")).sortWithinPartitions(
+        "part", "ahead", F.col("id").desc_nulls_last(), F.desc("hash")
     )
-    return dealt.mapInPandas(_neighbours, SCHEMA)
+    dealt = dealt.select("part", *whole_ids.without_null("id", "doc_id"), "text", "ahead")
+    rows = dealt.mapInPandas(_neighbours, SCHEMA)
+    return rows.withColumn("doc_id", whole_ids.with_null()).drop(whole_ids.NONE)
 
 
 def fingerprints(documents: DataFrame, text_column: str = "text", name: str = "fingerprint") -> DataFrame:

@@ -28,7 +28,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    return substring_dedup.repeated_paragraphs(documents).unionByName(substring_dedup.repeated_passages(documents))
+    paragraphs = substring_dedup.repeated_paragraphs(documents).withColumn("part", F.lit("paragraph"))
+    return paragraphs.unionByName(substring_dedup.repeated_passages(documents).withColumn("part", F.lit("passage")))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

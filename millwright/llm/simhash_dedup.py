@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from millwright.operators.shared_table import write_shared
 
+from . import whole_ids
 from .components import components
 
 BITS = 64
@@ -54,10 +55,13 @@ def fingerprints(documents: DataFrame, id_column: str, text_column: str, words_e
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = np.fromiter((fingerprint(text, words_each) for text in batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": found.view(np.int64), **{name: batch[name] for name in others}})
+            kept = {name: batch[name] for name in ("doc_id", whole_ids.NONE, *others)}
+            yield pd.DataFrame({**kept, "fp": found.view(np.int64)})
 
-    rows = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), *others)
-    return rows.mapInPandas(run, "doc_id bigint, fp bigint" + "".join(f", {name} bigint" for name in others))
+    rows = documents.select(*whole_ids.without_null(id_column), F.col(text_column).alias("text"), *others)
+    more = "".join(f", {name} bigint" for name in others)
+    found = rows.mapInPandas(run, f"doc_id bigint, {whole_ids.NONE} boolean{more}, fp bigint")
+    return found.select(whole_ids.with_null(), "fp", *others)
 
 
 def covering_masks(radius: int, bits: list[int], base: int = 0) -> list[int]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from millwright.operators.shared_table import write_shared
 
+from . import whole_ids
 from .bit_filter import maybe_in
 from .components import components
 
@@ -64,13 +65,16 @@ def _identity(words: list[str]) -> bytes:
     return hashlib.md5(" ".join(words).encode()).digest()
 
 
+_ROW = ["row", "doc_id", whole_ids.NONE, "content"]  # number of the row, its id, and the hash of its text
+
+
 def _paragraph_rows(least_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows, sets, size = [], [], 0
-            for doc, text in zip(batch["doc"], batch["text"]):
+            for *row, text in zip(*(batch[name].tolist() for name in _ROW), batch["text"]):
                 for number, start, end, words in paragraphs(text, least_words):
-                    rows.append((doc, number, start, end, len(words), _identity(words)))
+                    rows.append((*row, number, start, end, len(words), _identity(words)))
                     sets.append(shingles(words))
                     size += len(words)
                     if size > 500_000:
@@ -80,7 +84,7 @@ def _paragraph_rows(least_words: int):
                 yield frame(rows, sets)
 
     def frame(rows, sets):
-        table = pd.DataFrame(rows, columns=["doc", "paragraph", "begin", "end", "n_words", "same"])
+        table = pd.DataFrame(rows, columns=[*_ROW, "paragraph", "begin", "end", "n_words", "same"])
         table["bands"] = list(band_keys(sets))
         return table
 
@@ -104,10 +108,6 @@ def _needed_shingles(least_words: int):
     return run
 
 
-def _doc_key(id_column: str) -> Column:
-    return F.coalesce(F.col(id_column).cast("string"), F.lit("null"))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose shingle sets are similar enough."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("one"))
@@ -163,20 +163,23 @@ def repeated_paragraphs(
     doc_id, paragraph (line number), begin, end (characters), n_words, component_size, first_doc_id,
     first_paragraph, kept. Paragraphs are lines of at least `least_words` words. Linked are paragraphs whose
     sets of five-word shingles have a Jaccard similarity of 0.8 or more; the first of each
-    component (by id, then line; NULL ids last) is kept.
+    component (by id, then row, then line; NULL ids last) is kept, and nothing else of it, also where rows share an id or have none.
 
     Equal paragraphs count as one node with members, so copies never meet in pairs. In a bucket, every
     node is compared with the most central one. Nodes of buckets that still hold several components are
     joined exactly, by their rarest shingles, so no link that a band shows is lost. NULL and empty texts have no paragraph; repeated rows repeat
     their paragraphs. Other columns are not read. An empty table gives no rows.
     """
-    docs = documents.select(_doc_key(id_column).alias("doc"), F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    schema = "doc string, paragraph int, begin long, end long, n_words int, same binary, bands array<bigint>"
-    found = docs.select("doc", "text").mapInPandas(_paragraph_rows(least_words), schema)
-    found = write_shared(found)
-    place = F.struct(F.col("doc").try_cast("bigint").isNull().alias("none"), F.col("doc").try_cast("bigint").alias("doc_id"), "paragraph")
+    content = F.xxhash64(F.col(text_column)).alias("content")
+    docs = documents.select(
+        F.monotonically_increasing_id().alias("row"), *whole_ids.without_null(id_column), content, F.col(text_column).alias("text")
+    )
+    schema = f"row long, doc_id long, {whole_ids.NONE} boolean, content long, paragraph int, begin long, end long, n_words int, same binary, bands array<bigint>"
+    found = docs.mapInPandas(_paragraph_rows(least_words), schema)
+    found = write_shared(found.withColumn("doc_id", whole_ids.with_null()).drop(whole_ids.NONE))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "paragraph")
     nodes = found.groupBy("same").agg(
-        F.count(F.lit(1)).alias("members"), F.min(place).alias("first"), F.min("doc").alias("doc"), F.first("bands").alias("bands")
+        F.count(F.lit(1)).alias("members"), F.min(place).alias("first"), F.min("content").alias("content"), F.first("bands").alias("bands")
     )
     nodes = write_shared(nodes.withColumn("node", F.monotonically_increasing_id()))
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -186,10 +189,11 @@ def repeated_paragraphs(
     central = met.groupBy("node").agg(F.sum("n").alias("central"))
     met = write_shared(met.drop("n").join(central, "node"))
 
-    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("doc", "same", "node")
-    wanted = write_shared(wanted.groupBy("doc").agg(F.collect_list("same").alias("same"), F.collect_list("node").alias("nodes")))
-    likely = docs.select("doc", "text").where(maybe_in(wanted.select("doc"), F.col("doc")))
-    sets = likely.join(wanted, "doc").mapInPandas(_needed_shingles(least_words), "node bigint, shingles array<bigint>")
+    wanted = nodes.join(met.select("node").distinct(), "node", "left_semi").select("content", "same", "node")
+    # the paragraphs of one text, each but once
+    wanted = write_shared(wanted.groupBy("content").agg(F.collect_list("same").alias("same"), F.collect_list("node").alias("nodes")))
+    likely = documents.select(content, F.col(text_column).alias("text")).where(maybe_in(wanted.select("content"), F.col("content")))
+    sets = likely.join(wanted, "content").mapInPandas(_needed_shingles(least_words), "node bigint, shingles array<bigint>")
     sets = write_shared(sets.dropDuplicates(["node"]))
 
     links = write_shared(_verified(_with_pivot(met), sets))
@@ -201,11 +205,10 @@ def repeated_paragraphs(
     sizes = classed.groupBy("component").agg(F.sum("members").alias("component_size"), F.min("first").alias("first"))
     classed = write_shared(classed.select("same", "component").join(sizes.where("component_size > 1"), "component"))
     rows = found.drop("bands").join(classed, "same")
-    doc_id, here = F.col("doc").try_cast("bigint"), F.col("paragraph")
     return rows.select(
-        doc_id.alias("doc_id"), "paragraph", "begin", "end", "n_words", "component_size",
+        "doc_id", "paragraph", "begin", "end", "n_words", "component_size",
         F.col("first.doc_id").alias("first_doc_id"), F.col("first.paragraph").alias("first_paragraph"),
-        (doc_id.eqNullSafe(F.col("first.doc_id")) & (here == F.col("first.paragraph"))).alias("kept"),
+        ((F.col("row") == F.col("first.row")) & (F.col("paragraph") == F.col("first.paragraph"))).alias("kept"),
     )
 
 
@@ -284,12 +287,12 @@ def _passage_keys(least_words: int):
 
 
 def _passage_rows(least_words: int):
-    columns = ["row", "doc_id", "paragraph", "begin", "end", "n_words", "same", "key"]
+    columns = ["row", "doc_id", whole_ids.NONE, "paragraph", "begin", "end", "n_words", "same", "key"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for row, doc, text in zip(batch["row"], batch["doc_id"].astype("Int64"), batch["text"]):
+            for row, doc, none, text in zip(batch["row"].tolist(), batch["doc_id"].tolist(), batch[whole_ids.NONE].tolist(), batch["text"]):
                 found = list(passages(text, least_words))
                 if not found:
                     continue
@@ -298,16 +301,11 @@ def _passage_rows(least_words: int):
                 begin, end = begins[at], ends[at + found[0][1] - 1]
                 lines = np.cumsum([text.count("\n", a, b) for a, b in zip([0, *begin.tolist()], begin.tolist())])
                 for line, a, b, (_, length, same) in zip(lines.tolist(), begin.tolist(), end.tolist(), found):
-                    rows.append((row, doc, line, a, b, length, same, _key(same)))
+                    rows.append((row, doc, none, line, a, b, length, same, _key(same)))
                 if len(rows) > 50_000:
-                    yield frame(rows)
+                    yield pd.DataFrame(rows, columns=columns)
                     rows = []
-            yield frame(rows)
-
-    def frame(rows):
-        table = pd.DataFrame(rows, columns=columns)
-        table["doc_id"] = table["doc_id"].astype("Int64")
-        return table
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -326,9 +324,10 @@ def repeated_passages(
     texts = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     keys = texts.select("text").mapInPandas(_passage_keys(least_words), "key bigint")
     again = write_shared(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    schema = "row long, doc_id long, paragraph int, begin long, end long, n_words int, same binary, key long"
-    rows = texts.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text")
+    schema = f"row long, doc_id long, {whole_ids.NONE} boolean, paragraph int, begin long, end long, n_words int, same binary, key long"
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), *whole_ids.without_null("doc_id"), "text")
     rows = rows.mapInPandas(_passage_rows(least_words), schema).where(maybe_in(again, F.col("key")))
+    rows = rows.withColumn("doc_id", whole_ids.with_null()).drop(whole_ids.NONE)
     rows = write_shared(rows.join(again, "key", "left_semi").drop("key"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "paragraph", "begin")
     sizes = rows.groupBy("same").agg(F.count(F.lit(1)).alias("component_size"), F.min(place).alias("first"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import range_coder
+from . import range_coder, whole_ids
 
 END = 2
 BLOCK_IDS = 8192
@@ -128,26 +128,28 @@ class _Shard:
 def write(documents: DataFrame, path: str, tokenizer: str, id_column: str = "doc_id", text_column: str = "text", shards: int | None = None) -> None:
     """Write the ids of all texts in ascending order of id; NULL ids come first, a NULL text is empty.
 
-    Every document ends in the id END. A shard is a range of ids. Rows that repeat an id follow each other,
-    ordered by their text. `tokenizer` names a file that every executor can read; its ids must be below 65,536.
+    Every document ends in the id END. A shard is a range of ids, and of hashes of the texts of one id. Rows that repeat an id follow each other,
+    ordered by the hash of their text. `tokenizer` names a file that every executor can read; its ids must be below 65,536.
     Other columns are not read. An empty table is written as one without frames.
     """
     shards = shards or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    order = ["doc_id", "hash"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, number, model = _Shard(), TaskContext.get().partitionId(), encoder(tokenizer)
         for batch in batches:
-            docs, texts = batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist()
+            ids = zip(batch["doc_id"].tolist(), batch[whole_ids.NONE].tolist())
+            docs, texts = [None if none else doc for doc, none in ids], batch["text"].tolist()
             for at in range(0, len(texts), 200):
                 for doc, ids in zip(docs[at : at + 200], model.encode(texts[at : at + 200])):
-                    shard.add(None if doc is pd.NA else doc, ids)
+                    shard.add(doc, ids)
                 yield from shard.frames(number, BLOCKS_AT_ONCE)
         shard.close()
         yield from shard.frames(number, 1)
 
-    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", F.sha2("text", 256))
-    frames = dealt.mapInPandas(run, "shard int, first long, n_ids int, frame binary")
+    dealt = rows.withColumn("hash", F.sha2("text", 256)).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    frames = dealt.select(*whole_ids.without_null("doc_id"), "text").mapInPandas(run, "shard int, first long, n_ids int, frame binary")
     frames.write.parquet(path)
 
 
@@ -178,7 +180,7 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
                 lists.append(part)
                 at += n
         table = pd.DataFrame(rows, columns=["doc_id", "shard", "row", "piece", "n_ids", "before", "ids_crc32"])
-        table["doc_id"] = table["doc_id"].astype("Int64")
+        table["doc_id"] = whole_ids.column_of([doc for doc, *_ in rows])
         if with_ids:
             table["ids"] = [part.astype(np.int32) for part in lists]
         return table
