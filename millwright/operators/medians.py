@@ -5,18 +5,22 @@ that, both shuffling counts instead of rows:
 
 * few distinct values per group (a sensor with a fixed resolution): count each value, and find the
   middle ranks in the counts;
-* many: three passes narrow the two middle ranks down, with counts per coarse bucket, then per fine
-  bucket inside the coarse ones that hold a middle rank, then per distinct value inside the fine
-  ones that do. No task holds more than the buckets of one group.
+* many: one pass brackets the middle ranks of all groups by a quantile sketch of stated error, and a second
+  counts the rows below the bracket and each value inside it. Whether the bracket holds the middle ranks is known
+  exactly then. Where it does not, because rows count unlike often, three passes narrow the ranks down with counts per
+  coarse bucket, then per fine bucket inside the coarse ones that hold a middle rank, then per distinct value inside the
+  fine ones that do. No task holds more than the buckets of one group.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lookup import lookup
+from .lookup import join_written, lookup
+from .shared_table import write_shared
 
 COARSE_PER_UNIT = 1024
 FINE = 65_536
+ACCURACY = 4_000  # ranks of the sketch are off by 1 / ACCURACY of a group's rows at most
 
 _GROUP = ["series", "member"]
 
@@ -66,11 +70,11 @@ def group_medians(values: DataFrame, few: bool) -> DataFrame:
     """(series, member, value, n) -> (series, member, median); n is how often the row counts.
 
     `few` says that the caller knows of no group with many distinct values. Otherwise `values` also
-    has an `id` that varies among equal values, and is scanned three times, twice of that at once:
+    has an `id` that varies among equal values, and is scanned twice, or more often where rows count unlike often:
     it should be a cheap scan (a written table). NULL values do not count; a group without values
     has no row.
     """
-    middle = _middle_of_counts(values) if few else _middle_by_narrowing(values)
+    middle = _middle_of_counts(values) if few else _middle_by_bracket(values)
     median = (F.min("value") + F.max("value")) / 2
     return middle.groupBy(*_GROUP).agg(median.alias("median"))
 
@@ -79,6 +83,38 @@ def _middle_of_counts(values: DataFrame) -> DataFrame:
     return _holding_middle(_with_ranks(value_counts(values)), _GROUP, "value")
 
 
+def _middle_by_bracket(values: DataFrame) -> DataFrame:
+    values = values.where(F.col("value").isNotNull())
+    ends = F.percentile_approx("value", [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY], ACCURACY)
+    ranks = values.groupBy(*_GROUP).agg(F.sum("n").alias("total"), ends.alias("ends"))
+    ranks = write_shared(
+        ranks.select(
+            *_GROUP,
+            F.expr("(total - 1) DIV 2").alias("first_middle"),
+            F.expr("total DIV 2").alias("second_middle"),
+            F.col("ends")[0].alias("low"),
+            F.col("ends")[1].alias("high"),
+        )
+    )
+    value = F.col("value")
+    side = F.when(value < F.col("low"), -1).when(value > F.col("high"), 1).otherwise(0)
+    near = join_written(values, ranks, _GROUP, spread=["id"]).withColumn("side", side)
+    near = near.withColumn("value", F.when(F.col("side") == 0, value))
+    carried = [F.first(name).alias(name) for name in ("first_middle", "second_middle")]
+    counts = write_shared(near.groupBy(*_GROUP, "side", "value").agg(F.sum("n").alias("n"), *carried))
+
+    group = Window.partitionBy(*_GROUP)
+    below, inside = (F.sum(F.when(F.col("side") == at, F.col("n")).otherwise(0)).over(group) for at in (-1, 0))
+    counts = counts.withColumn("before", below).withColumn("inside", inside)
+    held = F.expr("before <= first_middle AND second_middle < before + inside")
+    middle = _holding_middle(counts.where(held).where("side = 0"), _GROUP, "value").select(*_GROUP, "value")
+    missed = write_shared(counts.where(~held).select(*_GROUP).distinct())
+    if missed.isEmpty():
+        return middle
+    rest = join_written(values, missed, _GROUP, spread=["id"])
+    return middle.unionByName(_middle_by_narrowing(rest).select(*_GROUP, "value"))
+
+
 def _middle_by_narrowing(values: DataFrame) -> DataFrame:
     values = values.where(F.col("value").isNotNull()).withColumn("coarse", _coarse())
 

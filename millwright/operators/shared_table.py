@@ -1,9 +1,10 @@
 """Intermediate results as Parquet tables in the folder all executors share, each removed when its scope ends."""
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from contextvars import ContextVar
 from functools import cache
 from urllib.parse import urlparse
@@ -44,11 +45,9 @@ class Scope:
         self.folders: dict[str, SparkSession] = {}
 
     def keep(self, table: DataFrame) -> DataFrame:
-        """Hand a stored table on to the scope around this one; without one it stays until it is dropped."""
+        """Hand a stored table on to the scope around this one."""
         for folder in _folders_of(table) & self.folders.keys():
-            spark = self.folders.pop(folder)
-            if self.outer is not None:
-                self.outer.folders[folder] = spark
+            (self.outer or self).folders[folder] = self.folders.pop(folder)
         return table
 
     def close(self) -> None:
@@ -56,7 +55,14 @@ class Scope:
             _remove(*self.folders.popitem())
 
 
-_scope: ContextVar[Scope | None] = ContextVar("scope", default=None)
+_process = Scope(None)  # of tables stored outside of any other scope
+_scope: ContextVar[Scope] = ContextVar("scope", default=_process)
+
+
+@atexit.register
+def _close_process() -> None:
+    with suppress(Exception):  # the JVM may have gone first; then the folders stay
+        _process.close()
 
 
 @contextmanager
@@ -79,13 +85,12 @@ def write_shared(df: DataFrame) -> DataFrame:
     """Run `df` once and return a scan of its result.
 
     Later steps read only the columns they need, do not repeat the work, and a lost executor
-    costs a re-read instead of a re-computation. The table lives as long as the innermost `stored_tables`,
-    or until `drop_shared`.
+    costs a re-read instead of a re-computation. The table lives as long as the innermost `stored_tables`, without
+    one as long as the Python process, or until `drop_shared`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/millwright-{uuid.uuid4().hex}"
-    if (scope := _scope.get()) is not None:
-        scope.folders[path] = spark
+    _scope.get().folders[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -114,4 +119,5 @@ def _folders_of(table: DataFrame) -> set[str]:
 
 def _remove(folder: str, spark: SparkSession) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    settings = spark._jsc.hadoopConfiguration() if spark._jsc else spark._jvm.org.apache.hadoop.conf.Configuration()
+    path.getFileSystem(settings).delete(path, True)

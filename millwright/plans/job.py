@@ -2,24 +2,25 @@
 
 from pyspark.sql import DataFrame
 
-from ..operators.shared_table import write_shared
-from ..sources.readings import write_table
+from ..operators.shared_table import stored_tables, write_shared
+from ..sources.readings import read_by_month, write_by_month, write_table
 from .cleaning import clean_readings
 from .features import add_features
 from .reports import REPORT
 
 
 def prepare(raw: DataFrame, path: str | None = None, first_by: list[str] | None = None) -> DataFrame:
-    """Clean raw readings, add the features, and store the result at `path` or in the shared folder.
+    """Clean raw readings, add the features, and store the result at `path` by month, or in the shared folder.
 
-    Every report reads a few columns of it, and filters on features reach the scan. `first_by`
-    orders the rows of a repeated id.
+    Every report reads a few columns of it, and filters on features reach the scan; a period of time reads
+    the files of its months only. `first_by` orders the rows of a repeated id. Tables stored on the way are removed.
     """
-    featured = add_features(clean_readings(raw, first_by))
-    if path is None:
-        return write_shared(featured)
-    write_table(featured, path)
-    return featured.sparkSession.read.schema(featured.schema).parquet(path)
+    with stored_tables() as scope:
+        featured = add_features(clean_readings(raw, first_by))
+        if path is None:
+            return scope.keep(write_shared(featured))
+        write_by_month(featured, path)
+        return read_by_month(featured.sparkSession, path, featured.schema)
 
 
 def report(featured: DataFrame) -> dict[str, DataFrame]:
@@ -29,6 +30,7 @@ def report(featured: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_report(featured: DataFrame, folder: str) -> None:
-    """Write every table of the report."""
-    for name, table in report(featured).items():
-        write_table(table, f"{folder.rstrip('/')}/{name}")
+    """Write every table of the report; what is stored on the way is removed."""
+    with stored_tables():
+        for name, table in report(featured).items():
+            write_table(table, f"{folder.rstrip('/')}/{name}")

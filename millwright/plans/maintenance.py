@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import failed, hours_between
 from ..schema import PLANNED_MAINTENANCE, UNPLANNED_MAINTENANCE
+from ..sources.readings import MONTH
 
 
 def planned_unplanned_ratio(readings: DataFrame) -> DataFrame:
@@ -102,7 +103,8 @@ def filtered_view(
 ) -> DataFrame:
     """Readings of a machine, a time period start <= t < end, a maintenance type, a condition.
 
-    Any measure can be taken of the result; the tests reach the scan where it stores the column.
+    Any measure can be taken of the result; the tests reach the scan where it stores the column. Columns year and month are
+    taken for those of the time: a table stored by them reads the folders of the period only.
     """
     wanted = {
         "equipment_id": equipment_id,
@@ -117,6 +119,12 @@ def filtered_view(
         rows = rows.where(F.col("timestamp") >= _time(start))
     if end is not None:
         rows = rows.where(F.col("timestamp") < _time(end))
+    if {*MONTH} <= {*rows.columns}:
+        month = F.col("year") * 12 + F.col("month")
+        if start is not None:
+            rows = rows.where(month >= start.year * 12 + start.month)
+        if end is not None:
+            rows = rows.where(month <= end.year * 12 + end.month)
     return rows
 
 

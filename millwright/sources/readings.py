@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import FILE_ORDER, NA_TOKENS, READINGS_SCHEMA, TABLE_NAME
 
@@ -55,8 +56,34 @@ def preview(df: DataFrame, order_by: str = "record_id", rows: int = 5) -> DataFr
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a result as Parquet."""
-    writer = df.write.mode("overwrite")
+    """Write a result as Parquet.
+
+    With `partition_by`, rows of one folder are brought together first, so that not every task writes a file into every folder; adaptive
+    execution splits a folder that holds much and joins small ones, by measured size.
+    """
     if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+        df.hint("rebalance", *partition_by).write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+
+
+MONTH = ["year", "month"]
+
+
+def write_by_month(df: DataFrame, path: str, time: str = "timestamp", files: int | None = None) -> None:
+    """Write rows with columns year and month into a folder for each month, in order of `time` within.
+
+    Rows are dealt by range of month and time into `files` parts of like size, so a month that holds most of them is spread over
+    many files, each of a narrow range of time, and there are at most `files` and one more for each month. A filter on
+    year and month reads the folders it names, one on `time` besides skips files and row groups.
+    """
+    files = files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col(name).asc_nulls_first() for name in [*MONTH, time, "_row"]]
+    dealt = placed.repartitionByRange(files, *order).sortWithinPartitions(*order).drop("_row")
+    dealt.write.mode("overwrite").partitionBy(*MONTH).parquet(path)
+
+
+def read_by_month(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table that `write_by_month` wrote, its columns in the order of `schema`."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
