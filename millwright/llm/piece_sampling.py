@@ -186,7 +186,7 @@ class Pieces:
 
 @cache
 def pieces(path: str, sharpness: float) -> Pieces:
-    """One vocabulary in each Python worker; its word lattices serve all tasks of the worker."""
+    """One vocabulary in each Python worker; its word lattices live as long as a task."""
     return Pieces(path, sharpness)
 
 
@@ -220,11 +220,14 @@ def encode(
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model = pieces(path, sharpness)
-        for keys, column in batches:
-            texts = [text or "" for text in column.to_pylist()]
-            seeds = np.array([xxhash.xxh64_intdigest(str(key), seed) for key in keys.to_pylist()], np.uint64)
-            found = [model.encode(texts[part], seeds[part]) for part in _slices(texts)]
-            yield _lists([ids for ids, _ in found], [counts for _, counts in found])
+        try:
+            for keys, column in batches:
+                texts = [text or "" for text in column.to_pylist()]
+                seeds = np.array([xxhash.xxh64_intdigest(str(key), seed) for key in keys.to_pylist()], np.uint64)
+                found = [model.encode(texts[part], seeds[part]) for part in _slices(texts)]
+                yield _lists([ids for ids, _ in found], [counts for _, counts in found])
+        finally:
+            model.clear()  # an idle worker of later stages holds no lattices
 
     return documents.withColumn(ids_column, run(F.col(key_column).cast("string"), F.col(text_column)))
 
