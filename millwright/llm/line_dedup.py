@@ -10,7 +10,7 @@ their hash of 64 bits; a shared word is found by 32 of these, so that different
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.operators.shared_table import write_shared
+from millwright.operators.shared_table import stored_tables, write_shared
 
 from .bit_filter import maybe_in
 
@@ -181,7 +181,8 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     tried = narrow.withColumns(others).withColumn("to", F.coalesce(*[may_be(other) for other in others])).where("to is not null")
     tried = tried.select(*PLACE, *[F.col(f"to.{name}").alias(f"to_{name}") for name in PLACE])
-    settled = write_shared(_similar_pairs(tried, texts).select(*PLACE).distinct())
+    with stored_tables() as scope:  # the pairs and words looked at go when this is known
+        settled = scope.keep(write_shared(_similar_pairs(tried, texts).select(*PLACE).distinct()))
 
     marked = sets.drop("same", "ends").join(settled.withColumn("settled", F.lit(True)), PLACE, "left")
     # A settled set seeks no partner. Two numbers of 32 bits share a column, which halves what is shuffled, and
@@ -208,8 +209,9 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         & (reach >= _least_common(n, m)) & _near_bits(F.col("x.parity"), F.col("y.parity"), _differ_at_most(n, m)),
     )
     found = found.select("x.doc", "x.key", line.alias("line"), F.col("y.doc").alias("to_doc"), F.col("y.key").alias("to_key"), to_line.alias("to_line"))
-    more = _similar_pairs(found, texts).select(*PLACE).distinct()
-    return sets, write_shared(settled.union(more))
+    with stored_tables() as scope:
+        more = _similar_pairs(found, texts).select(*PLACE).distinct()
+        return sets, scope.keep(write_shared(settled.union(more)))
 
 
 def repeated_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
