@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from millwright.llm import line_dedup, mixing, piece_sampling, quality_classifier, simhash_dedup
 from millwright.llm.labelled import fold
 from millwright.llm.registry import tokenizer_file
-from millwright.operators.shared_table import write_shared
+from millwright.operators.shared_table import drop_shared, stored_tables, write_shared
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -56,8 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the table `documents`; what each returns is stored before the next reads it."""
+    """Apply the stages to the table `documents`; what each returns is stored before the next reads it.
+
+    What a stage stores on its way is removed when its result is written, and this as soon as the next stage's is.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
-        docs = write_shared(stage(spark, docs, sf_dir))
+        with stored_tables() as scope:
+            docs = scope.keep(write_shared(stage(spark, docs, sf_dir)))
+        if before is not None:
+            drop_shared(before)
+        before = docs
     return docs
