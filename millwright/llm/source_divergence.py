@@ -5,6 +5,7 @@ keeps for every language the terms in enough of that language's documents. Sums
 compared in blocks: a task sees all counts of some terms in two blocks of sources, and adds up the differences of all pairs.
 """
 
+import math
 import uuid
 from collections.abc import Iterator
 from functools import partial, reduce
@@ -21,7 +22,8 @@ MIN_DOCUMENTS = 30
 ADDED = 5  # to every count
 SCALE = 10**9
 TOP_TERMS = 50
-MOST_TERMS = 2_000_000  # that one model holds, on the driver and in every executor
+MOST_TERMS = 2_000_000  # that one model holds, about, on the driver and in every executor
+LOOKED_AT = 64
 BLOCK = 512  # sources compared at once
 _PARTS = 64  # of the terms of a language, in the comparison of two blocks
 _CELLS = 1 << 19  # numbers in a dense block
@@ -83,11 +85,16 @@ def term_lists(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, source string, terms array<string>")
 
 
-def _slices(lists: DataFrame, min_documents: int, most_terms: int) -> int:
-    """How many models the kept terms need."""
-    once = lists.select(F.explode(F.array_distinct("terms")).alias("term"))
-    kept = once.groupBy("term").agg(F.count(F.lit(1)).alias("documents")).where(F.col("documents") >= min_documents)
-    return max(1, -(-kept.count() // most_terms))
+def _slices(documents: DataFrame, min_documents: int, most_terms: int) -> int:
+    """How many models the kept terms need, from every LOOKED_AT-th document; it decides about memory, never about results.
+
+    A term in `min_documents` documents is in one of those with a chance of 1 - (1 - 1 / LOOKED_AT) ** min_documents at least, so
+    the different terms found there, over this chance, are about as many as the kept ones, or more.
+    """
+    some = documents.where(F.pmod(F.monotonically_increasing_id(), F.lit(LOOKED_AT)) == 0)
+    found = term_lists(some).select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term")).first()[0]
+    chance = 1 - (1 - 1 / LOOKED_AT) ** min_documents
+    return max(1, math.ceil(found / chance / most_terms))
 
 
 def counts(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, most_terms: int = MOST_TERMS) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +105,7 @@ def counts(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, most_terms:
     """
     spark = documents.sparkSession
     lists = term_lists(documents)
-    slices = _slices(lists, min_documents, most_terms)
+    slices = _slices(documents, min_documents, most_terms)
     kept, summed = [], []
     for number in range(slices):
         mine = lists
