@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_month, failed, first_by, ratio, two_decimals
 from ..operators.lookup import join_written
+from ..operators.moments import ROWS, Rows
 from ..operators.shared_table import write_shared
 
 MACHINE = ["equipment_id", "equipment_type", "plant_area"]
@@ -14,96 +15,100 @@ MIN_FAILURES_FOR_AVERAGE = 3
 TOP_MACHINES = 10
 
 
-def _repairs(readings: DataFrame) -> DataFrame:
-    return readings.where(failed() & F.col("downtime_minutes").isNotNull())
+DOWN = "downtime_minutes"
 
 
-def _mean() -> Column:
-    return F.avg("downtime_minutes")
+def _repairs(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return values.measured(readings.where(failed()), DOWN)
 
 
-def _total() -> Column:
-    return F.sum("downtime_minutes")
+def _mean(values: Rows = ROWS) -> Column:
+    return values.mean(DOWN)
 
 
-def _least() -> Column:
-    return F.min("downtime_minutes")
+def _total(values: Rows = ROWS) -> Column:
+    return values.total(DOWN)
 
 
-def _most() -> Column:
-    return F.max("downtime_minutes")
+def _least(values: Rows = ROWS) -> Column:
+    return values.least(DOWN)
 
 
-def _events() -> Column:
-    return F.count(F.lit(1))
+def _most(values: Rows = ROWS) -> Column:
+    return values.most(DOWN)
 
 
-def _mean_hours() -> Column:
-    return two_decimals(_mean() / 60.0)
+def _events(values: Rows = ROWS) -> Column:
+    """Repairs: the rows of `_repairs`, which all have a downtime."""
+    return values.count(DOWN)
 
 
-def _total_hours() -> Column:
-    return two_decimals(_total() / 60.0)
+def _mean_hours(values: Rows = ROWS) -> Column:
+    return two_decimals(_mean(values) / 60.0)
+
+
+def _total_hours(values: Rows = ROWS) -> Column:
+    return two_decimals(_total(values) / 60.0)
 
 
 # --- time to repair -------------------------------------------------------------------------
 
 
-def mttr_by_type(readings: DataFrame) -> DataFrame:
+def mttr_by_type(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     return (
-        _repairs(readings)
+        _repairs(readings, values)
         .groupBy("equipment_type")
         .agg(
-            _events().alias("total_failures"),
-            _mean().alias("mttr_minutes"),
-            _least().alias("min_downtime"),
-            _most().alias("max_downtime"),
-            F.stddev_samp("downtime_minutes").alias("std_dev_minutes"),
-            _mean_hours().alias("mttr_hours"),
+            _events(values).alias("total_failures"),
+            _mean(values).alias("mttr_minutes"),
+            _least(values).alias("min_downtime"),
+            _most(values).alias("max_downtime"),
+            values.deviation(DOWN).alias("std_dev_minutes"),
+            _mean_hours(values).alias("mttr_hours"),
         )
         .orderBy(F.desc("mttr_minutes"))
     )
 
 
-def mttr_by_equipment(readings: DataFrame) -> DataFrame:
+def mttr_by_equipment(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     keys = ["equipment_id", "equipment_type", "manufacturer"]
     return (
-        _repairs(readings)
+        _repairs(readings, values)
         .groupBy(*keys)
         .agg(
-            _events().alias("failure_count"),
-            _mean().alias("mttr_minutes"),
-            _total().alias("total_downtime_minutes"),
-            _mean_hours().alias("mttr_hours"),
+            _events(values).alias("failure_count"),
+            _mean(values).alias("mttr_minutes"),
+            _total(values).alias("total_downtime_minutes"),
+            _mean_hours(values).alias("mttr_hours"),
         )
         .orderBy(first_by(F.desc("mttr_minutes"), keys))
     )
 
 
-def mttr_by_failure_type(readings: DataFrame) -> DataFrame:
+def mttr_by_failure_type(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     return (
-        _repairs(readings)
+        _repairs(readings, values)
         .where(F.col("failure_type").isNotNull())
         .groupBy("failure_type")
         .agg(
-            _events().alias("failure_count"),
-            _mean().alias("mttr_minutes"),
-            _least().alias("min_repair_time"),
-            _most().alias("max_repair_time"),
-            _mean_hours().alias("mttr_hours"),
+            _events(values).alias("failure_count"),
+            _mean(values).alias("mttr_minutes"),
+            _least(values).alias("min_repair_time"),
+            _most(values).alias("max_repair_time"),
+            _mean_hours(values).alias("mttr_hours"),
         )
         .orderBy(F.desc("mttr_minutes"))
     )
 
 
-def mttr_monthly(readings: DataFrame) -> DataFrame:
+def mttr_monthly(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     return (
-        _repairs(readings)
+        _repairs(readings, values)
         .groupBy(*by_month())
         .agg(
-            _events().alias("failure_count"),
-            _mean().alias("mttr_minutes"),
-            _mean_hours().alias("mttr_hours"),
+            _events(values).alias("failure_count"),
+            _mean(values).alias("mttr_minutes"),
+            _mean_hours(values).alias("mttr_hours"),
         )
         .orderBy("year", "month")
     )
@@ -112,67 +117,70 @@ def mttr_monthly(readings: DataFrame) -> DataFrame:
 # --- downtime -------------------------------------------------------------------------------
 
 
-def downtime_overall(readings: DataFrame) -> DataFrame:
-    return _repairs(readings).agg(
-        _total().alias("total_downtime_minutes"),
-        _total_hours().alias("total_downtime_hours"),
-        two_decimals(_total() / 1440.0).alias("total_downtime_days"),
-        _events().alias("total_failure_events"),
-        _mean().alias("avg_downtime_per_failure"),
+def downtime_overall(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return _repairs(readings, values).agg(
+        _total(values).alias("total_downtime_minutes"),
+        _total_hours(values).alias("total_downtime_hours"),
+        two_decimals(_total(values) / 1440.0).alias("total_downtime_days"),
+        _events(values).alias("total_failure_events"),
+        _mean(values).alias("avg_downtime_per_failure"),
     )
 
 
-def _most_downtime_first(repairs: DataFrame, keys: list[str], *measures: Column) -> DataFrame:
+def _most_downtime_first(repairs: DataFrame, keys: list[str], *measures: Column, values: Rows = ROWS) -> DataFrame:
     totals = [
-        _total().alias("total_downtime_minutes"),
-        _total_hours().alias("total_downtime_hours"),
+        _total(values).alias("total_downtime_minutes"),
+        _total_hours(values).alias("total_downtime_hours"),
     ]
     rows = repairs.groupBy(*keys).agg(*totals, *measures)
     return rows.orderBy(first_by(F.desc("total_downtime_minutes"), keys))
 
 
-def downtime_by_type(readings: DataFrame) -> DataFrame:
+def downtime_by_type(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     return _most_downtime_first(
-        _repairs(readings),
+        _repairs(readings, values),
         ["equipment_type"],
-        _events().alias("failure_count"),
-        _mean().alias("avg_downtime_per_failure"),
-        _least().alias("min_downtime"),
-        _most().alias("max_downtime"),
+        _events(values).alias("failure_count"),
+        _mean(values).alias("avg_downtime_per_failure"),
+        _least(values).alias("min_downtime"),
+        _most(values).alias("max_downtime"),
+        values=values,
     )
 
 
-def downtime_by_area(readings: DataFrame) -> DataFrame:
+def downtime_by_area(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     return _most_downtime_first(
-        _repairs(readings),
+        _repairs(readings, values),
         ["plant_area"],
         F.count_distinct("equipment_id").alias("affected_equipment"),
-        _events().alias("failure_count"),
+        _events(values).alias("failure_count"),
+        values=values,
     )
 
 
-def downtime_monthly(readings: DataFrame) -> DataFrame:
+def downtime_monthly(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     return (
-        _repairs(readings)
+        _repairs(readings, values)
         .groupBy(*by_month())
         .agg(
-            _total().alias("total_downtime_minutes"),
-            _total_hours().alias("total_downtime_hours"),
-            _events().alias("failure_count"),
-            _mean().alias("avg_downtime"),
+            _total(values).alias("total_downtime_minutes"),
+            _total_hours(values).alias("total_downtime_hours"),
+            _events(values).alias("failure_count"),
+            _mean(values).alias("avg_downtime"),
         )
         .orderBy("year", "month")
     )
 
 
-def downtime_by_failure_type(readings: DataFrame) -> DataFrame:
+def downtime_by_failure_type(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     """Share of each failure type in the downtime of all failures, those without a type included."""
-    all_failures = readings.where(failed()).agg(_total()).scalar()
+    all_failures = readings.where(failed()).agg(_total(values)).scalar()
     totals = _most_downtime_first(
-        _repairs(readings).where(F.col("failure_type").isNotNull()),
+        _repairs(readings, values).where(F.col("failure_type").isNotNull()),
         ["failure_type"],
-        _events().alias("occurrence_count"),
-        _mean().alias("avg_downtime_per_occurrence"),
+        _events(values).alias("occurrence_count"),
+        _mean(values).alias("avg_downtime_per_occurrence"),
+        values=values,
     )
     share = two_decimals(ratio(F.col("total_downtime_minutes") * 100.0, all_failures))
     return totals.withColumn("percentage_of_total_downtime", share)

@@ -3,36 +3,38 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_month, failed, failure_count, failure_rate, first_by, ratio, two_decimals
+from ..functions.columns import by_month, failed, first_by, percent, ratio, two_decimals
 from ..operators.intervals import previous_pairs
+from ..operators.moments import ROWS, Rows
 
-def _failure_rate(readings: DataFrame, keys: list, total: str = "failures") -> DataFrame:
+
+def _failure_rate(readings: DataFrame, keys: list, values: Rows, total: str = "failures") -> DataFrame:
     return readings.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_records"),
-        failure_count().alias(total),
-        failure_rate().alias("failure_rate_pct"),
+        values.rows().alias("total_records"),
+        values.rows_when(failed()).alias(total),
+        percent(values.rows_when(failed()), values.rows()).alias("failure_rate_pct"),
     )
 
 
-def failure_rate_overall(readings: DataFrame) -> DataFrame:
-    return _failure_rate(readings, [], "total_failures")
+def failure_rate_overall(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return _failure_rate(readings, [], values, "total_failures")
 
 
-def failure_rate_by_type(readings: DataFrame) -> DataFrame:
-    return _failure_rate(readings, ["equipment_type"]).orderBy(F.desc("failure_rate_pct"))
+def failure_rate_by_type(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return _failure_rate(readings, ["equipment_type"], values).orderBy(F.desc("failure_rate_pct"))
 
 
-def failure_rate_by_equipment(readings: DataFrame) -> DataFrame:
+def failure_rate_by_equipment(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     keys = ["equipment_id", "equipment_type", "plant_area"]
-    return _failure_rate(readings, keys).orderBy(first_by(F.desc("failure_rate_pct"), keys))
+    return _failure_rate(readings, keys, values).orderBy(first_by(F.desc("failure_rate_pct"), keys))
 
 
-def failure_rate_monthly(readings: DataFrame) -> DataFrame:
-    return _failure_rate(readings, by_month()).orderBy("year", "month")
+def failure_rate_monthly(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return _failure_rate(readings, by_month(), values).orderBy("year", "month")
 
 
-def failure_rate_by_shift(readings: DataFrame) -> DataFrame:
-    return _failure_rate(readings, ["shift"]).orderBy(F.desc("failure_rate_pct"))
+def failure_rate_by_shift(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return _failure_rate(readings, ["shift"], values).orderBy(F.desc("failure_rate_pct"))
 
 
 def mtbf_by_equipment(readings: DataFrame) -> DataFrame:
@@ -65,21 +67,21 @@ def mtbf_by_equipment(readings: DataFrame) -> DataFrame:
     )
 
 
-def _hours_per_failure(readings: DataFrame, keys: list[str]) -> DataFrame:
+def _hours_per_failure(readings: DataFrame, keys: list[str], values: Rows) -> DataFrame:
     return (
         readings.groupBy(*keys)
         .agg(
-            F.sum("operating_hours").alias("total_operating_hours"),
-            failure_count().alias("total_failures"),
-            two_decimals(ratio(F.sum("operating_hours"), failure_count())).alias("mtbf_hours"),
+            values.total("operating_hours").alias("total_operating_hours"),
+            values.rows_when(failed()).alias("total_failures"),
+            two_decimals(ratio(values.total("operating_hours"), values.rows_when(failed()))).alias("mtbf_hours"),
         )
         .orderBy(F.desc("mtbf_hours"))
     )
 
 
-def mtbf_by_type(readings: DataFrame) -> DataFrame:
-    return _hours_per_failure(readings, ["equipment_type"])
+def mtbf_by_type(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return _hours_per_failure(readings, ["equipment_type"], values)
 
 
-def mtbf_by_area(readings: DataFrame) -> DataFrame:
-    return _hours_per_failure(readings, ["plant_area", "equipment_type"])
+def mtbf_by_area(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return _hours_per_failure(readings, ["plant_area", "equipment_type"], values)

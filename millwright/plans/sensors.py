@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import failed, first_by, ratio, two_decimals
 from ..operators.lookup import lookup
+from ..operators.moments import ROWS, Rows
 from ..operators.shared_table import write_shared
 
 # Fixed value: an alert lies this many deviations above the mean of its type.
@@ -14,23 +15,15 @@ TEMPERATURE = ("temperature_c", "temperature")
 VIBRATION = ("vibration_mm_s", "vibration")
 
 
-def _spread(column: str, label: str) -> list[Column]:
+def _spread(values: Rows, column: str, label: str) -> list[Column]:
     return [
-        F.avg(column).alias(f"avg_{label}"),
-        F.min(column).alias(f"min_{label}"),
-        F.max(column).alias(f"max_{label}"),
-        F.stddev_samp(column).alias(f"std_dev_{label}"),
+        values.mean(column).alias(f"avg_{label}"),
+        values.least(column).alias(f"min_{label}"),
+        values.most(column).alias(f"max_{label}"),
+        values.deviation(column).alias(f"std_dev_{label}"),
     ]
 
 
-def _measured(readings: DataFrame, column: str) -> DataFrame:
-    return readings.where(F.col(column).isNotNull())
-
-
-def _mean_when(condition: Column, column: str) -> Column:
-    return F.avg(F.when(condition, F.col(column)))
-
-
 def _normal() -> Column:
     return F.col("failure_flag") == 0
 
@@ -38,53 +31,53 @@ def _normal() -> Column:
 # --- temperature ----------------------------------------------------------------------------
 
 
-def temp_overall(readings: DataFrame) -> DataFrame:
-    return _measured(readings, "temperature_c").agg(*_spread(*TEMPERATURE))
+def temp_overall(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return values.measured(readings, "temperature_c").agg(*_spread(values, *TEMPERATURE))
 
 
-def temp_by_type(readings: DataFrame) -> DataFrame:
+def temp_by_type(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     return (
-        _measured(readings, "temperature_c")
+        values.measured(readings, "temperature_c")
         .groupBy("equipment_type")
-        .agg(*_spread(*TEMPERATURE), F.count(F.lit(1)).alias("record_count"))
+        .agg(*_spread(values, *TEMPERATURE), values.count("temperature_c").alias("record_count"))
         .orderBy(F.desc("avg_temperature"))
     )
 
 
-def temp_by_equipment(readings: DataFrame) -> DataFrame:
+def temp_by_equipment(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     keys = ["equipment_id", "equipment_type", "plant_area"]
     return (
-        _measured(readings, "temperature_c")
+        values.measured(readings, "temperature_c")
         .groupBy(*keys)
         .agg(
-            F.avg("temperature_c").alias("avg_temperature"),
-            F.max("temperature_c").alias("max_temperature"),
-            _mean_when(failed(), "temperature_c").alias("avg_temp_at_failure"),
+            values.mean("temperature_c").alias("avg_temperature"),
+            values.most("temperature_c").alias("max_temperature"),
+            values.mean("temperature_c", failed()).alias("avg_temp_at_failure"),
         )
         .orderBy(first_by(F.desc("avg_temperature"), keys))
     )
 
 
-def temp_daily_trend(readings: DataFrame) -> DataFrame:
+def temp_daily_trend(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     return (
-        _measured(readings, "temperature_c")
+        values.measured(readings, "temperature_c")
         .groupBy("equipment_id", F.to_date("timestamp").alias("date"))
         .agg(
-            F.avg("temperature_c").alias("avg_daily_temperature"),
-            F.max("temperature_c").alias("max_daily_temperature"),
-            F.min("temperature_c").alias("min_daily_temperature"),
+            values.mean("temperature_c").alias("avg_daily_temperature"),
+            values.most("temperature_c").alias("max_daily_temperature"),
+            values.least("temperature_c").alias("min_daily_temperature"),
         )
         .orderBy("equipment_id", "date")
     )
 
 
-def temp_normal_vs_failure(readings: DataFrame) -> DataFrame:
+def temp_normal_vs_failure(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     means = (
-        _measured(readings, "temperature_c")
+        values.measured(readings, "temperature_c")
         .groupBy("equipment_type")
         .agg(
-            _mean_when(_normal(), "temperature_c").alias("avg_temp_normal"),
-            _mean_when(failed(), "temperature_c").alias("avg_temp_failure"),
+            values.mean("temperature_c", _normal()).alias("avg_temp_normal"),
+            values.mean("temperature_c", failed()).alias("avg_temp_failure"),
         )
     )
     difference = F.col("avg_temp_failure") - F.col("avg_temp_normal")
@@ -94,43 +87,43 @@ def temp_normal_vs_failure(readings: DataFrame) -> DataFrame:
 # --- vibration ------------------------------------------------------------------------------
 
 
-def vib_overall(readings: DataFrame) -> DataFrame:
-    return _measured(readings, "vibration_mm_s").agg(*_spread(*VIBRATION))
+def vib_overall(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
+    return values.measured(readings, "vibration_mm_s").agg(*_spread(values, *VIBRATION))
 
 
-def vib_by_type(readings: DataFrame) -> DataFrame:
+def vib_by_type(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     variation = ratio(F.col("std_dev_vibration"), F.col("avg_vibration")) * 100
     return (
-        _measured(readings, "vibration_mm_s")
+        values.measured(readings, "vibration_mm_s")
         .groupBy("equipment_type")
-        .agg(*_spread(*VIBRATION))
+        .agg(*_spread(values, *VIBRATION))
         .withColumn("coefficient_variation", two_decimals(variation))
         .orderBy(F.desc("avg_vibration"))
     )
 
 
-def vib_by_equipment(readings: DataFrame) -> DataFrame:
+def vib_by_equipment(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     keys = ["equipment_id", "equipment_type", "plant_area", "manufacturer"]
     return (
-        _measured(readings, "vibration_mm_s")
+        values.measured(readings, "vibration_mm_s")
         .groupBy(*keys)
         .agg(
-            F.avg("vibration_mm_s").alias("avg_vibration"),
-            F.max("vibration_mm_s").alias("max_vibration"),
-            _mean_when(failed(), "vibration_mm_s").alias("avg_vib_at_failure"),
+            values.mean("vibration_mm_s").alias("avg_vibration"),
+            values.most("vibration_mm_s").alias("max_vibration"),
+            values.mean("vibration_mm_s", failed()).alias("avg_vib_at_failure"),
         )
         .orderBy(first_by(F.desc("avg_vibration"), keys))
     )
 
 
-def vib_normal_vs_failure(readings: DataFrame) -> DataFrame:
+def vib_normal_vs_failure(readings: DataFrame, values: Rows = ROWS) -> DataFrame:
     normal, failure = F.col("avg_vib_normal"), F.col("avg_vib_failure")
     return (
-        _measured(readings, "vibration_mm_s")
+        values.measured(readings, "vibration_mm_s")
         .groupBy("equipment_type")
         .agg(
-            _mean_when(_normal(), "vibration_mm_s").alias("avg_vib_normal"),
-            _mean_when(failed(), "vibration_mm_s").alias("avg_vib_failure"),
+            values.mean("vibration_mm_s", _normal()).alias("avg_vib_normal"),
+            values.mean("vibration_mm_s", failed()).alias("avg_vib_failure"),
         )
         .withColumn("vib_increase_pct", two_decimals(ratio((failure - normal) * 100.0, normal)))
         .orderBy(F.desc("vib_increase_pct"))
@@ -143,7 +136,7 @@ def vib_alerts(readings: DataFrame) -> DataFrame:
     The alerts are written before they are sorted: a sort runs its input twice, and this one is a
     scan of all readings.
     """
-    measured = _measured(readings, "vibration_mm_s")
+    measured = ROWS.measured(readings, "vibration_mm_s")
     limit = F.avg("vibration_mm_s") + ALERT_DEVIATIONS * F.stddev_samp("vibration_mm_s")
     limits = measured.groupBy("equipment_type").agg(limit.alias("upper_threshold"))
     alerts = (

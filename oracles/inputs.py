@@ -1,5 +1,7 @@
 """Common table expressions the checking SQL starts with."""
 
+from datetime import datetime
+
 from millwright.sources.event_readings import RAW, SECOND_COPY, TYPED
 
 _COLUMNS = ",\n    ".join(f"{text} AS {name}" for name, text in TYPED.items())
@@ -21,3 +23,9 @@ RAW_READINGS = f"""{READINGS}, raw_readings AS (
 def on_readings(sql: str) -> str:
     return f"WITH {READINGS}\n{sql.strip()}"
 
+
+
+def on_readings_of(sql: str, start: datetime, end: datetime) -> str:
+    """The same of the readings from `start` to before `end`."""
+    period = f"timestamp >= TIMESTAMP '{start}' AND timestamp < TIMESTAMP '{end}'"
+    return f"WITH all_{READINGS}, readings AS (SELECT * FROM all_readings WHERE {period})\n{sql.strip()}"
