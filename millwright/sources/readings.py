@@ -1,22 +1,51 @@
 """Reading, registering, previewing and writing the readings table."""
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import FILE_ORDER, NA_TOKENS, READINGS_SCHEMA, TABLE_NAME
 
 
-def read_csv(spark: SparkSession, path: str, keep_order: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession, path: str, keep_order: bool = False, by_name: bool = False, multi_line: bool = False,
+    bad_records: str | None = None,
+) -> DataFrame:
     """Raw readings from CSV with a header row: every cell as text, missing-value words as NULL.
 
     Cells stay text because a bad cell must become NULL by itself (see the cleaning plan), and
     because inferring types would cost one more pass over the files. `keep_order` adds each row's
     place (file, start of its split, row in the split), so that cleaning keeps the first row of a
     repeated id as the files list them, however they are split over tasks.
+
+    The header is that of any file, and all must be equal. With `by_name` each file has its own: columns are united by name, and one that
+    a file lacks is NULL there. This reads the files' lines once more, and one scan for each different header. `multi_line`
+    reads quoted line breaks; a file is then one task. `bad_records` names a column for the text of rows with more or fewer
+    cells than the header; it is NULL for all others.
     """
-    cells = spark.read.option("header", True).option("escape", '"').csv(path)
-    columns = [blank_to_null(name).alias(name) for name in cells.columns]
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    if by_name:
+        headers = _headers(spark, path)
+        parts = [_cells(spark, files, options, names, bad_records, keep_order) for names, files in headers.items()]
+        return reduce(lambda one, other: one.unionByName(other, allowMissingColumns=True), parts)
+    names = spark.read.options(**options).csv(path).columns if bad_records else None
+    return _cells(spark, [path], options, names, bad_records, keep_order)
+
+
+def _cells(
+    spark: SparkSession, files: list[str], options: dict, names: tuple[str, ...] | None, bad_records: str | None, keep_order: bool
+) -> DataFrame:
+    reader = spark.read.options(**options)
+    if names:
+        schema = StructType([StructField(name, StringType()) for name in [*names, *([bad_records] if bad_records else [])]])
+        reader = reader.schema(schema)
+        if bad_records:
+            reader = reader.option("columnNameOfCorruptRecord", bad_records)
+    cells = reader.csv(files)
+    columns = [F.col(f"`{name}`") if name == bad_records else blank_to_null(f"`{name}`").alias(name) for name in cells.columns]
     if keep_order:
         place = F.struct(
             F.col("_metadata.file_path").alias("file"),
@@ -27,6 +56,20 @@ def read_csv(spark: SparkSession, path: str, keep_order: bool = False) -> DataFr
     return cells.select(columns)
 
 
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of each different header, in the order of their names."""
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    place = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), "value", place.alias("place"))
+    first = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))  # names of files, which the driver lists, too
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for header, files in sorted(found.collect(), key=lambda row: row.files):
+        names = tuple(next(csv.reader([header.removeprefix("\ufeff").rstrip("\r")])))
+        headers.setdefault(names, []).extend(files)
+    return headers
+
+
 def blank_to_null(name: str) -> Column:
     cell = F.col(name)
     return F.when(~cell.isin(NA_TOKENS), cell)
@@ -43,6 +86,27 @@ def register(readings: DataFrame, name: str = TABLE_NAME) -> DataFrame:
     return readings
 
 
+def register_filtered(readings: DataFrame, function: str = f"{TABLE_NAME}_of", name: str = TABLE_NAME) -> None:
+    """Let SQL take any measure of some readings: `function(machine => ..., since => ..., before => ..., maintenance => ..., condition => ...)`.
+
+    Arguments left out do not filter; there is none for a column the table lacks. Spark puts the function's query in place of
+    its call, so the tests reach the scan.
+    """
+    register(readings, name)
+    tests = {
+        "machine": ("STRING", "equipment_id", "="), "since": ("TIMESTAMP_NTZ", "timestamp", ">="), "before": ("TIMESTAMP_NTZ", "timestamp", "<"),
+        "maintenance": ("STRING", "maintenance_type", "="), "condition": ("STRING", "operating_condition", "="),
+    }
+    tests = {argument: test for argument, test in tests.items() if test[1] in readings.columns}
+    arguments = ", ".join(f"{argument} {kind} DEFAULT NULL" for argument, (kind, _, _) in tests.items())
+    wanted = [f"({function}.{argument} IS NULL OR {column} {sign} {function}.{argument})" for argument, (_, column, sign) in tests.items()]
+    columns = ", ".join(f"`{column}`" for column in readings.columns)
+    readings.sparkSession.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {function}({arguments}) RETURNS TABLE "
+        f"RETURN SELECT {columns} FROM {name} WHERE {' AND '.join(wanted)}"
+    )
+
+
 def shape(df: DataFrame) -> DataFrame:
     """One row: number of rows and of columns."""
     return df.agg(
