@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import failed, first_by, ratio, two_decimals
-from ..operators.lookup import lookup
+from ..operators.lookup import BROADCAST_ROWS, lookup
 from ..operators.moments import ROWS, Rows
 from ..operators.shared_table import write_shared
 
@@ -130,8 +130,8 @@ def vib_normal_vs_failure(readings: DataFrame, values: Rows = ROWS) -> DataFrame
     )
 
 
-def vib_alerts(readings: DataFrame) -> DataFrame:
-    """Readings above mean + 2 deviations of their equipment type.
+def vib_alerts(readings: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Readings above mean + 2 deviations of their equipment type; more types than `broadcast_rows` are joined by shuffle.
 
     The alerts are written before they are sorted: a sort runs its input twice, and this one is a
     scan of all readings.
@@ -140,7 +140,7 @@ def vib_alerts(readings: DataFrame) -> DataFrame:
     limit = F.avg("vibration_mm_s") + ALERT_DEVIATIONS * F.stddev_samp("vibration_mm_s")
     limits = measured.groupBy("equipment_type").agg(limit.alias("upper_threshold"))
     alerts = (
-        lookup(measured, limits, ["equipment_type"], spread=["record_id", "timestamp"])
+        lookup(measured, limits, ["equipment_type"], spread=["record_id", "timestamp"], max_rows=broadcast_rows)
         .where(F.col("vibration_mm_s") > F.col("upper_threshold"))
         .select(
             "equipment_id", "equipment_type", "timestamp", "vibration_mm_s", "upper_threshold",
