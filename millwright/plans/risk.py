@@ -9,29 +9,30 @@ from ..functions.columns import (
     by_month, failure_count, failure_rate, first_by, high_risk, percent, severity_order,
 )
 from ..operators.lookup import lookup
+from ..operators.sketches import EXACT, Machines
 
 # --- high risk ------------------------------------------------------------------------------
 
 
-def _equipment(label: str) -> Column:
-    return F.count_distinct("equipment_id").alias(label)
+def _equipment(label: str, machines: Machines = EXACT) -> Column:
+    return machines.distinct().alias(label)
 
 
-def _records(label: str) -> Column:
-    return F.count(F.lit(1)).alias(label)
+def _records(label: str, machines: Machines = EXACT) -> Column:
+    return machines.records().alias(label)
 
 
-def high_risk_count(readings: DataFrame) -> DataFrame:
+def high_risk_count(readings: DataFrame, machines: Machines = EXACT) -> DataFrame:
     return readings.where(high_risk()).agg(
-        _equipment("high_risk_equipment_count"), _records("high_risk_records")
+        _equipment("high_risk_equipment_count", machines), _records("high_risk_records", machines)
     )
 
 
-def high_risk_by_type_area(readings: DataFrame) -> DataFrame:
+def high_risk_by_type_area(readings: DataFrame, machines: Machines = EXACT) -> DataFrame:
     return (
         readings.where(high_risk())
         .groupBy("equipment_type", "plant_area")
-        .agg(_equipment("high_risk_equipment"), _records("high_risk_records"))
+        .agg(_equipment("high_risk_equipment", machines), _records("high_risk_records", machines))
         .orderBy(F.desc("high_risk_equipment"))
     )
 
@@ -51,11 +52,11 @@ def high_risk_equipment_detail(readings: DataFrame) -> DataFrame:
     )
 
 
-def high_risk_monthly(readings: DataFrame) -> DataFrame:
+def high_risk_monthly(readings: DataFrame, machines: Machines = EXACT) -> DataFrame:
     return (
         readings.where(high_risk())
         .groupBy(*by_month())
-        .agg(_equipment("high_risk_equipment"), _records("high_risk_records"))
+        .agg(_equipment("high_risk_equipment", machines), _records("high_risk_records", machines))
         .orderBy("year", "month")
     )
 
@@ -153,40 +154,40 @@ def failure_probability_current(readings: DataFrame) -> DataFrame:
 # --- risk levels ----------------------------------------------------------------------------
 
 
-def _levels(readings: DataFrame, keys: list) -> DataFrame:
+def _levels(readings: DataFrame, keys: list, machines: Machines = EXACT) -> DataFrame:
     return (
         readings.where(F.col("failure_risk_level").isNotNull())
         .groupBy(*keys, "failure_risk_level")
-        .agg(_records("record_count"), _equipment("equipment_count"))
+        .agg(_records("record_count", machines), _equipment("equipment_count", machines))
     )
 
 
-def risk_distribution(readings: DataFrame) -> DataFrame:
+def risk_distribution(readings: DataFrame, machines: Machines = EXACT) -> DataFrame:
     everything = F.sum("record_count").over(Window.partitionBy())  # over one row for each level
     return (
-        _levels(readings, [])
+        _levels(readings, [], machines)
         .withColumn("percentage", percent(F.col("record_count"), everything))
         .orderBy(severity_order())
     )
 
 
-def _levels_within(readings: DataFrame, key: str, label: str) -> DataFrame:
+def _levels_within(readings: DataFrame, key: str, label: str, machines: Machines = EXACT) -> DataFrame:
     """Share of each level within a key; the window runs over one row per key and level."""
     of_key = F.sum("record_count").over(Window.partitionBy(key))
     return (
-        _levels(readings, [key])
+        _levels(readings, [key], machines)
         .withColumn(label, percent(F.col("record_count"), of_key))
         .orderBy(key, severity_order())
     )
 
 
-def risk_distribution_by_type(readings: DataFrame) -> DataFrame:
-    return _levels_within(readings, "equipment_type", "percentage_within_type")
+def risk_distribution_by_type(readings: DataFrame, machines: Machines = EXACT) -> DataFrame:
+    return _levels_within(readings, "equipment_type", "percentage_within_type", machines)
 
 
-def risk_distribution_by_area(readings: DataFrame) -> DataFrame:
-    return _levels_within(readings, "plant_area", "percentage_within_area")
+def risk_distribution_by_area(readings: DataFrame, machines: Machines = EXACT) -> DataFrame:
+    return _levels_within(readings, "plant_area", "percentage_within_area", machines)
 
 
-def risk_trend_monthly(readings: DataFrame) -> DataFrame:
-    return _levels(readings, by_month()).orderBy("year", "month", severity_order())
+def risk_trend_monthly(readings: DataFrame, machines: Machines = EXACT) -> DataFrame:
+    return _levels(readings, by_month(), machines).orderBy("year", "month", severity_order())
