@@ -1,10 +1,33 @@
 """Checking SQL for cleaning, features and the reports on them, written apart from the Spark code."""
 
-from millwright.schema import FAILED_WORDS, NA_TOKENS, RISK_WORDS, VALID_RANGE
-
 from .inputs import RAW_READINGS
 from .readings_sql import FAILED, r
 
+# Fixed values, written out here again so that a wrong one in the library shows.
+NA_TOKENS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+VALID_RANGE = {
+    "temperature_c": (-50.0, 200.0),
+    "vibration_mm_s": (0.0, 100.0),
+    "pressure_bar": (0.0, 500.0),
+    "rpm": (0.0, 10000.0),
+    "load_percent": (0.0, 100.0),
+    "efficiency_percent": (0.0, 100.0),
+    "energy_consumption_kwh": (0.0, None),
+    "operating_hours": (0.0, 100000.0),
+    "days_since_last_maintenance": (0.0, 3650.0),
+    "downtime_minutes": (0.0, 10080.0),
+}
+FAILED_WORDS = ["1", "1.0", "Yes", "yes", "Y", "y", "True"]
+RISK_WORDS = {
+    "Low": ["low", "Low", "LOW"],
+    "Medium": ["medium", "Medium", "MEDIUM", "Med"],
+    "High": ["high", "High", "HIGH"],
+    "Critical": ["critical", "Critical", "CRITICAL"],
+}
+
 SENSOR_FILLS = ["temperature_c", "vibration_mm_s", "pressure_bar", "rpm"]
 COLUMN_FILLS = [
     "load_percent", "efficiency_percent", "energy_consumption_kwh", "days_since_last_maintenance",
