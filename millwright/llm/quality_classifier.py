@@ -19,7 +19,6 @@ FILTERS = 12
 WIDTH = 5
 HALF = 256  # a chunk is two halves; the next one starts half a chunk later
 SAMPLE_ROWS = 1500
-SAMPLE_CHARS = 2000
 THRESHOLD = 0.3
 STEPS = 600
 BATCH = 32
@@ -137,8 +136,8 @@ def _slopes(parameters: list[np.ndarray], texts: list[np.ndarray], y: np.ndarray
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn_from: Column, label: str = "quality", rows: int = SAMPLE_ROWS) -> Network:
-    """Train on at most `rows` labelled documents; of longer texts the first and last 2,000 characters are learned from."""
-    table = sample(documents, labels, label, learn_from, rows, SAMPLE_CHARS)
+    """Train on the whole texts of at most `rows` labelled documents."""
+    table = sample(documents, labels, label, learn_from, rows)
     return train(table["text"].tolist(), table["label"].tolist())
 
 

@@ -24,7 +24,6 @@ MOST_TERMS = 1024
 LEAST_Z = 4.0
 STEM = 4
 SAMPLE_ROWS = 6000
-SAMPLE_CHARS = 4000
 STEPS = 150
 THRESHOLD = 0.3
 CACHED_TERMS = 500_000
@@ -86,6 +85,11 @@ def _value(machine: Machine, at: np.ndarray, lengths: np.ndarray):
 
 
 def train(texts: list[str | None], labels: list[int], seed: int = 11) -> Machine:
+    cache: dict[str, tuple[int, int]] = {}
+    return train_on_terms([term_hashes(text, cache) for text in texts], labels, seed)
+
+
+def train_on_terms(rows: list[list[int]], labels: list[int], seed: int = 11) -> Machine:
     """Learn by full-batch Adam on the log loss, label 1 weighing twice.
 
     Weights go to the MOST_TERMS terms whose presence tells most about the label (two-sample z of the
@@ -98,8 +102,6 @@ def train(texts: list[str | None], labels: list[int], seed: int = 11) -> Machine
     empty = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), float(np.log(share / (1 - share))))
     if not 0 < y.sum() < len(y):
         return empty
-    cache: dict[str, tuple[int, int]] = {}
-    rows = [term_hashes(text, cache) for text in texts]
     owner = np.arange(len(rows)).repeat([len(row) for row in rows])
     flat = np.fromiter((t for row in rows for t in row), np.int64)
     terms, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
@@ -142,9 +144,16 @@ def train(texts: list[str | None], labels: list[int], seed: int = 11) -> Machine
 
 
 def fit(documents: DataFrame, labels: DataFrame, learn_from: Column, label: str = "toxic", rows: int = SAMPLE_ROWS) -> Machine:
-    """Train on at most `rows` labelled documents; of longer texts the first and last 4,000 characters are learned from."""
-    table = sample(documents, labels, label, learn_from, rows, SAMPLE_CHARS)
-    return train(table["text"].tolist(), table["label"].tolist())
+    """Train on at most `rows` labelled documents; the hashes of all terms of their whole texts are made in tasks."""
+
+    @F.pandas_udf("array<int>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        cache: dict[str, tuple[int, int]] = {}
+        for texts in batches:
+            yield pd.Series([term_hashes(text, cache) for text in texts], dtype="object")
+
+    table = sample(documents, labels, label, learn_from, rows, made_of=hashes)
+    return train_on_terms([sorted(map(int, row)) for row in table["text"]], table["label"].tolist())
 
 
 def score(documents: DataFrame, machine: Machine, text_column: str = "text", score_column: str = "score") -> DataFrame:
