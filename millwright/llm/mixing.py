@@ -63,7 +63,8 @@ def mix(
     """The rows of `documents`, each as often as drawn, in random order; adds `copy` (from 1) and `shuffle_key`.
 
     Rows are ordered by `shuffle_key`, an MD5 of seed, id and copy, over range partitions: the order over
-    all of the result. Rows that repeat an id are drawn alike; NULL ids count as one id. Input columns named like
+    all of the result. Rows that repeat an id are drawn alike and share their keys, in no fixed order among
+    themselves; NULL ids count as one id. Input columns named like
     the two new ones are replaced. An empty table gives no rows.
     """
     marks = ("copy", "shuffle_key", "_source_key", "_parts", "_steps", "_times")
