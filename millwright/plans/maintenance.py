@@ -100,11 +100,12 @@ def filtered_view(
     end: datetime | None = None,
     maintenance_type: str | None = None,
     operating_condition: str | None = None,
+    by_month: bool = False,
 ) -> DataFrame:
     """Readings of a machine, a time period start <= t < end, a maintenance type, a condition.
 
-    Any measure can be taken of the result; the tests reach the scan where it stores the column. Columns year and month are
-    taken for those of the time: a table stored by them reads the folders of the period only.
+    Any measure can be taken of the result; the tests reach the scan where it stores the column. With `by_month`
+    columns year and month are taken for those of the time: a table stored by them reads the folders of the period only.
     """
     wanted = {
         "equipment_id": equipment_id,
@@ -119,8 +120,9 @@ def filtered_view(
         rows = rows.where(F.col("timestamp") >= _time(start))
     if end is not None:
         rows = rows.where(F.col("timestamp") < _time(end))
-    if {*MONTH} <= {*rows.columns}:
-        month = F.col("year") * 12 + F.col("month")
+    if by_month:
+        year, month = map(F.col, MONTH)
+        month = year * 12 + month
         if start is not None:
             rows = rows.where(month >= start.year * 12 + start.month)
         if end is not None:

@@ -39,7 +39,7 @@ def test_a_period_reads_its_months_only(spark, featured, folder):
     assert len(files) <= 12 + len(months)
 
     start, end = datetime(2024, 3, 10), datetime(2024, 5, 1)
-    view = maintenance.filtered_view(stored, start=start, end=end)
+    view = maintenance.filtered_view(stored, start=start, end=end, by_month=True)
     assert _bag(view) == _bag(featured.where((F.col("timestamp") >= F.lit(start)) & (F.col("timestamp") < F.lit(end))))
     plan = _plan(view.select("health_index"))
     assert "PartitionFilters: [" in plan and "year" in plan[plan.index("PartitionFilters: [") :].split("\n")[0]
