@@ -42,8 +42,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_file("piece_bpe_32k.model")
-    rows = piece_sampling.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    rows = piece_sampling.decode(rows, model)
+    rows = piece_sampling.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", same.alias("lossless"))
 
