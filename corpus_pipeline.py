@@ -38,7 +38,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_pieces and the sampled piece ids, decoded to see that no text is lost."""
     model = tokenizer_file("piece_bpe_32k.model")
-    rows = piece_sampling.decode(piece_sampling.encode(docs, model), model)
+    rows = piece_sampling.round_trip(docs, model)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return rows.select("doc_id", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids", same.alias("lossless"))
 
