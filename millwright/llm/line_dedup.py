@@ -5,12 +5,13 @@ A line is the set of its words in lower case. It goes if an earlier line has a J
 n - ceil(0.8 n) + 1 of each (prefix filter). Length, place of the shared word and a parity bitmap of the
 words bound the overlap, and what is left is verified on the words themselves. The filters know words by
 their hash of 64 bits; a shared word is found by 32 of these, so that different words may cost a candidate.
+Different lines are numbered in the order of their first places, and only these numbers travel through the joins.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millwright.operators.shared_table import stored_tables, write_shared
+from millwright.operators.shared_table import drop_shared, shuffles_removed, stored_tables, write_shared
 
 from .bit_filter import maybe_in
 
@@ -53,10 +54,6 @@ def _same() -> Column:
     return F.md5(F.col("text").cast("binary"))
 
 
-def _with_words(texts: DataFrame) -> DataFrame:
-    return texts.where(_has_words()).withColumn("words", _words())
-
-
 def _has_words() -> Column:
     """Said without the words, since a filter below them would cut every text twice."""
     return F.btrim("text", F.lit(" \t\x0b\f\r")) != ""
@@ -81,7 +78,8 @@ def _rarity(texts: DataFrame) -> Column:
     words = texts.select(F.explode(_cut()).alias("word"))
     counts = words.groupBy(_tally(F.xxhash64("word")).alias("at")).count()
     grade = F.least(F.floor(F.log2(F.col("count") + 0.0) * 4) + 1, F.lit(126)).cast("int")
-    found = counts.select("at", grade.alias("grade")).toPandas()
+    with shuffles_removed(texts.sparkSession):
+        found = counts.select("at", grade.alias("grade")).toPandas()
     table = bytearray(b"\1" * TALLIES)
     for at, value in zip(found["at"].tolist(), found["grade"].tolist()):
         table[at] = value
@@ -89,12 +87,12 @@ def _rarity(texts: DataFrame) -> Column:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """One stored row for each different line: same, doc, key, line (its first place), n, prefix, parity, ends.
+    """One stored row for each different line: set, same, doc, key, line (its first place), n, prefix, parity, ends.
 
-    ends: hashes of the two words with the smallest hashes, and of the two with the largest.
+    set: its number, larger for a later place. ends: hashes of the two words with the smallest hashes, and of the two with the largest.
     """
     grades = _rarity(texts)
-    lines = texts.where(_has_words()).select(F.unhex(_same()).alias("same"), "doc", "key", "line", _hashes().alias("hashes"))
+    lines = texts.where(_has_words()).select(F.unhex(_same()).alias("same"), *PLACE, _hashes().alias("hashes"))
     lines = lines.withColumn("n", F.size("hashes"))
 
     def ranked(hashed: Column) -> Column:  # sorts by rarity, then by the upper bits of the hash
@@ -106,10 +104,11 @@ def _sets(texts: DataFrame) -> DataFrame:
     bit = lambda total, value: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), value.bitwiseAND(F.lit(63)).cast("int")))
     parity = F.aggregate("hashes", F.lit(0).cast("bigint"), bit)
     ends = [F.hash(*[F.get("hashes", at) for at in pair]) for pair in ((F.lit(0), F.lit(1)), (F.col("n") - 1, F.col("n") - 2))]
-    coded = lines.select("same", "doc", "key", "line", "n", prefix.alias("prefix"), parity.alias("parity"), F.array(*ends).alias("ends"))
-    first = F.min(F.struct("doc", "key", "line")).alias("first")
+    coded = lines.select("same", *PLACE, "n", prefix.alias("prefix"), parity.alias("parity"), F.array(*ends).alias("ends"))
+    first = F.min(F.struct(*PLACE)).alias("first")
     sets = coded.groupBy("same").agg(first, *[F.first(name).alias(name) for name in ("n", "prefix", "parity", "ends")])
-    return write_shared(sets.select("same", "first.*", "n", "prefix", "parity", "ends"))
+    ordered = sets.select("same", "first.*", "n", "prefix", "parity", "ends").repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+    return write_shared(ordered.withColumn("set", F.monotonically_increasing_id()))
 
 
 def _least_common(n: Column, m: Column, of: int = 4, among: int = 9) -> Column:
@@ -140,22 +139,22 @@ def _near_bits(one: Column, other: Column, most: Column) -> Column:
     return F.bit_count(one.bitwiseXOR(other)) <= most
 
 
-def _similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (doc, key, line, to_doc, to_key, to_line) that hold on the words themselves; fetches only lines that occur in them."""
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (set, to) that hold on the words themselves; fetches only lines that occur in them."""
     pairs = write_shared(pairs.distinct())
+    ends = pairs.select("set").union(pairs.select(F.col("to").alias("set"))).distinct()
+    places = write_shared(sets.select("set", *PLACE).join(ends, "set", "left_semi"))
     place = F.struct(*PLACE)
-    ends = pairs.select(place.alias("place")).union(pairs.select(F.struct(*[F.col(f"to_{name}").alias(name) for name in PLACE]))).distinct()
-    texts = _with_words(texts.where(maybe_in(ends.select("place"), place))).select(*PLACE, "words")
-    texts = texts.join(ends.select("place.*"), PLACE, "left_semi")
-    texts = write_shared(texts.dropDuplicates(PLACE))
-    to = texts.select(*[F.col(name).alias(f"to_{name}") for name in [*PLACE, "words"]])
-    common = F.size(F.array_intersect("words", "to_words"))
-    near = common * 9 >= (F.size("words") + F.size("to_words")) * 4
-    return pairs.join(texts, PLACE).join(to, [f"to_{name}" for name in PLACE]).where(near)
+    texts = texts.where(_has_words() & maybe_in(places.select(place.alias("place")), place)).join(places, PLACE).dropDuplicates(["set"])
+    words = write_shared(texts.select("set", F.array_join(_words(), " ").alias("words")))  # one string is smaller than a list
+    to = words.select(F.col("set").alias("to"), F.col("words").alias("to_words"))
+    one, other = F.split("words", " "), F.split("to_words", " ")
+    near = F.size(F.array_intersect(one, other)) * 9 >= (F.size(one) + F.size(other)) * 4
+    return pairs.join(words, "set").join(to, "to").where(near)
 
 
 def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All sets, and the first places (doc, key, line) of those that have a similar earlier set.
+    """All sets, and the numbers (set) of those that have a similar earlier set.
 
     First every set is compared with one other among sets that share a key: its smallest prefix code by hash,
     and the words at either end of the order of hashes, which rare words seldom move. The
@@ -169,9 +168,9 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.array_min(F.transform("prefix", lambda value: F.xxhash64(value, F.lit(seed))))
 
     keys = F.array(*[smallest(seed) for seed in range(1)], *[F.xxhash64(F.lit(at), F.get("ends", F.lit(at))) for at in range(2)])
-    narrow = sets.select(*PLACE, "n", "parity", F.explode(keys).alias("met"))
-    order = Window.partitionBy("met").orderBy(*PLACE)
-    this = F.struct(*PLACE, "n", "parity")
+    narrow = sets.select("set", "n", "parity", F.explode(keys).alias("met"))
+    order = Window.partitionBy("met").orderBy("set")
+    this = F.struct("set", "n", "parity")
     others = {f"other{back}": F.lag(this, back).over(order) for back in range(1, BACK + 1)}
     others["other0"] = F.when(F.row_number().over(order) > 1, F.first(this).over(order))
 
@@ -180,37 +179,32 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.when(_near_bits(F.col("parity"), F.col(f"{other}.parity"), most), F.col(other))
 
     tried = narrow.withColumns(others).withColumn("to", F.coalesce(*[may_be(other) for other in others])).where("to is not null")
-    tried = tried.select(*PLACE, *[F.col(f"to.{name}").alias(f"to_{name}") for name in PLACE])
+    tried = tried.select("set", F.col("to.set").alias("to"))
     with stored_tables() as scope:  # the pairs and words looked at go when this is known
-        settled = scope.keep(write_shared(_similar_pairs(tried, texts).select(*PLACE).distinct()))
+        settled = scope.keep(write_shared(_similar_pairs(tried, sets, texts).select("set").distinct()))
 
-    marked = sets.drop("same", "ends").join(settled.withColumn("settled", F.lit(True)), PLACE, "left")
-    # A settled set seeks no partner. Two numbers of 32 bits share a column, which halves what is shuffled, and
+    marked = sets.select("set", "n", "prefix", "parity").join(settled.withColumn("settled", F.lit(True)), "set", "left")
+    # A settled set seeks no partner. Numbers of 32 bits share a column, which halves what is shuffled, and
     # no column is nullable, so that both sides are one exchange.
     rows = marked.select(
-        F.coalesce("doc", F.lit(0)).alias("doc"), F.coalesce("key", F.lit(0)).alias("key"), _pair(F.col("line"), F.col("n")).alias("line_n"),
-        F.coalesce("parity", F.lit(0)).alias("parity"), F.coalesce("settled", F.lit(False)).alias("settled"),
-        F.posexplode("prefix").alias("at", "code"),
+        F.coalesce("set", F.lit(0)).alias("set"), F.coalesce("parity", F.lit(0)).alias("parity"), "n",
+        F.coalesce("settled", F.lit(False)).cast("int").alias("settled"), F.posexplode("prefix").alias("at", "code"),
     )
     rows = rows.select(
-        "doc", "key", "line_n", "parity", _pair(F.col("at"), F.col("settled").cast("int")).alias("at_settled"),
-        F.coalesce("code", F.lit(0)).alias("code"),
+        "set", "parity", _pair(F.col("n"), F.col("at") * 2 + F.col("settled")).alias("n_at"), F.coalesce("code", F.lit(0)).alias("code"),
     )
     x, y = rows.alias("x"), rows.alias("y")
-    line, n, at, is_settled = _first("x.line_n"), _second("x.line_n"), _first("x.at_settled"), _second("x.at_settled")
-    to_line, m, to_at = _first("y.line_n"), _second("y.line_n"), _first("y.at_settled")
-    earlier = (F.col("y.doc") < F.col("x.doc")) | ((F.col("y.doc") == F.col("x.doc")) & (
-        (F.col("y.key") < F.col("x.key")) | ((F.col("y.key") == F.col("x.key")) & (to_line < line))
-    ))
+    n, at, is_settled = _first("x.n_at"), F.shiftright(_second("x.n_at"), 1), _second("x.n_at") % 2
+    m, to_at = _first("y.n_at"), F.shiftright(_second("y.n_at"), 1)
     reach = F.least(n - at, m - to_at)  # common words from this one on
     found = x.join(
         y.hint("merge"),
-        (F.col("x.code") == F.col("y.code")) & earlier & (is_settled == 0) & (n >= m * 0.8) & (m >= n * 0.8)
+        (F.col("x.code") == F.col("y.code")) & (F.col("y.set") < F.col("x.set")) & (is_settled == 0) & (n >= m * 0.8) & (m >= n * 0.8)
         & (reach >= _least_common(n, m)) & _near_bits(F.col("x.parity"), F.col("y.parity"), _differ_at_most(n, m)),
     )
-    found = found.select("x.doc", "x.key", line.alias("line"), F.col("y.doc").alias("to_doc"), F.col("y.key").alias("to_key"), to_line.alias("to_line"))
+    found = found.select("x.set", F.col("y.set").alias("to"))
     with stored_tables() as scope:
-        more = _similar_pairs(found, texts).select(*PLACE).distinct()
+        more = _similar_pairs(found, sets, texts).select("set").distinct()
         return sets, scope.keep(write_shared(settled.union(more)))
 
 
@@ -229,10 +223,9 @@ def _gone(known: DataFrame, text_column: str) -> DataFrame:
     """Places (doc, key, line) of the lines that go; rows that are equal may repeat one."""
     texts = _texts(known, text_column)
     sets, gone = repeated_sets(texts)
-    first = [f"first_{name}" for name in PLACE]
-    firsts = sets.select("same", *[F.col(name).alias(f"first_{name}") for name in PLACE])
-    gone = gone.select(*[F.col(name).alias(f"first_{name}") for name in PLACE], F.lit(True).alias("gone"))
-    firsts = write_shared(firsts.join(gone, first, "left"))
+    firsts = sets.select("set", "same", *[F.col(name).alias(f"first_{name}") for name in PLACE])
+    firsts = write_shared(firsts.join(gone.withColumn("gone", F.lit(True)), "set", "left").drop("set"))
+    drop_shared(sets)
     again = texts.select(*PLACE, F.unhex(_same()).alias("same")).join(firsts, "same")
     return again.where("gone or doc <> first_doc or key <> first_key or line <> first_line").select(*PLACE)
 

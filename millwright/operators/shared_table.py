@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: says that a `file:` folder is a mount that all executors share, on a master that is not local
 MOUNTED = "spark.millwright.sharedFolderIsMounted"
 
+#: with this Spark removes what a query shuffled when the query ends, not when the driver's memory is next cleaned up
+_SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 @cache
 def _local_folder() -> str:
@@ -81,17 +84,29 @@ def stored_tables() -> Iterator[Scope]:
         scope.close()
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of every query run inside leave the executors' disks when it ends."""
+    before = spark.conf.get(_SHUFFLES_GO, "false")
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SHUFFLES_GO, before)
+
+
 def write_shared(df: DataFrame) -> DataFrame:
     """Run `df` once and return a scan of its result.
 
     Later steps read only the columns they need, do not repeat the work, and a lost executor
-    costs a re-read instead of a re-computation. The table lives as long as the innermost `stored_tables`, without
+    costs a re-read instead of a re-computation. What was shuffled for it goes at once. The table lives as long as the innermost `stored_tables`, without
     one as long as the Python process, or until `drop_shared`.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/millwright-{uuid.uuid4().hex}"
     _scope.get().folders[path] = spark
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -198,6 +198,14 @@ def test_line_dedup_of_odd_rows(odd, none):
     assert line_dedup.repeated_lines(none).count() == 0
 
 
+def test_different_lines_are_numbered_in_the_order_of_their_places(spark):
+    rows = [(doc, f"only {doc} here\nthe same in all\n\nalso {str(doc)[-1]} there") for doc in [*range(40, 0, -1), None, None]]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    sets = line_dedup._sets(line_dedup._texts(line_dedup._known(table, "doc_id", "text"), "text")).collect()
+    by_number = [(r.doc, r.key, r.line) for r in sorted(sets, key=lambda r: r["set"])]
+    assert by_number == sorted(by_number) and len({r["set"] for r in sets}) == len(sets) == 41 + 1 + 11
+
+
 def test_line_dedup_tells_rows_apart_that_share_an_id(spark):
     line = {name: " ".join(f"{name}{i}" for i in range(12)) for name in "abcdefgh"}
     rows = [

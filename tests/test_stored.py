@@ -1,5 +1,6 @@
 """Features stored by month, results written without small files, and jobs that leave no table behind."""
 
+import time
 from collections import Counter
 from datetime import datetime
 from pathlib import Path
@@ -30,6 +31,23 @@ def _bag(df) -> Counter:
     return Counter(map(str, df.collect()))
 
 
+def _shuffled(spark) -> set[str]:
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return {name for name in blocks.split() if name.startswith("shuffle_")}
+
+
+def test_storing_a_table_leaves_nothing_it_shuffled(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = _shuffled(spark), spark.conf.get(setting)
+    with stored_tables():
+        stored = write_shared(spark.range(10_000).groupBy(F.xxhash64("id").alias("key")).count())
+        until = time.time() + 10
+        while _shuffled(spark) - before and time.time() < until:
+            time.sleep(0.1)  # executors are told, not waited for
+        assert not _shuffled(spark) - before and stored.count() == 10_000
+    assert spark.conf.get(setting) == was
+
+
 def test_a_period_reads_its_months_only(spark, featured, folder):
     readings.write_by_month(featured, f"{folder}/t", files=12)
     stored = readings.read_by_month(spark, f"{folder}/t", featured.schema)
