@@ -27,6 +27,30 @@ _CODES = 1 << 21  # characters spelled in bytes have negative codes
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+class _Reach(dict):
+    """The longest end of the characters read so far that some piece begins with; the entry of a character is the reach after it.
+
+    `found` are the pieces the text ends in, the shortest first, as (weight, edge without its start, length). Entries are made when first met.
+    """
+
+    __slots__ = ("text", "begun", "weights", "found")
+
+    def __init__(self, text: str, begun: "dict[str, _Reach | None]", weights: dict[str, tuple[float, int]]) -> None:
+        self.text, self.begun, self.weights = text, begun, weights
+        ends = [text[at:] for at in range(len(text) - 1, -1, -1)]
+        self.found = [(weights[end][0], (weights[end][1] + _CODES) << 37 | len(end) << 32, len(end)) for end in ends if end in weights]
+
+    def __missing__(self, char: str) -> "_Reach":
+        text = self.text + char
+        while text not in self.begun:
+            text = text[1:]
+        reach = self.begun[text]
+        if reach is None:
+            reach = self.begun[text] = _Reach(text, self.begun, self.weights)
+        self[char] = reach
+        return reach
+
+
 class Pieces:
     """A vocabulary with a weight for each piece, and the lattices of words seen so far.
 
@@ -44,7 +68,8 @@ class Pieces:
         self.weights = {text: ((2 - model.get_score(i)) ** -sharpness, i) for i, text in texts.items()}
         self.longest = max(map(len, self.weights))
         assert self.longest < 32, "an edge has five bits for its length"
-        self.suffixes = {text[at:]: (0.0, 0) for text in self.weights for at in range(len(text))} | self.weights
+        begun: dict[str, _Reach | None] = {text[:upto]: None for text in self.weights for upto in range(len(text) + 1)}
+        self.nothing = begun[""] = _Reach("", begun, self.weights)
         self.rare = min(weight for weight, _ in self.weights.values()) / math.e
         spelled = [b""] * len(ids)
         for i, text in texts.items():
@@ -62,7 +87,8 @@ class Pieces:
         self.ends: dict[str, int] = {}
         self.states = 0  # number of the last state; 0 is the start of every word
         self.sums, self.parent = array("d", [1.0]), array("q", [0])
-        self.keys, self.edges = array("q"), array("q")
+        self.last, self.scale = array("q", [-1]), array("d", [0.0])  # of a state: its last edge, and what makes its sum 2 ** 32 - 1
+        self.upto, self.edges = array("d"), array("q")
 
     def build(self, word: str) -> int:
         """The state of the end of a word that is not known yet.
@@ -74,38 +100,34 @@ class Pieces:
         while known and word[:known] not in self.ends:
             known -= 1
         state = self.ends[word[:known]] if known else 0
-        sums, states = [1.0], [0]
-        if known:  # the way back to the start, as far as a piece can reach
-            sums, states = [], []
-            while len(states) < self.longest:
-                sums.append(self.sums[state])
-                states.append(state)
-                if not state:
-                    break
-                state = self.parent[state]
-            sums.reverse()
-            states.reverse()
+        reach = self.nothing
+        for char in word[:known]:
+            reach = reach[char]
+        sums, states = [self.sums[state]], [state]
+        for _ in reach.text:  # the way back, as far as a piece can begin
+            state = self.parent[state]
+            sums.append(self.sums[state])
+            states.append(state)
+        sums.reverse()
+        states.reverse()
         shared = True
-        find, longest, add_key, add_edge = self.suffixes.get, self.longest, self.keys.append, self.edges.append
+        longest, add_sum, add_edge = self.longest, self.upto.append, self.edges.append
         for end in range(known + 1, len(word) + 1):
-            edges, total = [], 0.0
-            for back in range(1, min(longest, len(sums)) + 1):
-                found = find(word[end - back : end])
-                if found is None:
-                    break
-                if found[0]:
-                    total += sums[-back] * found[0]
-                    edges.append((total, found[1], back))
-            if not edges or edges[0][2] > 1:  # the last character is no piece
+            reach = reach[word[end - 1]]
+            total = 0.0
+            found = reach.found
+            for weight, edge, back in found:
+                total += sums[-back] * weight
+                add_sum(total)
+                add_edge(edge | states[-back])
+            if not found or found[0][2] > 1:  # the last character is no piece
                 total += sums[-1] * self.rare ** len(word[end - 1].encode())
-                edges.append((total, -ord(word[end - 1]) - 1, 1))
+                add_sum(total)
+                add_edge((_CODES - ord(word[end - 1]) - 1) << 37 | 1 << 32 | states[-1])
             self.states += 1
             state = self.states
-            scale = 4294967295 / total
-            last = len(edges) - 1
-            for at, (upto, piece, back) in enumerate(edges):
-                add_key(state << 32 | (4294967295 if at == last else int(upto * scale)))
-                add_edge((piece + _CODES) << 37 | back << 32 | states[-back])
+            self.last.append(len(self.edges) - 1)
+            self.scale.append(4294967295 / total)
             self.parent.append(states[-1])
             if total < 1e-200:
                 shared = False
@@ -144,7 +166,9 @@ class Pieces:
         offset = int(sizes.sum())
         chosen = np.zeros(offset + 1, np.int32)
         taken = np.zeros(offset + 1, bool)
-        keys, edges = np.frombuffer(self.keys, np.int64), np.frombuffer(self.edges, np.int64)  # gone before the next word is built
+        # these are gone before the next word is built
+        edges, last = np.frombuffer(self.edges, np.int64), np.frombuffer(self.last, np.int64)
+        upto, scale = np.frombuffer(self.upto), np.frombuffer(self.scale)
         now, position = np.array(state, np.int64), np.fromiter(map(len, words), np.int64, len(words)).cumsum()
         owner = np.arange(len(texts)).repeat(number)
         with np.errstate(over="ignore"):
@@ -153,7 +177,13 @@ class Pieces:
                 mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 draw = (mixed >> np.uint64(32)).astype(np.int64)
-                edge = edges[np.searchsorted(keys, now << 32 | draw)]
+                at, top, unit = last[now - 1] + 1, last[now], scale[now]
+                under = np.flatnonzero(at < top)
+                while len(under):  # a state has few edges
+                    under = under[(upto[at[under]] * unit[under]).astype(np.int64) < draw[under]]
+                    at[under] += 1
+                    under = under[at[under] < top[under]]
+                edge = edges[at]
                 chosen[position], taken[position] = (edge >> 37) - _CODES, True
                 now = edge & 0xFFFFFFFF
                 more = now > 0

@@ -13,3 +13,13 @@ def test_both_ways_agree(spark, sf_dir):
     assert found.columns == apart.columns and found.dtypes == apart.dtypes
     assert sorted(map(str, found.collect())) == sorted(map(str, apart.collect()))
     assert piece_sampling.round_trip(table.limit(0), model).count() == 0
+
+
+def test_all_pieces_that_a_text_ends_in_are_found():
+    pieces = piece_sampling.Pieces(registry.tokenizer_file("piece_bpe_32k.model"))
+    reach, text = pieces.nothing, " the theory of\tétés and 漢字 unlikelihoods the"
+    for end in range(1, len(text) + 1):
+        reach = reach[text[end - 1]]
+        found = {(back, (edge >> 37) - piece_sampling._CODES) for _, edge, back in reach.found}
+        assert found == {(back, pieces.weights[text[end - back : end]][1]) for back in range(1, end + 1) if text[end - back : end] in pieces.weights}
+        assert [back for *_, back in reach.found] == sorted(back for back, _ in found)
