@@ -15,14 +15,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MOST_STATES = 500_000
-BATCH_CHARS = 1_000_000
+MOST_STATES = 900_000
+BATCH_CHARS = 250_000  # encoded at once, and in one batch of a result; a longer text is one by itself
 _CODES = 1 << 21  # characters spelled in bytes have negative codes
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -220,27 +221,25 @@ def pieces(path: str, sharpness: float) -> Pieces:
     return Pieces(path, sharpness)
 
 
-def _slices(texts: list[str]) -> Iterator[slice]:
+def _slices(column: pa.Array) -> Iterator[slice]:
     begin = size = 0
-    for at, text in enumerate(texts):
-        if size and size + len(text) > BATCH_CHARS:
+    for at, length in enumerate(pc.utf8_length(column).fill_null(0).to_pylist()):
+        if size and size + length > BATCH_CHARS:
             yield slice(begin, at)
             begin, size = at, 0
-        size += len(text)
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+        size += length
+    if begin < len(column):
+        yield slice(begin, len(column))
 
 
-def _lists(ids: list[np.ndarray], counts: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], *counts]).cumsum().astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32()))
-
-
-def _sampled(model: Pieces, keys: pa.Array, column: pa.Array, seed: int) -> pa.Array:
-    texts = [text or "" for text in column.to_pylist()]
-    seeds = np.array([xxhash.xxh64_intdigest(str(key), seed) for key in keys.to_pylist()], np.uint64)
-    found = [model.encode(texts[part], seeds[part]) for part in _slices(texts)]
-    return _lists([ids for ids, _ in found], [counts for _, counts in found])
+def _sampled(model: Pieces, keys: pa.Array, column: pa.Array, seed: int) -> Iterator[pa.Array]:
+    """The ids of all texts, those of BATCH_CHARS characters at a time: only so much is held besides the column."""
+    for part in _slices(column):
+        texts = [text or "" for text in column[part].to_pylist()]
+        seeds = np.array([xxhash.xxh64_intdigest(str(key), seed) for key in keys[part].to_pylist()], np.uint64)
+        ids, counts = model.encode(texts, seeds)
+        ends = np.concatenate(([0], counts)).cumsum().astype(np.int32)
+        yield pa.ListArray.from_arrays(pa.array(ends), pa.array(ids, pa.int32()))
 
 
 def _spelled(model: Pieces, column: pa.Array) -> pa.Array:
@@ -265,8 +264,8 @@ def round_trip(
         model = pieces(path, sharpness)
         try:
             for keys, column in batches:
-                ids = _sampled(model, keys, column, seed)
-                yield pa.StructArray.from_arrays([ids, _spelled(model, ids)], ["ids", "decoded"])
+                for ids in _sampled(model, keys, column, seed):
+                    yield pa.StructArray.from_arrays([ids, _spelled(model, ids)], ["ids", "decoded"])
         finally:
             model.clear()
 
@@ -291,7 +290,7 @@ def encode(
         model = pieces(path, sharpness)
         try:
             for keys, column in batches:
-                yield _sampled(model, keys, column, seed)
+                yield from _sampled(model, keys, column, seed)
         finally:
             model.clear()  # an idle worker of later stages holds no lattices
 
