@@ -3,11 +3,13 @@
 A line is the set of its words in lower case. It goes if an earlier line has a Jaccard similarity of
 0.8 or more with it. Words are ordered by rarity; two similar sets share a word among the first
 n - ceil(0.8 n) + 1 of each (prefix filter). Length, place of the shared word and a parity bitmap of the
-words bound the overlap, and what is left is verified on the words themselves. The filters know words by
+words (64 bits, 256 for many words) bound the overlap, and what is left is verified on the words themselves. The filters know words by
 their hash of 64 bits; a shared word is found by 32 of these, so that different words may cost a candidate.
 Different lines are numbered in the order of their first places, and only these numbers travel through the joins.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from .bit_filter import maybe_in
 TALLIES = 1 << 18
 NO_ID = 9223372036854775807
 PLACE = ["doc", "key", "line"]  # of a line: document, which of the rows with that id, number
+PARITY = ["parity", "parity1", "parity2", "parity3"]  # 64 bits of all words, and of those with 1, 2 and 3 as the next bits of the hash
+WIDE = 64  # words; from so many on 64 bits don't tell unlike sets apart, so larger sets have all of PARITY and others 0 for the last three
 BACK = 4  # how many sets before it a set may find its partner among in the first pass; the second pass has no limit
 
 
@@ -87,7 +91,7 @@ def _rarity(texts: DataFrame) -> Column:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """One stored row for each different line: set, same, doc, key, line (its first place), n, prefix, parity, ends.
+    """One stored row for each different line: set, same, doc, key, line (its first place), n, prefix, PARITY, ends.
 
     set: its number, larger for a later place. ends: hashes of the two words with the smallest hashes, and of the two with the largest.
     """
@@ -102,12 +106,15 @@ def _sets(texts: DataFrame) -> DataFrame:
     rarest = F.slice(F.sort_array(F.transform("hashes", ranked)), F.lit(1), F.col("n") - _least_common(F.col("n"), F.col("n"), 4, 5) + 1)
     prefix = F.transform(rarest, lambda code: (code.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
     bit = lambda total, value: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), value.bitwiseAND(F.lit(63)).cast("int")))
-    parity = F.aggregate("hashes", F.lit(0).cast("bigint"), bit)
+    parity = [F.aggregate("hashes", F.lit(0).cast("bigint"), bit).alias("parity")]
+    for part, name in enumerate(PARITY[1:], 1):
+        mine = F.filter("hashes", lambda value: F.shiftright(value, 6).bitwiseAND(F.lit(3)) == part)  # noqa: B023
+        parity.append(F.when(F.col("n") > WIDE, F.aggregate(mine, F.lit(0).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")).alias(name))
     ends = [F.hash(*[F.get("hashes", at) for at in pair]) for pair in ((F.lit(0), F.lit(1)), (F.col("n") - 1, F.col("n") - 2))]
-    coded = lines.select("same", *PLACE, "n", prefix.alias("prefix"), parity.alias("parity"), F.array(*ends).alias("ends"))
+    coded = lines.select("same", *PLACE, "n", prefix.alias("prefix"), *parity, F.array(*ends).alias("ends"))
     first = F.min(F.struct(*PLACE)).alias("first")
-    sets = coded.groupBy("same").agg(first, *[F.first(name).alias(name) for name in ("n", "prefix", "parity", "ends")])
-    ordered = sets.select("same", "first.*", "n", "prefix", "parity", "ends").repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
+    sets = coded.groupBy("same").agg(first, *[F.first(name).alias(name) for name in ("n", "prefix", *PARITY, "ends")])
+    ordered = sets.select("same", "first.*", "n", "prefix", *PARITY, "ends").repartitionByRange(*PLACE).sortWithinPartitions(*PLACE)
     return write_shared(ordered.withColumn("set", F.monotonically_increasing_id()))
 
 
@@ -134,9 +141,16 @@ def _second(name: str) -> Column:
     return F.col(name).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
-def _near_bits(one: Column, other: Column, most: Column) -> Column:
-    """A word in one set only flips one bit of the parity, so the bits differ in no more places than the sets."""
-    return F.bit_count(one.bitwiseXOR(other)) <= most
+def _near_bits(one: str, other: str, n: Column, m: Column) -> Column:
+    """A word in one set only flips one bit of the parity, so the bits differ in no more places than the sets.
+
+    The words that are in none of the last three parities have that which all four leave of the first.
+    """
+    most = _differ_at_most(n, m)
+    every, *parts = [F.col(f"{one}.{name}").bitwiseXOR(F.col(f"{other}.{name}")) for name in PARITY]
+    rest = reduce(Column.bitwiseXOR, parts, every)
+    apart = reduce(Column.__add__, map(F.bit_count, parts), F.bit_count(rest))
+    return (F.bit_count(every) <= most) & (((n > WIDE) != (m > WIDE)) | (apart <= most))
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -168,30 +182,29 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.array_min(F.transform("prefix", lambda value: F.xxhash64(value, F.lit(seed))))
 
     keys = F.array(*[smallest(seed) for seed in range(1)], *[F.xxhash64(F.lit(at), F.get("ends", F.lit(at))) for at in range(2)])
-    narrow = sets.select("set", "n", "parity", F.explode(keys).alias("met"))
+    narrow = sets.select("set", "n", *PARITY, F.explode(keys).alias("met"))
     order = Window.partitionBy("met").orderBy("set")
-    this = F.struct("set", "n", "parity")
+    this = F.struct("set", "n", *PARITY)
     others = {f"other{back}": F.lag(this, back).over(order) for back in range(1, BACK + 1)}
     others["other0"] = F.when(F.row_number().over(order) > 1, F.first(this).over(order))
 
     def may_be(other: str) -> Column:
-        most = _differ_at_most(F.col("n"), F.col(f"{other}.n"))
-        return F.when(_near_bits(F.col("parity"), F.col(f"{other}.parity"), most), F.col(other))
+        return F.when(_near_bits("this", other, F.col("n"), F.col(f"{other}.n")), F.col(other))
 
-    tried = narrow.withColumns(others).withColumn("to", F.coalesce(*[may_be(other) for other in others])).where("to is not null")
+    tried = narrow.withColumns(others).withColumn("this", this).withColumn("to", F.coalesce(*[may_be(other) for other in others])).where("to is not null")
     tried = tried.select("set", F.col("to.set").alias("to"))
     with stored_tables() as scope:  # the pairs and words looked at go when this is known
         settled = scope.keep(write_shared(_similar_pairs(tried, sets, texts).select("set").distinct()))
 
-    marked = sets.select("set", "n", "prefix", "parity").join(settled.withColumn("settled", F.lit(True)), "set", "left")
+    marked = sets.select("set", "n", "prefix", *PARITY).join(settled.withColumn("settled", F.lit(True)), "set", "left")
     # A settled set seeks no partner. Numbers of 32 bits share a column, which halves what is shuffled, and
     # no column is nullable, so that both sides are one exchange.
     rows = marked.select(
-        F.coalesce("set", F.lit(0)).alias("set"), F.coalesce("parity", F.lit(0)).alias("parity"), "n",
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in ("set", *PARITY)], "n",
         F.coalesce("settled", F.lit(False)).cast("int").alias("settled"), F.posexplode("prefix").alias("at", "code"),
     )
     rows = rows.select(
-        "set", "parity", _pair(F.col("n"), F.col("at") * 2 + F.col("settled")).alias("n_at"), F.coalesce("code", F.lit(0)).alias("code"),
+        "set", *PARITY, _pair(F.col("n"), F.col("at") * 2 + F.col("settled")).alias("n_at"), F.coalesce("code", F.lit(0)).alias("code"),
     )
     x, y = rows.alias("x"), rows.alias("y")
     n, at, is_settled = _first("x.n_at"), F.shiftright(_second("x.n_at"), 1), _second("x.n_at") % 2
@@ -200,7 +213,7 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = x.join(
         y.hint("merge"),
         (F.col("x.code") == F.col("y.code")) & (F.col("y.set") < F.col("x.set")) & (is_settled == 0) & (n >= m * 0.8) & (m >= n * 0.8)
-        & (reach >= _least_common(n, m)) & _near_bits(F.col("x.parity"), F.col("y.parity"), _differ_at_most(n, m)),
+        & (reach >= _least_common(n, m)) & _near_bits("x", "y", n, m),
     )
     found = found.select("x.set", F.col("y.set").alias("to"))
     with stored_tables() as scope:
