@@ -2,7 +2,9 @@
 windows of words at places that the words themselves choose, wherever lines begin and end."""
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,9 +26,11 @@ PASSAGE_WORDS = 26
 REACH = 25  # of so many places in a row, one at least starts a passage: any equal run of REACH + PASSAGE_WORDS - 1 = 50 words shares one
 PLACE_BYTES = 16  # what chooses a place; no more than eight words
 WORDS_AT_ONCE = 1 << 16
+HASHES_AT_ONCE = 1 << 15
 _PLACE = np.uint64((1 << 17) - 1)
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(1, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_BREAK = re.compile("\n")
 _SPACES = np.array([chr(code).isspace() for code in range(0x3002)])
 
 
@@ -50,14 +54,22 @@ def shingles(words: list[str]) -> list[int]:
 def band_keys(sets: list[list[int]]) -> np.ndarray:
     """One key for each set and band."""
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
-    flat = np.fromiter((value for one in sets for value in one), np.uint64, lengths.sum())
-    starts = np.cumsum(lengths) - lengths
+    flat = np.fromiter(chain.from_iterable(sets), np.uint64, lengths.sum())
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
     keys = np.zeros((len(sets), BANDS), np.uint64)
-    for at, factor in enumerate(_FACTORS):
-        value = flat * factor
-        value ^= value >> np.uint64(32)
-        least = np.minimum.reduceat(value, starts)
-        keys[:, at // BAND_ROWS] = (keys[:, at // BAND_ROWS] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+    first = 0
+    while first < len(sets):  # whole sets, few enough to stay in the processor's cache through all bands
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + HASHES_AT_ONCE, "right")))
+        part, begins = flat[starts[first] : ends[last - 1]], starts[first:last] - starts[first]
+        value, high, found = np.empty_like(part), np.empty_like(part), keys[first:last]
+        for at, factor in enumerate(_FACTORS):
+            np.multiply(part, factor, out=value)
+            np.right_shift(value, np.uint64(32), out=high)
+            value ^= high
+            least = np.minimum.reduceat(value, begins)
+            found[:, at // BAND_ROWS] = (found[:, at // BAND_ROWS] ^ least) * np.uint64(0x9E3779B97F4A7C15)
+        first = last
     return keys.view(np.int64)
 
 
@@ -268,44 +280,51 @@ def _word_bounds(text: str) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _key(same: bytes) -> int:
-    return int.from_bytes(same[:8], "little", signed=True)
+def _keys(same: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each identity."""
+    return np.frombuffer(b"".join(same), "<i8")[::2]
 
 
 def _passage_keys(least_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys: list[int] = []
+            same: list[bytes] = []
             for text in batch["text"]:
-                keys.extend(_key(same) for _, _, same in passages(text, least_words))
-                if len(keys) > 100_000:
-                    yield pd.DataFrame({"key": np.array(keys, np.int64)})
-                    keys = []
-            yield pd.DataFrame({"key": np.array(keys, np.int64)})
+                same += [digest for _, _, digest in passages(text, least_words)]
+                if len(same) > 100_000:
+                    yield pd.DataFrame({"key": _keys(same)})
+                    same = []
+            yield pd.DataFrame({"key": _keys(same)})
 
     return run
 
 
 def _passage_rows(least_words: int):
-    columns = ["row", "doc_id", whole_ids.NONE, "paragraph", "begin", "end", "n_words", "same", "key"]
+    columns = ["row", "doc_id", whole_ids.NONE, "paragraph", "begin", "end", "n_words"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            parts, same = [], []
             for row, doc, none, text in zip(batch["row"].tolist(), batch["doc_id"].tolist(), batch[whole_ids.NONE].tolist(), batch["text"]):
                 found = list(passages(text, least_words))
                 if not found:
                     continue
                 begins, ends = _word_bounds(text)
+                length = found[0][1]
                 at = np.array([first for first, _, _ in found])
-                begin, end = begins[at], ends[at + found[0][1] - 1]
-                lines = np.cumsum([text.count("\n", a, b) for a, b in zip([0, *begin.tolist()], begin.tolist())])
-                for line, a, b, (_, length, same) in zip(lines.tolist(), begin.tolist(), end.tolist(), found):
-                    rows.append((row, doc, none, line, a, b, length, same, _key(same)))
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            yield pd.DataFrame(rows, columns=columns)
+                begin, end = begins[at], ends[at + length - 1]
+                breaks = np.array([m.start() for m in _BREAK.finditer(text)], np.int64)
+                parts.append(([row] * len(at), [doc] * len(at), [none] * len(at), np.searchsorted(breaks, begin), begin, end, [length] * len(at)))
+                same += [digest for _, _, digest in found]
+                if len(same) > 50_000:
+                    yield frame(parts, same)
+                    parts, same = [], []
+            if same:
+                yield frame(parts, same)
+
+    def frame(parts, same):
+        table = pd.DataFrame({name: np.concatenate(values) for name, values in zip(columns, zip(*parts))})
+        return table.assign(same=same, key=_keys(same))
 
     return run
 
