@@ -12,6 +12,7 @@ from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +86,27 @@ def term_lists(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, source string, terms array<string>")
 
 
+def terms_by_source(documents: DataFrame) -> DataFrame:
+    """(source, terms) with the same terms, but those of documents of one source next to each other as one list.
+
+    Counts of sources are sums over documents, so a vector of many documents does for them, and there are far fewer cells.
+    """
+    rows = documents.select(*[F.coalesce(F.col(name), F.lit("")).alias(name) for name in ("lang", "source", "text")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = pc.sort_indices(batch.column("source"))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.take(order[at : at + 500])
+                terms, sources = cut_terms(part.column("text"), part.column("lang")), part.column("source")
+                ends = np.flatnonzero(np.append(pc.not_equal(sources[1:], sources[:-1]).to_numpy(zero_copy_only=False), True)) + 1
+                bounds = pa.array(np.append(0, ends), pa.int32())
+                lists = pa.ListArray.from_arrays(terms.offsets.take(bounds), terms.values)
+                yield pa.RecordBatch.from_arrays([sources.take(bounds[:-1]), lists], ["source", "terms"])
+
+    return rows.mapInArrow(run, "source string, terms array<string>")
+
+
 def _slices(documents: DataFrame, min_documents: int, most_terms: int) -> int:
     """How many models the kept terms need, from every LOOKED_AT-th document; it decides about memory, never about results.
 
@@ -104,13 +126,14 @@ def counts(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, most_terms:
     it takes for none to hold more than about `most_terms`; any number gives the same counts.
     """
     spark = documents.sparkSession
-    lists = term_lists(documents)
+    lists, by_source = term_lists(documents), terms_by_source(documents)
     slices = _slices(documents, min_documents, most_terms)
     kept, summed = [], []
     for number in range(slices):
-        mine = lists
+        mine, of_sources = lists, by_source
         if slices > 1:
-            mine = lists.withColumn("terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == number))
+            dealt = F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(slices)) == number)  # noqa: B023
+            mine, of_sources = (table.withColumn("terms", dealt) for table in (lists, by_source))
         # as many rows with a term that no text has, so that there is something to keep
         filler = spark.range(min_documents).select(F.array(F.lit("")).alias("terms"))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_documents), vocabSize=_VOCABULARY_SIZE).fit(
@@ -124,7 +147,7 @@ def counts(documents: DataFrame, min_documents: int = MIN_DOCUMENTS, most_terms:
         lang, term = F.substring("word", F.lit(1), size), F.substring("word", size + 2, F.length("word"))
         kept.append(words.select(term_id, lang.alias("lang"), term.alias("term")))
         vector = F.unwrap_udt("vector")
-        cells = model.transform(mine).select("source", vector.alias("v")).select("source", F.inline(F.arrays_zip("v.indices", "v.values")))
+        cells = model.transform(of_sources).select("source", vector.alias("v")).select("source", F.inline(F.arrays_zip("v.indices", "v.values")))
         cells = cells.groupBy("source", "indices").agg(F.sum(F.col("values").cast("bigint")).alias("n"))
         summed.append(write_shared(cells.select("source", (F.col("indices") + F.lit(number << 32)).alias("term_id"), "n")))
     return write_shared(reduce(DataFrame.unionByName, kept)), reduce(DataFrame.unionByName, summed)

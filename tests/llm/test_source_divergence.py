@@ -81,3 +81,17 @@ def test_terms_of_many_texts_at_once():
     found = source_divergence.cut_terms(table, pa.array(langs)).to_pylist()
     assert found == [[f"{lang}\0{term}" for term in _terms(text)] for text, lang in zip(texts, langs)]
     assert source_divergence.cut_terms(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_terms_of_a_source_come_in_few_lists(spark):
+    rows = _rows(random.Random(3)) * 5
+    table = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    lists = source_divergence.terms_by_source(table).collect()
+    assert len(lists) <= len({source or "" for *_, source, _, _ in rows}) + -(-len(rows) // 500)
+    counted, plain = Counter(), Counter()
+    for source, terms in lists:
+        counted.update((source, term) for term in terms)
+    for _, text, lang, source, *_ in rows:
+        plain.update((source or "", f"{lang or ''}\0{term}") for term in _terms(text or ""))
+    assert counted == plain
+    assert source_divergence.terms_by_source(table.limit(0)).count() == 0
