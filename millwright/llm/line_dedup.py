@@ -20,8 +20,8 @@ from .bit_filter import maybe_in
 TALLIES = 1 << 18
 NO_ID = 9223372036854775807
 PLACE = ["doc", "key", "line"]  # of a line: document, which of the rows with that id, number
-PARITY = ["parity", "parity1", "parity2", "parity3"]  # 64 bits of all words, and of those with 1, 2 and 3 as the next bits of the hash
-WIDE = 64  # words; from so many on 64 bits don't tell unlike sets apart, so larger sets have all of PARITY and others 0 for the last three
+PARITY = ["parity", "parity1", "parity2", "parity3"]  # 64 bits each: of all words, of those whose next bit of the hash is set, of those whose next two are 2 and 3
+WIDE, WIDER = 80, 160  # words; from so many on 64 and 128 bits don't tell unlike sets apart; smaller sets have 0 for the others, which costs a shuffle nothing
 BACK = 4  # how many sets before it a set may find its partner among in the first pass; the second pass has no limit
 
 
@@ -107,9 +107,9 @@ def _sets(texts: DataFrame) -> DataFrame:
     prefix = F.transform(rarest, lambda code: (code.bitwiseAND(F.lit((1 << 32) - 1)) - (1 << 31)).cast("int"))
     bit = lambda total, value: total.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), value.bitwiseAND(F.lit(63)).cast("int")))
     parity = [F.aggregate("hashes", F.lit(0).cast("bigint"), bit).alias("parity")]
-    for part, name in enumerate(PARITY[1:], 1):
-        mine = F.filter("hashes", lambda value: F.shiftright(value, 6).bitwiseAND(F.lit(3)) == part)  # noqa: B023
-        parity.append(F.when(F.col("n") > WIDE, F.aggregate(mine, F.lit(0).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")).alias(name))
+    for name, least, bits, value in zip(PARITY[1:], (WIDE, WIDER, WIDER), (1, 3, 3), (1, 2, 3)):
+        mine = F.filter("hashes", lambda hashed: F.shiftright(hashed, 6).bitwiseAND(F.lit(bits)) == value)  # noqa: B023
+        parity.append(F.when(F.col("n") > least, F.aggregate(mine, F.lit(0).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")).alias(name))
     ends = [F.hash(*[F.get("hashes", at) for at in pair]) for pair in ((F.lit(0), F.lit(1)), (F.col("n") - 1, F.col("n") - 2))]
     coded = lines.select("same", *PLACE, "n", prefix.alias("prefix"), *parity, F.array(*ends).alias("ends"))
     first = F.min(F.struct(*PLACE)).alias("first")
@@ -142,15 +142,16 @@ def _second(name: str) -> Column:
 
 
 def _near_bits(one: str, other: str, n: Column, m: Column) -> Column:
-    """A word in one set only flips one bit of the parity, so the bits differ in no more places than the sets.
+    """A word in one set only flips one bit of a parity, so the bits differ in no more places than the sets.
 
-    The words that are in none of the last three parities have that which all four leave of the first.
+    That also holds for the two parts of the words that `parity1` makes, and for the four of all parities, in which fewer words share a bit.
     """
-    most = _differ_at_most(n, m)
-    every, *parts = [F.col(f"{one}.{name}").bitwiseXOR(F.col(f"{other}.{name}")) for name in PARITY]
-    rest = reduce(Column.bitwiseXOR, parts, every)
-    apart = reduce(Column.__add__, map(F.bit_count, parts), F.bit_count(rest))
-    return (F.bit_count(every) <= most) & (((n > WIDE) != (m > WIDE)) | (apart <= most))
+    every, odd, two, three = [F.col(f"{one}.{name}").bitwiseXOR(F.col(f"{other}.{name}")) for name in PARITY]
+    halves = [odd, every.bitwiseXOR(odd)]
+    quarters = [three, odd.bitwiseXOR(three), two, every.bitwiseXOR(odd).bitwiseXOR(two)]
+    most, size = _differ_at_most(n, m), F.least(n, m)
+    apart = [reduce(Column.__add__, map(F.bit_count, parts)) for parts in ([every], halves, quarters)]
+    return (apart[0] <= most) & ((size <= WIDE) | (apart[1] <= most)) & ((size <= WIDER) | (apart[2] <= most))
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -189,7 +190,8 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     others["other0"] = F.when(F.row_number().over(order) > 1, F.first(this).over(order))
 
     def may_be(other: str) -> Column:
-        return F.when(_near_bits("this", other, F.col("n"), F.col(f"{other}.n")), F.col(other))
+        n, m = F.col("n"), F.col(f"{other}.n")
+        return F.when((n >= m * 0.8) & (m >= n * 0.8) & _near_bits("this", other, n, m), F.col(other))
 
     tried = narrow.withColumns(others).withColumn("this", this).withColumn("to", F.coalesce(*[may_be(other) for other in others])).where("to is not null")
     tried = tried.select("set", F.col("to.set").alias("to"))

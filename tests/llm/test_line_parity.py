@@ -23,14 +23,14 @@ def _looked_at(monkeypatch, table):
 
 def test_unlike_long_lines_make_no_pairs(spark, monkeypatch):
     draw = random.Random(1)
-    lines = [[f"w{i}" for i in draw.sample(range(2000), draw.choice([70, 150, 300]))] for _ in range(120)]
+    lines = [[f"w{i}" for i in draw.sample(range(2000), draw.choice([70, 120, 250]))] for _ in range(120)]
     assert _looked_at(monkeypatch, _lines(spark, lines)) == (set(), 0)
 
 
 def test_similar_lines_around_the_wide_size_are_found(spark, monkeypatch):
     draw = random.Random(2)
     lines = []
-    for size in [10, *range(line_dedup.WIDE - 14, line_dedup.WIDE + 17, 3), 140, 300]:
+    for size in [10, *range(line_dedup.WIDE - 14, line_dedup.WIDE + 17, 4), *range(line_dedup.WIDER - 20, line_dedup.WIDER + 21, 10), 300]:
         words = draw.sample(range(3000), size)
         lines.append(words)
         for share in (0.06, 0.1, 0.12, 0.2):  # so many words are other ones
