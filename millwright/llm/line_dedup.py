@@ -21,7 +21,7 @@ TALLIES = 1 << 18
 NO_ID = 9223372036854775807
 PLACE = ["doc", "key", "line"]  # of a line: document, which of the rows with that id, number
 PARITY = ["parity", "parity1", "parity2", "parity3"]  # 64 bits each: of all words, of those whose next bit of the hash is set, of those whose next two are 2 and 3
-WIDE, WIDER = 80, 160  # words; from so many on 64 and 128 bits don't tell unlike sets apart; smaller sets have 0 for the others, which costs a shuffle nothing
+WIDE, WIDER = 40, 100  # words; from so many on 64 and 128 bits don't tell unlike sets apart; smaller sets have 0 for the others, which costs a shuffle little
 BACK = 4  # how many sets before it a set may find its partner among in the first pass; the second pass has no limit
 
 
@@ -141,17 +141,18 @@ def _second(name: str) -> Column:
     return F.col(name).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
-def _near_bits(one: str, other: str, n: Column, m: Column) -> Column:
-    """A word in one set only flips one bit of a parity, so the bits differ in no more places than the sets.
+def _bits_apart(one: str, other: str, n: Column, m: Column) -> Column:
+    """Places in which the parities of two sets differ, by the widest parity that both have.
 
+    A word in one set only flips one bit of a parity, so there are no more of these than words in one set only.
     That also holds for the two parts of the words that `parity1` makes, and for the four of all parities, in which fewer words share a bit.
     """
     every, odd, two, three = [F.col(f"{one}.{name}").bitwiseXOR(F.col(f"{other}.{name}")) for name in PARITY]
     halves = [odd, every.bitwiseXOR(odd)]
     quarters = [three, odd.bitwiseXOR(three), two, every.bitwiseXOR(odd).bitwiseXOR(two)]
-    most, size = _differ_at_most(n, m), F.least(n, m)
+    size = F.least(n, m)
     apart = [reduce(Column.__add__, map(F.bit_count, parts)) for parts in ([every], halves, quarters)]
-    return (apart[0] <= most) & ((size <= WIDE) | (apart[1] <= most)) & ((size <= WIDER) | (apart[2] <= most))
+    return F.when(size <= WIDE, apart[0]).when(size <= WIDER, apart[1]).otherwise(apart[2])
 
 
 def _similar_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
@@ -171,10 +172,10 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataF
 def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All sets, and the numbers (set) of those that have a similar earlier set.
 
-    First every set is compared with one other among sets that share a key: its smallest prefix code by hash,
+    First every set is compared with others among sets that share a key: its smallest prefix code by hash,
     and the words at either end of the order of hashes, which rare words seldom move. The
-    other is the nearest of the BACK sets before it, or else the first of all, whose parity allows it.
-    That settles most of a large group of near copies, each by one partner. Sets still unsettled
+    others are those of the BACK sets before it and the first of all whose parity allows it.
+    That settles most of a large group of near copies, each by a few partners. Sets still unsettled
     are then joined with all sets on the codes of the prefix.
     """
     sets = _sets(texts)
@@ -189,18 +190,19 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     others = {f"other{back}": F.lag(this, back).over(order) for back in range(1, BACK + 1)}
     others["other0"] = F.when(F.row_number().over(order) > 1, F.first(this).over(order))
 
-    def may_be(other: str) -> Column:
+    def allowed(other: str) -> Column:
         n, m = F.col("n"), F.col(f"{other}.n")
-        return F.when((n >= m * 0.8) & (m >= n * 0.8) & _near_bits("this", other, n, m), F.col(other))
+        near = _bits_apart("this", other, n, m) <= _differ_at_most(n, m)
+        return F.when((n >= m * 0.8) & (m >= n * 0.8) & near, F.col(f"{other}.set"))
 
-    tried = narrow.withColumns(others).withColumn("this", this).withColumn("to", F.coalesce(*[may_be(other) for other in others])).where("to is not null")
-    tried = tried.select("set", F.col("to.set").alias("to"))
+    tried = narrow.withColumns(others).withColumn("this", this).select("set", F.array(*[allowed(other) for other in others]).alias("to"))
+    tried = tried.select("set", F.explode("to").alias("to")).where("to is not null")
     with stored_tables() as scope:  # the pairs and words looked at go when this is known
         settled = scope.keep(write_shared(_similar_pairs(tried, sets, texts).select("set").distinct()))
 
     marked = sets.select("set", "n", "prefix", *PARITY).join(settled.withColumn("settled", F.lit(True)), "set", "left")
-    # A settled set seeks no partner. Numbers of 32 bits share a column, which halves what is shuffled, and
-    # no column is nullable, so that both sides are one exchange.
+    # A settled set seeks no partner. Numbers of 32 bits share a column, which halves what is shuffled. No column
+    # is nullable and no condition is on one side alone, so nothing is pushed below and both sides are one exchange.
     rows = marked.select(
         *[F.coalesce(name, F.lit(0)).alias(name) for name in ("set", *PARITY)], "n",
         F.coalesce("settled", F.lit(False)).cast("int").alias("settled"), F.posexplode("prefix").alias("at", "code"),
@@ -212,10 +214,11 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     n, at, is_settled = _first("x.n_at"), F.shiftright(_second("x.n_at"), 1), _second("x.n_at") % 2
     m, to_at = _first("y.n_at"), F.shiftright(_second("y.n_at"), 1)
     reach = F.least(n - at, m - to_at)  # common words from this one on
+    before = F.when(is_settled == 0, F.col("x.set")).otherwise(F.lit(-1).cast("bigint"))
     found = x.join(
         y.hint("merge"),
-        (F.col("x.code") == F.col("y.code")) & (F.col("y.set") < F.col("x.set")) & (is_settled == 0) & (n >= m * 0.8) & (m >= n * 0.8)
-        & (reach >= _least_common(n, m)) & _near_bits("x", "y", n, m),
+        (F.col("x.code") == F.col("y.code")) & (F.col("y.set") < before) & (n >= m * 0.8) & (m >= n * 0.8)
+        & (reach >= _least_common(n, m)) & (_bits_apart("x", "y", n, m) <= _differ_at_most(n, m)),
     )
     found = found.select("x.set", F.col("y.set").alias("to"))
     with stored_tables() as scope:
