@@ -195,8 +195,11 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = _bits_apart("this", other, n, m) <= _differ_at_most(n, m)
         return F.when((n >= m * 0.8) & (m >= n * 0.8) & near, F.col(f"{other}.set"))
 
-    tried = narrow.withColumns(others).withColumn("this", this).select("set", F.array(*[allowed(other) for other in others]).alias("to"))
-    tried = tried.select("set", F.explode("to").alias("to")).where("to is not null")
+    found = [allowed(other).alias(f"to_{other}") for other in others]
+    tried = narrow.withColumns(others).withColumn("this", this).select("set", *found)
+    named = [F.col(f"to_{other}") for other in others]
+    tried = tried.where(F.coalesce(*named).isNotNull())  # few rows are left to be spread out
+    tried = tried.select("set", F.explode(F.array(*named)).alias("to")).where("to is not null")
     with stored_tables() as scope:  # the pairs and words looked at go when this is known
         settled = scope.keep(write_shared(_similar_pairs(tried, sets, texts).select("set").distinct()))
 
