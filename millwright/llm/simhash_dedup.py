@@ -3,6 +3,9 @@
 Every text gets a 64-bit fingerprint. Links are pairs of fingerprints that differ in few bits. The
 masks below cover the radius: whatever the differing bits, at least one mask leaves all of them out,
 so both fingerprints are equal under that mask and meet in one of its buckets. Nothing is missed.
+
+Tables that grow with the corpus are joined by merge, and Spark is told so: it sizes what an explode makes as if each
+row gave one, and compressed files as what they take on disk, so it would broadcast them through the driver.
 """
 
 from collections.abc import Iterator
@@ -157,7 +160,7 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     keyed = fps.select("fp", F.posexplode(masks(first)).alias("t", "mask"))
     keyed = keyed.select(F.col("t").cast("bigint").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     shared = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = write_shared(keyed.join(shared, ["t", "key"]))
+    members = write_shared(keyed.join(shared.hint("merge"), ["t", "key"]))
     few = members.where(F.col("n") <= bucket).select("t", "key", "fp")
     step = len(first)
     many = members.where(F.col("n") > bucket).select("t", "fp", F.explode(F.sequence(F.lit(0), F.lit(step - 1))).alias("u"))
@@ -183,7 +186,7 @@ def near_duplicates(
     docs = write_shared(fingerprints(documents, id_column, text_column, words_each))
     placed = _placed(docs, radius, bucket)
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = placed.join(least, "component").select("fp", "component_id")
+    classes = placed.join(least.hint("merge"), "component").select("fp", "component_id")
     return _with_class(docs, classes).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
@@ -193,13 +196,13 @@ def _placed(docs: DataFrame, radius: int, bucket: int) -> DataFrame:
     """(fp, least, component) of the different fingerprints of the stored table `docs`; least is the smallest id."""
     fps = write_shared(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     member = components(links(fps, radius, bucket)).withColumnRenamed("node", "fp")
-    placed = fps.join(member, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    placed = fps.join(member.hint("merge"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     return write_shared(placed)
 
 
 def _with_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Join by fingerprint; adaptive execution splits the rows of a fingerprint many texts share."""
-    return docs.join(write_shared(classes), "fp")
+    return docs.join(write_shared(classes).hint("merge"), "fp")
 
 
 def one_of_each(
@@ -217,4 +220,4 @@ def one_of_each(
     classes = _placed(docs, radius, bucket).select("fp", "component")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_row")
     kept = _with_class(docs, classes).groupBy("component").agg(F.min(order).alias("first")).select("first._row")
-    return rows.join(write_shared(kept), "_row", "left_semi").select(*[F.col(f"`{name}`") for name in documents.columns])
+    return rows.join(write_shared(kept).hint("merge"), "_row", "left_semi").select(*[F.col(f"`{name}`") for name in documents.columns])
