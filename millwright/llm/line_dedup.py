@@ -6,6 +6,7 @@ n - ceil(0.8 n) + 1 of each (prefix filter). Length, place of the shared word an
 words (64 bits, 256 for many words) bound the overlap, and what is left is verified on the words themselves. The filters know words by
 their hash of 64 bits; a shared word is found by 32 of these, so that different words may cost a candidate.
 Different lines are numbered in the order of their first places, and only these numbers travel through the joins.
+The joins are by merge, and Spark is told so: it sizes a stored table as what it takes on disk, not as what it takes when broadcast.
 """
 
 from functools import reduce
@@ -159,14 +160,14 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataF
     """The pairs (set, to) that hold on the words themselves; fetches only lines that occur in them."""
     pairs = write_shared(pairs.distinct())
     ends = pairs.select("set").union(pairs.select(F.col("to").alias("set"))).distinct()
-    places = write_shared(sets.select("set", *PLACE).join(ends, "set", "left_semi"))
+    places = write_shared(sets.select("set", *PLACE).join(ends.hint("merge"), "set", "left_semi"))
     place = F.struct(*PLACE)
-    texts = texts.where(_has_words() & maybe_in(places.select(place.alias("place")), place)).join(places, PLACE).dropDuplicates(["set"])
+    texts = texts.where(_has_words() & maybe_in(places.select(place.alias("place")), place)).join(places.hint("merge"), PLACE).dropDuplicates(["set"])
     words = write_shared(texts.select("set", F.array_join(_words(), " ").alias("words")))  # one string is smaller than a list
     to = words.select(F.col("set").alias("to"), F.col("words").alias("to_words"))
     one, other = F.split("words", " "), F.split("to_words", " ")
     near = F.size(F.array_intersect(one, other)) * 9 >= (F.size(one) + F.size(other)) * 4
-    return pairs.join(words, "set").join(to, "to").where(near)
+    return pairs.join(words.hint("merge"), "set").join(to.hint("merge"), "to").where(near)
 
 
 def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +204,7 @@ def repeated_sets(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     with stored_tables() as scope:  # the pairs and words looked at go when this is known
         settled = scope.keep(write_shared(_similar_pairs(tried, sets, texts).select("set").distinct()))
 
-    marked = sets.select("set", "n", "prefix", *PARITY).join(settled.withColumn("settled", F.lit(True)), "set", "left")
+    marked = sets.select("set", "n", "prefix", *PARITY).join(settled.withColumn("settled", F.lit(True)).hint("merge"), "set", "left")
     # A settled set seeks no partner. Numbers of 32 bits share a column, which halves what is shuffled. No column
     # is nullable and no condition is on one side alone, so nothing is pushed below and both sides are one exchange.
     rows = marked.select(
@@ -245,9 +246,9 @@ def _gone(known: DataFrame, text_column: str) -> DataFrame:
     texts = _texts(known, text_column)
     sets, gone = repeated_sets(texts)
     firsts = sets.select("set", "same", *[F.col(name).alias(f"first_{name}") for name in PLACE])
-    firsts = write_shared(firsts.join(gone.withColumn("gone", F.lit(True)), "set", "left").drop("set"))
+    firsts = write_shared(firsts.join(gone.withColumn("gone", F.lit(True)).hint("merge"), "set", "left").drop("set"))
     drop_shared(sets)
-    again = texts.select(*PLACE, F.unhex(_same()).alias("same")).join(firsts, "same")
+    again = texts.select(*PLACE, F.unhex(_same()).alias("same")).join(firsts.hint("merge"), "same")
     return again.where("gone or doc <> first_doc or key <> first_key or line <> first_line").select(*PLACE)
 
 
@@ -256,7 +257,7 @@ def without_repeated_lines(documents: DataFrame, id_column: str = "doc_id", text
     known = _known(documents, id_column, text_column)
     gone = _gone(known, text_column).groupBy(F.col("doc").alias("_d"), F.col("key").alias("_k")).agg(F.collect_set("line").alias("_gone"))
     gone = write_shared(gone)
-    rows = known.join(gone, (F.col("_doc") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
+    rows = known.join(gone.hint("merge"), (F.col("_doc") == F.col("_d")) & (F.col("_key") == F.col("_k")), "left")
     stay = F.filter(F.split(F.col(text_column), "\n"), lambda line, at: ~F.array_contains("_gone", at))
     text = F.when(F.col("_gone").isNull(), F.col(text_column)).otherwise(F.array_join(stay, "\n"))
     return rows.withColumn(text_column, text).select(*[F.col(f"`{name}`") for name in documents.columns])
