@@ -1,7 +1,7 @@
 """Token ids of whole texts in a file format of blocks, written and read by Spark.
 
 A token table is a folder of Parquet files whose rows are frames. A frame holds up to BLOCK_IDS ids of a
-run of documents, coded by `range_coder`, and says which documents they belong to; it can be read alone
+run of documents, coded as `range_coder` says by the JVM (`jvm_coder`), and says which documents they belong to; it can be read alone
 and has two checksums, of itself and of the ids in it. Spark's writer commits the files, so a lost executor
 leaves no half-written table, and any file system that Spark reaches will do.
 """
@@ -10,7 +10,8 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import range_coder, whole_ids
+from . import jvm_coder, whole_ids
 
 END = 2
 BLOCK_IDS = 8192
-BLOCKS_AT_ONCE = 768
-KNOWN_WORDS = 400_000
+BLOCKS_AT_ONCE = 64
+KNOWN_WORDS = 1_000_000
 MAGIC = b"TIB1"
-_HEAD = struct.Struct("<4sIIIII")  # magic, ids, pieces, bytes of code, crc32 of ids, crc32 of all that follows
+_HEAD = struct.Struct("<4sIIIII")  # magic, ids, pieces, bytes of code (or of plain ids), crc32 of ids, crc32 of all that follows
+_PIECE = struct.Struct("<?qQIIQ")
+_LAYOUT = _HEAD.size, _PIECE.size, MAGIC
 # how byte-level vocabularies of this kind cut a text before merging; a fixed pattern
 WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 
@@ -53,8 +56,10 @@ class Encoder:
         new = list(set().union(*words) - self.known.keys())
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u2").tobytes()
+            found = [one.ids for one in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            ends = (2 * np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))).tolist()
+            every = np.fromiter(chain.from_iterable(found), "<u2", ends[-1] // 2).tobytes()
+            self.known.update((word, every[a:b]) for word, a, b in zip(some, [0, *ends], ends))
         end, get = struct.pack("<H", END), self.known.__getitem__
         return [np.frombuffer(b"".join([*map(get, found), end]), "<u2") for found in words]
 
@@ -72,13 +77,10 @@ def checksum(ids: np.ndarray) -> int:
 
 def _frame(code: bytes, ids: np.ndarray, pieces: list[tuple]) -> bytes:
     """pieces: (id of the document or None, its row in the shard, number of the piece, ids in it, ids of the shard before it)."""
-    body = b"".join(struct.pack("<?qQIIQ", doc is None, doc or 0, *rest) for doc, *rest in pieces) + code
+    body = b"".join(_PIECE.pack(doc is None, doc or 0, *rest) for doc, *rest in pieces) + code
     return _HEAD.pack(MAGIC, len(ids), len(pieces), len(code), checksum(ids), zlib.crc32(body)) + body
 
 
-_PIECE = struct.Struct("<?qQIIQ")
-
-
 def _parse(frame: bytes) -> tuple[int, int, bytes, list[tuple]]:
     magic, n_ids, n_pieces, n_code, crc, whole = _HEAD.unpack_from(frame)
     body = frame[_HEAD.size :]
@@ -117,11 +119,11 @@ class _Shard:
         self.row += 1
 
     def frames(self, shard: int, least: int) -> Iterator[pd.DataFrame]:
+        """Frames of plain ids."""
         while len(self.blocks) >= least:
             now, self.blocks = self.blocks[:BLOCKS_AT_ONCE], self.blocks[BLOCKS_AT_ONCE:]
             ids = [np.concatenate(parts) for parts, _ in now]
-            codes = range_coder.encode(ids)
-            rows = [_frame(code, part, pieces) for code, part, (_, pieces) in zip(codes, ids, now)]
+            rows = [_frame(part.astype("<u2").tobytes(), part, pieces) for part, (_, pieces) in zip(ids, now)]
             yield pd.DataFrame({"shard": shard, "first": [pieces[0][4] for _, pieces in now], "n_ids": list(map(len, ids)), "frame": rows})
 
 
@@ -150,7 +152,8 @@ def write(documents: DataFrame, path: str, tokenizer: str, id_column: str = "doc
 
     dealt = rows.withColumn("hash", F.sha2("text", 256)).repartitionByRange(shards, *order).sortWithinPartitions(*order)
     frames = dealt.select(*whole_ids.without_null("doc_id"), "text").mapInPandas(run, "shard int, first long, n_ids int, frame binary")
-    frames.write.parquet(path)
+    coded = jvm_coder.coded(documents.sparkSession, F.col("frame"), *_LAYOUT).alias("frame")
+    frames.select("shard", "first", "n_ids", coded).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -168,10 +171,10 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
 
     def decoded(batch: pd.DataFrame) -> pd.DataFrame:
         parsed = [_parse(frame) for frame in batch["frame"]]
-        found = range_coder.decode([code for _, _, code, _ in parsed], [n for n, *_ in parsed])
         rows, lists = [], []
-        for shard, ids, (_, crc, _, pieces) in zip(batch["shard"], found, parsed):
-            if checksum(ids) != crc:
+        for shard, (n_ids, crc, plain, pieces) in zip(batch["shard"], parsed):
+            ids = np.frombuffer(plain, "<u2")
+            if len(ids) != n_ids or checksum(ids) != crc:
                 raise ValueError("the ids of a frame are damaged")
             at = 0
             for none, doc, row, piece, n, before in pieces:
@@ -186,9 +189,11 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
         return table
 
     table = spark.read.schema("shard int, first long, n_ids int, frame binary").parquet(path)
-    return table.select("shard", "frame").mapInPandas(run, schema + ", ids array<int>" * with_ids)
+    plain = jvm_coder.plain(spark, F.col("frame"), *_LAYOUT).alias("frame")
+    return table.select("shard", plain).mapInPandas(run, schema + ", ids array<int>" * with_ids)
 
 
+@lru_cache(64)
 def _advance(length: int) -> list[int]:
     """How `length` zero bytes change a crc32: the images of its 32 bits."""
     square = [0xEDB88320, *(1 << at for at in range(31))]  # one zero bit; the polynomial is fixed
@@ -215,12 +220,9 @@ def _times(matrix: list[int], value: int) -> int:
 
 def joined_checksum(checksums: list[int], lengths: list[int]) -> int:
     """crc32 of pieces one after the other, from those of the pieces and their lengths in bytes."""
-    advances: dict[int, list[int]] = {}
-    total = 0
-    for value, length in zip(checksums, lengths):
-        if length not in advances:
-            advances[length] = _advance(length)
-        total = _times(advances[length], total) ^ value
+    total = checksums[0] if checksums else 0
+    for value, length in zip(checksums[1:], lengths[1:]):
+        total = _times(_advance(length), total) ^ value
     return total
 
 
